@@ -135,6 +135,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     cols = docs.columns
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
     rows = plain.select("_row", F.col(f"_row.{key}").alias("_key"), F.col(f"_row.{stratum}").cast("string").alias("_stratum"), F.col(f"_row.{text}").alias("_text"))
-    fitted = with_features(rows.select("_key", "_stratum", "_text"), "_text").select("_key", "_stratum", *FEATURES)
+    fitted = store(with_features(rows.select("_key", "_stratum", "_text"), "_text").select("_key", "_stratum", *FEATURES)).df
     cutoffs = store(choose_cutoffs(fitted, labels, "_key", "_stratum", **risk)).df
-    return with_verdict(with_features(rows, "_text"), cutoffs, "_stratum").where("kept").select("_row.*")
+    judged = with_verdict(with_features(rows, "_text"), cutoffs, "_stratum")
+    # The id keeps the filter above the features: pushed below, it would evaluate them inside each other's lambdas.
+    return judged.withColumn("_id", F.monotonically_increasing_id()).where("kept and _id >= 0").select("_row.*")
