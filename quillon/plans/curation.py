@@ -1,12 +1,48 @@
-"""Queries of the corpus-curation operators."""
+"""Queries of the corpus-curation operators over the provided tables.
+
+Splits, fingerprints and metric tables are derived from the tables as stated in each query;
+doubles are rounded to six places in both engines.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quillon.operators import dedup
+from quillon.functions import columns as C
+from quillon.operators import dedup, reports, sampling, scoring, similarity
 from quillon.plans.registry import query, table
 
+SPLIT = "CASE WHEN doc_id % 20 = 0 THEN 'val' WHEN doc_id % 100 = 1 THEN 'test' ELSE 'train' END"
+HEAD = "array_to_string((string_split(text, ' '))[1:20], ' ')"
+RECORDS = f"""records AS (
+  SELECT doc_id AS ord, {SPLIT} AS split, sha256(text) AS exact, sha256({HEAD}) AS norm FROM documents
+  UNION ALL SELECT 1000000000 + item_id, 'bench', sha256(text), sha256({HEAD}) FROM benchmark)"""
+
+
+
+
+
+def records(spark, d) -> DataFrame:
+    """ord, split, exact and norm (hash of the first twenty words) of documents and benchmark items."""
+    head = lambda: F.sha2(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 20)), 256)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.expr(SPLIT).alias("split"), F.sha2("text", 256).alias("exact"), head().alias("norm"))
+    bench = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("ord"), F.lit("bench").alias("split"), F.sha2("text", 256).alias("exact"), head().alias("norm"))
+    return docs.union(bench)
+
+
+def prints(spark, d) -> DataFrame:
+    """id and 64-bit fingerprint of the 8x8 coefficient blocks in embeddings."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.pack_bits(similarity.coefficient_bits(F.col("embedding"))).alias("h"))
+
+
+BITS = """bits AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > list_sort(embedding[2:])[32] THEN 1 ELSE 0 END) AS b FROM embeddings)"""
+PAIRS = BITS + """, pairs AS (SELECT * FROM (
+  SELECT a.id AS a, b.id AS b, 64 - CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS INT) AS d
+  FROM bits a JOIN bits b ON a.id < b.id) WHERE d <= 16)"""
+
+
+# --- dedup and leakage
+
 
 @query(
     "u1_keep_first",
@@ -16,3 +52,584 @@ from quillon.plans.registry import query, table
 def u1_keep_first(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("exact"))
     return dedup.keep_first(docs, ["exact"], "doc_id")
+
+
+@query("u1_group_sizes", "SELECT n AS group_size, count(*) AS n_groups FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text)) GROUP BY n")
+def u1_group_sizes(spark, d):
+    return dedup.group_sizes(table(spark, d, "documents").select(F.sha2("text", 256).alias("k")), ["k"])
+
+
+GATE = f"""WITH {RECORDS},
+pool AS (SELECT *, (exact IN (SELECT exact FROM records WHERE split = 'bench') OR norm IN (SELECT norm FROM records WHERE split = 'bench')) AS b,
+  (exact IN (SELECT exact FROM records WHERE split IN ('val', 'test')) OR norm IN (SELECT norm FROM records WHERE split IN ('val', 'test'))) AS h FROM records WHERE split = 'train'),
+free AS (SELECT * FROM pool WHERE NOT b AND NOT h),
+one AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY exact ORDER BY ord) = 1),
+two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY norm ORDER BY ord) = 1),
+fates AS (SELECT ord, 'reference' AS fate FROM records WHERE split <> 'train'
+  UNION ALL SELECT ord, CASE WHEN b THEN 'bench' ELSE 'held-out' END FROM pool WHERE b OR h
+  UNION ALL SELECT ord, 'exact' FROM free WHERE ord NOT IN (SELECT ord FROM one)
+  UNION ALL SELECT ord, 'norm' FROM one WHERE ord NOT IN (SELECT ord FROM two)
+  UNION ALL SELECT ord, 'kept' FROM two)"""
+
+
+@query("u8_run_gate", GATE + " SELECT ord, fate FROM fates")
+def u8_run_gate(spark, d):
+    return similarity.layered_gate(records(spark, d), ["exact", "norm"]).select("ord", "fate")
+
+
+@query("u2_layer_report", GATE + " SELECT fate, count(*) AS n FROM fates GROUP BY fate")
+def u2_layer_report(spark, d):
+    return u8_run_gate(spark, d).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query(
+    "u10_report_rates",
+    GATE
+    + """ SELECT round(count(*) FILTER (fate = 'exact') / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS exact_rate,
+  round(count(*) FILTER (fate = 'norm') / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS norm_rate,
+  round(count(*) FILTER (fate IN ('bench', 'held-out')) / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS leak_rate FROM fates""",
+)
+def u10_report_rates(spark, d):
+    return reports.gate_rates(u8_run_gate(spark, d))
+
+
+@query("u6_u7_leakage_match", f"WITH {RECORDS} SELECT r.ord FROM records r WHERE split = 'train' AND (exact IN (SELECT exact FROM records WHERE split = 'val') OR norm IN (SELECT norm FROM records WHERE split = 'val'))")
+def u6_u7_leakage_match(spark, d):
+    r = records(spark, d)
+    return similarity.leaked(r.where("split = 'train'"), r.where("split = 'val'"), ["exact", "norm"])
+
+
+@query(
+    "u9_split_census",
+    f"""WITH {RECORDS}, s AS (SELECT norm, list_sort(list_distinct(list(split))) AS s FROM records GROUP BY norm)
+    SELECT a, b, count(*) AS n FROM (SELECT unnest(s) AS a, s FROM s) t, unnest(t.s) AS u(b) WHERE a < b GROUP BY a, b""",
+)
+def u9_split_census(spark, d):
+    return similarity.split_census(records(spark, d), "norm")
+
+
+@query("f6_fingerprint_bits", f"WITH {BITS} SELECT id, array_to_string(b, '') AS bits FROM bits")
+def f6_fingerprint_bits(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(similarity.coefficient_bits(F.col("embedding")).cast("array<string>"), "").alias("bits"))
+
+
+@query("u3_hamming_band_join", f"WITH {PAIRS} SELECT a, b, d FROM pairs")
+def u3_hamming_band_join(spark, d):
+    return similarity.band_pairs(prints(spark, d), 16)
+
+
+@query(
+    "u4_hamming_clusters",
+    f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT id AS a, id AS b FROM bits UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+    SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a""",
+)
+def u4_hamming_clusters(spark, d):
+    return similarity.hamming_clusters(prints(spark, d), 16)
+
+
+@query("u12_throughput", "SELECT count(*) AS pool, round(count(*) / (129.0 + 192.0), 2) AS per_second, round(5000000 / (count(*) / (129.0 + 192.0)) / 3600, 2) AS hours_for_5m FROM documents")
+def u12_throughput(spark, d):
+    return reports.throughput(table(spark, d, "documents"), 129.0, 192.0)
+
+
+# --- threshold calibration
+
+
+@query(
+    "c1_c2_distance_blocks",
+    f"""WITH {BITS}, p AS (SELECT CASE WHEN a.id % 2 = 0 THEN 'near' ELSE 'distinct' END AS kind,
+      64 - list_sum(list_transform(list_zip(a.b, b.b), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS d FROM bits a JOIN bits b ON b.id = a.id + 1)
+    SELECT kind, CAST(min(d) AS INT) AS min_d, round(avg(d), 2) AS mean_d, CAST(max(d) AS INT) AS max_d, CAST(floor(quantile_cont(d, 0.5)) AS INT) AS p50, CAST(floor(quantile_cont(d, 0.9)) AS INT) AS p90,
+      CAST(floor(quantile_cont(d, 0.99)) AS INT) AS p99 FROM p GROUP BY kind""",
+)
+def c1_c2_distance_blocks(spark, d):
+    h = prints(spark, d)
+    pairs = h.toDF("id", "a").join(h.select((F.col("id") - 1).alias("id"), F.col("h").alias("b")), "id")
+    rows = pairs.select(F.when(F.col("id") % 2 == 0, "near").otherwise("distinct").alias("kind"), similarity.hamming(F.col("a"), F.col("b")).alias("d"))
+    return reports.distance_blocks(rows)
+
+
+@query("c3_suggested_threshold", "SELECT CAST(round_even((quantile_cont(l_quantity, 0.99) + quantile_cont(l_discount, 0.01)) / 2, 0) AS INT) AS threshold FROM lineitem")
+def c3_suggested_threshold(spark, d):
+    return table(spark, d, "lineitem").agg(F.bround((F.percentile("l_quantity", F.lit(0.99)) + F.percentile("l_discount", F.lit(0.01))) / 2).cast("int").alias("threshold"))
+
+
+# --- detector: features are text measures of labelled documents
+
+LABELLED = "rows AS (SELECT d.doc_id, quality AS y, n_chars AS f1, length(replace(text, ' ', '')) AS f2, length(text) - length(replace(text, chr(10), '')) AS f3 FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+SCORED = LABELLED + ", scored AS (SELECT doc_id, y, round(1 / (1 + exp(-(0.5 - 0.0002 * f1 + 0.05 * f3))), 6) AS p FROM rows)"
+
+
+def labelled(spark, d) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("y"), F.col("n_chars").alias("f1"), F.length(F.replace("text", F.lit(" "), F.lit(""))).alias("f2"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("f3"))
+
+
+def scored(spark, d) -> DataFrame:
+    return labelled(spark, d).select("doc_id", "y", F.round(scoring.logistic(["f1", "f3"], [-0.0002, 0.05], 0.5), 6).alias("p"))
+
+
+@query("a3_standardize", f"WITH {LABELLED}, s AS (SELECT avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f3) AS m3, stddev_pop(f3) AS s3 FROM rows) SELECT doc_id, round((f1 - m1) / CASE WHEN s1 < 1e-9 THEN 1 ELSE s1 END, 6) AS z_f1, round((f3 - m3) / CASE WHEN s3 < 1e-9 THEN 1 ELSE s3 END, 6) AS z_f3 FROM rows, s")
+def a3_standardize(spark, d):
+    return scoring.standardize(labelled(spark, d), ["f1", "f3"]).select("doc_id", F.round("z_f1", 6).alias("z_f1"), F.round("z_f3", 6).alias("z_f3"))
+
+
+@query("a5_logistic_score", f"WITH {SCORED} SELECT doc_id, p FROM scored")
+def a5_logistic_score(spark, d):
+    return scored(spark, d).select("doc_id", "p")
+
+
+@query(
+    "a6_roc_auc",
+    f"""WITH {SCORED} SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS auc
+    FROM scored a JOIN scored b ON a.y = 1 AND b.y = 0""",
+)
+def a6_roc_auc(spark, d):
+    return scoring.roc_auc(scored(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query(
+    "a7_cohens_d",
+    f"""WITH {LABELLED}, u AS (SELECT y, 'f1' AS feature, f1 AS v FROM rows UNION ALL SELECT y, 'f2', f2 FROM rows UNION ALL SELECT y, 'f3', f3 FROM rows),
+    g AS (SELECT feature, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1, var_pop(v) FILTER (y = 0) AS s0, var_pop(v) FILTER (y = 1) AS s1 FROM u GROUP BY feature)
+    SELECT feature, round(abs(m0 - m1) / CASE WHEN sqrt((s0 + s1) / 2) = 0 THEN 1e-9 ELSE sqrt((s0 + s1) / 2) END, 6) AS d FROM g""",
+)
+def a7_cohens_d(spark, d):
+    return scoring.cohens_d(labelled(spark, d), ["f1", "f2", "f3"]).select("feature", F.round("d", 6).alias("d"))
+
+
+@query(
+    "a8_threshold_sweep",
+    f"""WITH {SCORED}, t AS (SELECT DISTINCT p AS t FROM scored), c AS (SELECT t, (SELECT count(*) FROM scored WHERE y = 0 AND p < t) AS kept, (SELECT count(*) FROM scored WHERE y = 1 AND p < t) AS bad FROM t),
+    n AS (SELECT count(*) AS pos FROM scored WHERE y = 1)
+    SELECT t AS threshold, kept FROM c, n WHERE bad / greatest(pos, 1) <= 0.2 ORDER BY kept DESC, t LIMIT 1""",
+)
+def a8_threshold_sweep(spark, d):
+    return scoring.poison_threshold(scored(spark, d), most=0.2)
+
+
+@query("a9_group_split", "SELECT source, doc_id, percent < 0.7 AS is_train FROM documents JOIN (SELECT source AS s, percent_rank() OVER (ORDER BY sha256('13:' || source)) AS percent FROM (SELECT DISTINCT source FROM documents)) ON s = source")
+def a9_group_split(spark, d):
+    return sampling.group_split(table(spark, d, "documents").select("source", "doc_id"), "source", 0.7, 13)
+
+
+@query("a10_reject_rule", f"WITH {SCORED} SELECT p >= 0.39555 AS traced, count(*) AS n FROM scored GROUP BY 1")
+def a10_reject_rule(spark, d):
+    return scored(spark, d).groupBy((F.col("p") >= 0.39555).alias("traced")).agg(F.count("*").alias("n"))
+
+
+@query("a4_fit_logistic")
+def a4_fit_logistic(spark, d):
+    rows = scoring.standardize(labelled(spark, d), ["f1", "f3"])
+    model = scoring.fit_logistic(rows, ["z_f1", "z_f3"])
+    return spark.createDataFrame([("f1", float(model.coefficients[0])), ("f3", float(model.coefficients[1])), ("bias", float(model.intercept))], "name string, weight double")
+
+
+# --- joins, exclusion, sampling
+
+
+@query("j1_split_lookup", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'train' WHEN l.quality = 0 THEN 'val' END, 'corpus') AS split FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def j1_split_lookup(spark, d):
+    known = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").when(F.col("quality") == 0, "val").alias("s"))
+    return table(spark, d, "documents").join(known, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit("corpus")).alias("split"))
+
+
+@query("j2_wanted_rows", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def j2_wanted_rows(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("toxic = 0"), "doc_id", "left_semi")
+
+
+OFF = f"(SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE {SPLIT} <> 'train')"
+
+
+def pool(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.expr(SPLIT).alias("split"))
+    return sampling.exclude(docs, "doc_id", table(spark, d, "labels").select("doc_id"), docs.where("split <> 'train'").select("doc_id"))
+
+
+@query("j3_exclusion", f"SELECT doc_id FROM documents WHERE doc_id NOT IN {OFF}")
+def j3_exclusion(spark, d):
+    return pool(spark, d).select("doc_id")
+
+
+@query("p1_hash_sample", f"SELECT doc_id, sha256('1000:' || doc_id) AS draw FROM documents WHERE doc_id NOT IN {OFF} ORDER BY draw LIMIT 50")
+def p1_hash_sample(spark, d):
+    return sampling.sample(pool(spark, d).select("doc_id"), "doc_id", 50, 1000)
+
+
+@query("p2_shard_slice", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY draw) - 1 AS rn FROM (SELECT doc_id, sha256('1000:' || doc_id) AS draw FROM documents WHERE doc_id NOT IN {OFF} ORDER BY draw LIMIT 50)) WHERE rn >= 13 AND rn < 26")
+def p2_shard_slice(spark, d):
+    return sampling.shard_slice(p1_hash_sample(spark, d), 1, 4).select("doc_id")
+
+
+@query("p3_gallery_sample", "SELECT page_id FROM pages ORDER BY sha256('42:' || page_id) LIMIT 40")
+def p3_gallery_sample(spark, d):
+    return sampling.sample(table(spark, d, "pages").select("page_id"), "page_id", 40, 42).select("page_id")
+
+
+@query("p5_train_val", "SELECT item_id, CASE WHEN row_number() OVER (ORDER BY item_id DESC) <= 10 THEN 'val' ELSE 'train' END AS part FROM benchmark")
+def p5_train_val(spark, d):
+    return sampling.last_n_as_validation(table(spark, d, "benchmark").select("item_id"), "item_id", 10).select("item_id", "part")
+
+
+@query("p6_first_n", "SELECT c_name FROM customer ORDER BY c_name LIMIT 25")
+def p6_first_n(spark, d):
+    return table(spark, d, "customer").select("c_name").orderBy("c_name").limit(25)
+
+
+@query("j6_flagged_exclusion", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)")
+def j6_flagged_exclusion(spark, d):
+    return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("j7_variant_files", "SELECT o_orderkey, v FROM orders, range(0, 3) t(v) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = v + 1)")
+def j7_variant_files(spark, d):
+    variants = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("v"))
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).cast("long").alias("v")).distinct()
+    return variants.join(files, ["o_orderkey", "v"])
+
+
+@query("j8_plan_defaults", "SELECT n_name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END, d.batch, 8) AS batch, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 0.001 END, d.lr, 0.0003) AS lr FROM nation, (SELECT max(r_regionkey) AS batch, CAST(NULL AS DOUBLE) AS lr FROM region) d")
+def j8_plan_defaults(spark, d):
+    defaults = table(spark, d, "region").agg(F.max("r_regionkey").alias("batch"), F.lit(None).cast("double").alias("lr"))  # one row
+    runs = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey")).alias("b"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.001)).alias("l"))
+    return runs.crossJoin(F.broadcast(defaults)).select("n_name", F.coalesce("b", "batch", F.lit(8)).alias("batch"), F.coalesce("l", "lr", F.lit(0.0003)).alias("lr"))
+
+
+@query("j9_finished_runs", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def j9_finished_runs(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_anti")
+
+
+@query("j10_first_id_wins", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT p_size, min_by(p_name, p_partkey) AS p_name FROM part GROUP BY p_size) ON p_size = l_quantity")
+def j10_first_id_wins(spark, d):
+    first = table(spark, d, "part").groupBy("p_size").agg(F.min_by("p_name", "p_partkey").alias("p_name"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return li.join(first, F.col("p_size") == F.col("l_quantity"), "left").select("l_orderkey", "l_linenumber", "p_name")
+
+
+PIXELS = "px AS (SELECT vec_id, i - 1 AS i, CAST(floor(least(greatest(embedding[i] * 128 + 128, 0), 255)) AS INT) AS r, CAST(floor(least(greatest(embedding[65 - i] * 128 + 128, 0), 255)) AS INT) AS g, CAST((vec_id * 7 + i) % 256 AS INT) AS b FROM embeddings, range(1, 65) t(i))"
+
+
+def pixels(spark, d) -> DataFrame:
+    """A pixel table: 8x8 blocks of embeddings as colours."""
+    level = lambda i: F.floor(F.least(F.greatest(F.element_at("embedding", i) * 128 + 128, F.lit(0)), F.lit(255))).cast("int")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("n"))
+    return e.select("vec_id", (F.col("n") - 1).cast("long").alias("i"), level(F.col("n")).alias("r"), level(65 - F.col("n")).alias("g"), ((F.col("vec_id") * 7 + F.col("n")) % 256).cast("int").alias("b"))
+
+
+@query("j11_nearest_colour", f"WITH {PIXELS} SELECT vec_id, i, CAST(arg_min(k, (r - 255 * (k % 2)) ** 2 + (g - 255 * (k // 2 % 2)) ** 2 + (b - 255 * (k // 4)) ** 2) AS INT) AS label FROM (SELECT * FROM px, range(0, 8) t(k) ORDER BY vec_id, i, k) GROUP BY vec_id, i")
+def j11_nearest_colour(spark, d):
+    palette = [(255 * (k % 2), 255 * (k // 2 % 2), 255 * (k // 4)) for k in range(8)]
+    return pixels(spark, d).select("vec_id", "i", C.nearest_colour(palette).alias("label"))
+
+
+# --- scalar functions
+
+
+@query("f1_exact_hash", "SELECT doc_id, sha256(text) AS exact FROM documents")
+def f1_exact_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("exact"))
+
+
+@query("f9_f19_luma_background", f"WITH {PIXELS} SELECT vec_id, i, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 6) AS luma, (r >= 249 AND g >= 249 AND b >= 249) AS is_background FROM px")
+def f9_f19_luma_background(spark, d):
+    return pixels(spark, d).select("vec_id", "i", F.round(C.luma("r", "g", "b"), 6).alias("luma"), C.is_background("r", "g", "b").alias("is_background"))
+
+
+@query("f7_degenerate", f"WITH {PIXELS} SELECT vec_id, stddev_pop(r) < 8 OR avg(CASE WHEN r < 250 THEN 1.0 ELSE 0 END) < 0.02 OR avg(CASE WHEN r < 250 THEN 1.0 ELSE 0 END) > 0.98 AS degenerate FROM px GROUP BY vec_id")
+def f7_degenerate(spark, d):
+    ink = F.avg(F.when(F.col("r") < 250, 1.0).otherwise(0.0))
+    return pixels(spark, d).groupBy("vec_id").agg(((F.stddev_pop("r") < 8) | (ink < 0.02) | (ink > 0.98)).alias("degenerate"))
+
+
+@query("f11_decimals", "SELECT l_orderkey, l_linenumber, CASE WHEN contains(lower(t), 'e') THEN 6 WHEN contains(t, '.') THEN length(t) - strpos(t, '.') ELSE 0 END AS decimals FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '.25' ELSE 'e3' END AS t FROM lineitem)")
+def f11_decimals(spark, d):
+    tail = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 3 == 1, ".25").otherwise("e3")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("int").cast("string"), tail).alias("t"))
+    return rows.select("l_orderkey", "l_linenumber", C.decimals("t").alias("decimals"))
+
+
+@query("f12_population_stats", "SELECT l_returnflag, round(avg(l_tax), 6) AS mean, round(coalesce(stddev_pop(l_tax), 0), 6) AS sd FROM lineitem GROUP BY l_returnflag")
+def f12_population_stats(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_tax"), 6).alias("mean"), F.round(F.coalesce(F.stddev_pop("l_tax"), F.lit(0.0)), 6).alias("sd"))
+
+
+@query("f13_palette_lut", f"WITH {PIXELS} SELECT vec_id, i, least(CASE WHEN i = 0 THEN 0 ELSE row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN i = 0 THEN 0 ELSE 1 END, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 6), r, g, b, i) - 1 END, 23) AS slot FROM px")
+def f13_palette_lut(spark, d):
+    return C.palette_slots(pixels(spark, d), "vec_id", "i", 24)
+
+
+@query("f14_palette_bucket", "SELECT p_partkey, CASE WHEN p_size % 12 <= 2 THEN '1-2' WHEN p_size % 12 <= 4 THEN '3-4' WHEN p_size % 12 <= 9 THEN '5-9' ELSE '10+' END AS bucket FROM part")
+def f14_palette_bucket(spark, d):
+    return table(spark, d, "part").select("p_partkey", C.palette_bucket(F.col("p_size") % 12).alias("bucket"))
+
+
+@query("f15_recipe_text", "SELECT l_orderkey, string_agg(l_returnflag || '(' || printf('%.2f', l_discount) || ')', ' + ' ORDER BY l_linenumber, l_returnflag, l_discount) AS recipe FROM lineitem GROUP BY l_orderkey")
+def f15_recipe_text(spark, d):
+    steps = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("op"), F.col("l_discount").alias("severity"))))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(C.recipe_text(steps).alias("recipe"))
+
+
+LAB = """lin AS (SELECT vec_id, i, {c} FROM px)"""
+_LIN = ", ".join(f"CASE WHEN {k} / 255.0 <= 0.04045 THEN {k} / 255.0 / 12.92 ELSE pow(({k} / 255.0 + 0.055) / 1.055, 2.4) END AS {k}" for k in "rgb")
+_F = "CASE WHEN {0} > 0.008856451679035631 THEN cbrt({0}) ELSE ({0} * 903.2962962962963 + 16) / 116 END"
+_XYZ = {"fx": "(0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047", "fy": "(0.2126729 * r + 0.7151522 * g + 0.072175 * b)", "fz": "(0.0193339 * r + 0.119192 * g + 0.9503041 * b) / 1.08883"}
+
+
+@query("f16_lab", f"WITH {PIXELS}, {LAB.format(c=_LIN)}, f AS (SELECT vec_id, i, {', '.join(_F.format(v) + ' AS ' + k for k, v in _XYZ.items())} FROM lin) SELECT vec_id, round(avg(116 * fy - 16), 3) AS l, round(avg(500 * (fx - fy)), 3) AS a, round(avg(200 * (fy - fz)), 3) AS b FROM f GROUP BY vec_id")
+def f16_lab(spark, d):
+    lab = C.srgb_to_lab("r", "g", "b")
+    return pixels(spark, d).select("vec_id", lab.alias("c")).groupBy("vec_id").agg(*[F.round(F.avg(f"c.{k}"), 3).alias(k) for k in "lab"])
+
+
+@query("f16_delta_e", f"WITH {PIXELS}, {LAB.format(c=_LIN)}, f AS (SELECT vec_id, i, {', '.join(_F.format(v) + ' AS ' + k for k, v in _XYZ.items())} FROM lin), l AS (SELECT vec_id, i, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM f), e AS (SELECT x.vec_id, sqrt((x.l - y.l) ** 2 + (x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS e FROM l x JOIN l y ON y.vec_id = x.vec_id + 1 AND y.i = x.i) SELECT vec_id, round(avg(e), 3) AS mean, round(quantile_cont(e, 0.99), 3) AS p99 FROM e GROUP BY vec_id")
+def f16_delta_e(spark, d):
+    lab = pixels(spark, d).select("vec_id", "i", C.srgb_to_lab("r", "g", "b").alias("c"))
+    other = lab.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("c").alias("o"))
+    return lab.join(other, ["vec_id", "i"]).select("vec_id", C.delta_e("c", "o").alias("e")).groupBy("vec_id").agg(F.round(F.avg("e"), 3).alias("mean"), F.round(F.percentile("e", F.lit(0.99)), 3).alias("p99"))
+
+
+@query("f18_composite", f"WITH {PIXELS} SELECT vec_id, i, round(r * 0.4e0 + 255 * 0.6e0, 6) AS over_r, round(g * 0.4e0 + b * 0.6e0, 6) AS over_g FROM px")
+def f18_composite(spark, d):
+    return pixels(spark, d).select("vec_id", "i", F.round(C.over(F.col("r"), F.lit(255), 0.4), 6).alias("over_r"), F.round(C.over(F.col("g"), F.col("b"), 0.4), 6).alias("over_g"))
+
+
+def _crc_rows(spark, d):
+    return table(spark, d, "customer").select("c_custkey", C.item_seed("c_name", 1000).alias("seed"))
+
+
+@query("f21_item_seed")
+def f21_item_seed(spark, d):
+    return _crc_rows(spark, d)
+
+
+@query("f22_f23_seeds_and_rates", "SELECT c_custkey, c_custkey * 100003 + 3 AS variant_seed, c_custkey * 7919 + 17 AS bg_seed, round(0.0003 * sqrt((c_custkey % 32 + 1) / 8.0), 9) AS lr FROM customer")
+def f22_f23_seeds_and_rates(spark, d):
+    return table(spark, d, "customer").select("c_custkey", C.variant_seed("c_custkey", 3).alias("variant_seed"), C.background_seed("c_custkey").alias("bg_seed"), F.round(C.scaled_rate(F.col("c_custkey") % 32 + 1), 9).alias("lr"))
+
+
+# --- reports
+
+
+@query("r1_flag_counts", "SELECT flag, count(*) AS n FROM (SELECT unnest(['R:' || l_returnflag, 'W:' || l_linestatus]) AS flag FROM lineitem) GROUP BY flag")
+def r1_flag_counts(spark, d):
+    flags = table(spark, d, "lineitem").select(F.array("l_returnflag").alias("reject"), F.array("l_linestatus").alias("warn"))
+    return reports.flag_counts(flags)
+
+
+@query("r2_shard_by_tier", "SELECT o_orderpriority AS shard, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) AS total FROM orders GROUP BY 1")
+def r2_shard_by_tier(spark, d):
+    return reports.by_tier(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("r3_audit_summary", "SELECT count(*) AS total, count(l_discount) AS scored, count(*) FILTER (l_discount > 0.05 OR l_tax > 0.06) AS flagged, count(*) FILTER (l_discount > 0.05) AS n_discount, count(*) FILTER (l_tax > 0.06) AS n_tax FROM lineitem")
+def r3_audit_summary(spark, d):
+    return reports.audit_summary(table(spark, d, "lineitem"), "l_discount", {"discount": "l_discount > 0.05", "tax": "l_tax > 0.06"})
+
+
+@query("r4_worst_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY coalesce(l_extendedprice, 0) DESC, l_orderkey, l_linenumber LIMIT 25")
+def r4_worst_k(spark, d):
+    return reports.worst(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("r5_finalize", "SELECT CASE WHEN p_size < 5 THEN 'partial' WHEN p_retailprice < 1000 THEN 'blank' WHEN p_size > 45 THEN 'bad-key' ELSE 'usable' END AS state, count(*) AS n FROM part GROUP BY 1")
+def r5_finalize(spark, d):
+    state = F.when(F.col("p_size") < 5, "partial").when(F.col("p_retailprice") < 1000, "blank").when(F.col("p_size") > 45, "bad-key").otherwise("usable")
+    return table(spark, d, "part").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("r6_palette_histogram", "SELECT CASE WHEN p_size % 12 <= 2 THEN '1-2' WHEN p_size % 12 <= 4 THEN '3-4' WHEN p_size % 12 <= 9 THEN '5-9' ELSE '10+' END AS bucket, count(*) AS n FROM part GROUP BY 1")
+def r6_palette_histogram(spark, d):
+    return f14_palette_bucket(spark, d).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("r7_calibration_summary", "SELECT l_returnflag AS family, feature, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd, round(quantile_cont(v, 0.1), 4) AS p10, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90 FROM (SELECT l_returnflag, 'quantity' AS feature, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'price', l_extendedprice FROM lineitem) GROUP BY 1, 2")
+def r7_calibration_summary(spark, d):
+    li = table(spark, d, "lineitem")
+    rows = li.select(F.col("l_returnflag").alias("family"), F.explode(F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("price"), F.col("l_extendedprice").cast("double"))).alias("feature", "v"))
+    return reports.calibration(rows)
+
+
+@query("r8_eval_aggregates", "SELECT event_type AS variant, count(*) FILTER (event_id % 10 <> 0) AS n, round(avg(value) FILTER (event_id % 10 <> 0), 6) AS mean FROM events GROUP BY 1")
+def r8_eval_aggregates(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("variant"), "value", F.when(F.col("event_id") % 10 == 0, "failed").alias("error"))
+    return reports.eval_means(e, "variant", "value")
+
+
+@query("r9_bench_speedup", "WITH g AS (SELECT event_type AS config, max(value) AS best FROM events GROUP BY 1) SELECT config, round(best, 6) AS best, round(best / (SELECT best FROM g WHERE config = 'click'), 6) AS speedup FROM g")
+def r9_bench_speedup(spark, d):
+    return reports.speedups(table(spark, d, "events").select(F.col("event_type").alias("config"), "value"), "click")
+
+
+@query("r10_mode_per_block", f"WITH {PIXELS}, c AS (SELECT vec_id, r // 64 AS label, count(*) AS n FROM px GROUP BY 1, 2) SELECT vec_id, arg_max(label, n * 1000 - label) AS label FROM c GROUP BY vec_id")
+def r10_mode_per_block(spark, d):
+    return reports.mode(pixels(spark, d).select("vec_id", F.floor(F.col("r") / 64).cast("int").alias("label")), "vec_id", "label")
+
+
+@query("r11_median_colour", f"WITH {PIXELS} SELECT vec_id, median(r) AS r, median(g) AS g, median(b) AS b FROM px GROUP BY vec_id")
+def r11_median_colour(spark, d):
+    return pixels(spark, d).groupBy("vec_id").agg(*[F.percentile(k, F.lit(0.5)).alias(k) for k in "rgb"])
+
+
+@query("r12_colour_histogram", f"WITH {PIXELS} SELECT r // 32 AS r32, g // 32 AS g32, b // 32 AS b32, count(*) AS n FROM px GROUP BY 1, 2, 3")
+def r12_colour_histogram(spark, d):
+    return reports.colour_histogram(pixels(spark, d), 32)
+
+
+@query(
+    "r13_boundary_f1",
+    f"""WITH {PIXELS}, g AS (SELECT vec_id, i, r > 128 AS t, r > 120 AS p FROM px),
+    e AS (SELECT a.vec_id, a.i, max(CASE WHEN a.t <> b.t THEN 1 ELSE 0 END) AS tb, max(CASE WHEN a.p <> b.p THEN 1 ELSE 0 END) AS pb
+      FROM g a JOIN g b ON b.vec_id = a.vec_id AND ((b.i = a.i + 1 AND a.i % 8 < 7) OR b.i = a.i + 8) GROUP BY 1, 2)
+    SELECT vec_id, CAST(sum(tb * pb) AS BIGINT) AS hit, CAST(sum(tb) AS BIGINT) AS true_edges, CAST(sum(pb) AS BIGINT) AS found_edges FROM e GROUP BY vec_id""",
+)
+def r13_boundary_f1(spark, d):
+    return reports.boundary_parts(pixels(spark, d).select("vec_id", "i", (F.col("r") > 128).alias("t"), (F.col("r") > 120).alias("p")), 8)
+
+
+@query("r14_leaderboard", "SELECT user_id, min(epoch) AS epoch, round(min(value), 6) AS best FROM (SELECT user_id, event_id AS epoch, value, min(value) OVER (PARTITION BY user_id) AS m FROM events) WHERE value = m GROUP BY user_id")
+def r14_leaderboard(spark, d):
+    return reports.leaderboard(table(spark, d, "events").select("user_id", F.col("event_id").alias("epoch"), "value"))
+
+
+# --- pixel tables, labels, QC
+
+
+@query("l4_region_ids", f"WITH {PIXELS} SELECT vec_id, i, CASE WHEN k = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY vec_id ORDER BY k) - CASE WHEN z THEN 1 ELSE 0 END END AS region FROM (SELECT vec_id, i, k, bool_or(k = 0) OVER (PARTITION BY vec_id) AS z FROM (SELECT vec_id, i, (g // 128) * 65536 + (r // 64) AS k FROM px))")
+def l4_region_ids(spark, d):
+    key = F.shiftleft(F.floor(F.col("g") / 128).cast("long"), 16).bitwiseOR(F.floor(F.col("r") / 64).cast("long"))
+    return reports.region_ids(pixels(spark, d).withColumn("k", key), "vec_id", "k").select("vec_id", "i", "region")
+
+
+@query("l9_ink_mask", f"WITH {PIXELS} SELECT vec_id, count(*) FILTER (abs(r - 255) > 6 OR abs(g - 255) > 6 OR abs(b - 255) > 6) AS ink FROM px GROUP BY vec_id")
+def l9_ink_mask(spark, d):
+    return pixels(spark, d).groupBy("vec_id").agg(F.count_if(C.is_ink("r", "g", "b")).alias("ink"))
+
+
+@query(
+    "l10_audit_flags",
+    f"""WITH {PIXELS}, m AS (SELECT vec_id, avg(CASE WHEN r < 249 OR g < 249 OR b < 249 THEN 1.0 ELSE 0 END) AS ink, avg(CASE WHEN r // 64 > 0 THEN 1.0 ELSE 0 END) AS lab, avg(abs(r - g)) AS mae, count(DISTINCT r // 64) AS used FROM px GROUP BY vec_id)
+    SELECT vec_id, round(ink, 5) AS ink_frac, round(lab, 5) AS label_nonzero_frac, round(abs(ink - lab), 5) AS coverage_delta, round(mae, 4) AS reconstruction_mae,
+      array_to_string(list_filter([CASE WHEN ink < 0.001 THEN 'blank' END, CASE WHEN ink >= 0.001 AND lab = 0 THEN 'labels-empty' END, CASE WHEN ink >= 0.001 AND abs(ink - lab) > 0.05 THEN 'coverage-mismatch' END,
+      CASE WHEN mae > 40 THEN 'high-reconstruction' END, CASE WHEN used < 4 THEN 'palette-mismatch' END], lambda x: x IS NOT NULL), ',') AS flags FROM m""",
+)
+def l10_audit_flags(spark, d):
+    px = pixels(spark, d).withColumns({"label": F.floor(F.col("r") / 64).cast("int"), "error": F.abs(F.col("r") - F.col("g"))})
+    return reports.audit_flags(px, "vec_id", declared=4, limits={"blank": 0.001, "coverage": 0.05, "reconstruction": 40.0})
+
+
+@query("w_posterize", f"WITH {PIXELS} SELECT vec_id, i, (r >> 5) << 5 AS r, (g >> 5) << 5 AS g FROM px")
+def w_posterize(spark, d):
+    return pixels(spark, d).select("vec_id", "i", C.posterize("r", 3).alias("r"), C.posterize("g", 3).alias("g"))
+
+
+# --- rules on markup (text level with SQL; parsed rules on a small drawing set)
+
+
+@query(
+    "g4_g8_text_rules",
+    """SELECT page_id, (contains(lower(html), '<script') OR regexp_matches(lower(html), '\\bon(load|click|mouseover)\\s*=')) AS script,
+      regexp_matches(lower(html), 'href\\s*=\\s*["'']https?://') AS external_ref, contains(lower(html), '<style') AS css_block, length(html) > 20000 AS huge FROM pages""",
+)
+def g4_g8_text_rules(spark, d):
+    from quillon.functions import svg
+
+    reject, warn = svg.text_flags("html")
+    rows = table(spark, d, "pages").select("page_id", reject.alias("r"), warn.alias("w"), (F.char_length("html") > 20000).alias("huge"))
+    return rows.select("page_id", F.array_contains("r", "script").alias("script"), F.array_contains("r", "external-ref").alias("external_ref"), F.array_contains("w", "css-block").alias("css_block"), "huge")
+
+
+def drawings(spark, d) -> DataFrame:
+    """SVG texts made from the parts table, one shape of fault for each remainder of the key."""
+    shape = F.expr("""CASE p_partkey % 8 WHEN 0 THEN concat('<path d="M0 0 L', p_size, ' 10 C1 1 2 2 3 3 Z" fill="#', lpad(hex(p_size), 6, '0'), '"/>') WHEN 1 THEN concat('<rect width="', p_size, '" height="2" fill="red"/>')
+      WHEN 2 THEN '<image href="https://x"/>' WHEN 3 THEN '<text>a</text><path d="M0 0 H5" style="fill:none"/>' WHEN 4 THEN '<g id="Logo"/>' WHEN 5 THEN '<path d="M900 900 l1 1.25"/>' WHEN 6 THEN '<circle r="1" display="none"/>' ELSE '<rect' END""")
+    box = F.expr("""CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN ' viewBox="0 0 0 5"' ELSE ' viewBox="0 0 100 100"' END""")
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"'), box, F.lit(">"), shape, F.lit("</svg>")).alias("svg"))
+
+
+@query("g1_g20_quality_tiers")
+def g1_g20_quality_tiers(spark, d):
+    from quillon.functions import svg
+
+    return svg.classified(drawings(spark, d)).select("p_partkey", "tier", "reject", "warn", "len", "paths", "cmds", "colors", "gradient", "stroke", F.round("curve_frac", 3).alias("curve_frac"))
+
+
+@query("r1_tier_counts", "SELECT CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 8 IN (2, 4, 5, 6, 7) THEN 'reject' WHEN p_partkey % 8 = 3 OR (p_partkey % 8 = 0 AND p_size < 10) THEN 'warn' ELSE 'clean' END AS tier, count(*) AS n FROM part GROUP BY 1")
+def r1_tier_counts(spark, d):
+    return g1_g20_quality_tiers(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("a1_a2_trace_features")
+def a1_a2_trace_features(spark, d):
+    from quillon.functions import svg
+
+    return svg.traced_features(drawings(spark, d)).drop("svg", "facts", "canon")
+
+
+@query("f2_f5_normalized_hash")
+def f2_f5_normalized_hash(spark, d):
+    from quillon.functions import svg
+
+    return svg.parsed(drawings(spark, d)).select("p_partkey", F.sha2("canon", 256).alias("norm"))
+
+
+# --- events
+
+
+@query(
+    "t1_retention",
+    """SELECT event_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, CASE WHEN event_type = 'purchase' THEN 'sample' WHEN event_type = 'click' THEN 'step' ELSE 'other' END ORDER BY event_id DESC) AS rn FROM events)
+    WHERE rn <= CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'click' THEN 20 ELSE 5 END""",
+)
+def t1_retention(spark, d):
+    from quillon.streaming import events as E
+
+    rows = table(spark, d, "events").withColumn("kind", F.when(F.col("event_type") == "purchase", "sample").when(F.col("event_type") == "click", "step").otherwise("other"))
+    return E.retained(rows, "user_id", "event_id", "kind", {"sample": 1, "step": 20}, 5).select("event_id")
+
+
+@query("t2_latest_run", "SELECT event_id FROM events e WHERE user_id = (SELECT max(user_id) FROM events)")
+def t2_latest_run(spark, d):
+    e = table(spark, d, "events")
+    return e.join(F.broadcast(e.agg(F.max("user_id").alias("user_id"))), "user_id", "left_semi").select("event_id")  # one row
+
+
+@query("t3_throttle", "SELECT user_id, w, max(event_id) AS event_id FROM (SELECT user_id, event_id, date_trunc('hour', ts) AS w FROM events) GROUP BY user_id, w")
+def t3_throttle(spark, d):
+    from quillon.streaming import events as E
+
+    return E.throttled(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", "1 hour").select("user_id", F.col("w").cast("timestamp_ntz").alias("w"), "event_id")
+
+
+@query("s4_manifest_last_wins", "SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def s4_manifest_last_wins(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
+
+
+@query("s5_off_split", f"SELECT doc_id FROM documents WHERE {SPLIT} <> 'train'")
+def s5_off_split(spark, d):
+    return table(spark, d, "documents").where(F.expr(SPLIT) != "train").select("doc_id")
+
+
+@query("w_degradation_kernels")
+def w_degradation_kernels(spark, d):
+    from quillon.functions import raster
+
+    return raster.degraded(table(spark, d, "embeddings"), 8)
+
+
+@query("k1_k2_forensics")
+def k1_k2_forensics(spark, d):
+    from quillon.functions import raster
+
+    return raster.forensics(table(spark, d, "embeddings"), 8)
+
+
+@query("d12_recipes")
+def d12_recipes(spark, d):
+    from quillon.functions import recipes
+
+    return recipes.sampled(table(spark, d, "customer").select("c_custkey"), "c_custkey")
