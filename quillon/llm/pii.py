@@ -115,10 +115,12 @@ def contexts(t: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, offs = K.column_bytes(b.column("text"))
-        at = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57), dtype=np.int64)))
-        digits = at[offs[1:]] - at[offs[:-1]]
-        mails = np.zeros(len(digits), bool)
-        mails[np.searchsorted(offs, np.flatnonzero(buf == 64), "right") - 1] = True
+        digits, mails = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
+        for i, j in K.chunks(offs):
+            part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            at = np.concatenate(([0], np.cumsum((part >= 48) & (part <= 57))))
+            digits[i:j] = at[o[1:]] - at[o[:-1]]
+            mails[i + np.searchsorted(o, np.flatnonzero(part == 64), "right") - 1] = True
         base, entities, near = [[] for _ in digits], [[] for _ in digits], [[] for _ in digits]
         col = b.column("text")
         for r in np.flatnonzero(mails | (digits >= 4)):
