@@ -86,7 +86,7 @@ def paper(x, s, rng):
 
 
 def bleed_through(x, s, rng):
-    return np.minimum(x, 255 - 0.25 * s * (255 - _blur(x[:, ::-1], 1.5)))
+    return x * (1 - 0.25 * s * (255 - _blur(x[:, ::-1], 1.5)) / 255)
 
 
 def ink_bleed(x, s, rng):
