@@ -163,7 +163,7 @@ class Page:
         else:
             keep = bytearray(b"\1" * len(self.pieces))
         for i, (tag, _, a, b, bad, h) in enumerate(self.nodes):
-            if bad or (tag not in ("html", "body") and i != root and h in (inner if root < 0 or within[i] else outer) and not self._holds(i, root)):
+            if bad or (tag not in ("html", "body") and i != root and h in (inner if within[i] else outer) and not self._holds(i, root)):
                 keep[a:b] = bytes(b - a)
         blocks, now = [], []
         for p, k in zip(self.pieces, keep):

@@ -96,7 +96,7 @@ class Model:
             k = np.searchsorted(c2, c3 % (r * r))
             p3 = self._level(self._table(c3, (x * r + y) * r + z, b, n, a), p2[k])
             cost[:, :, i] = -np.log2(np.concatenate((p0, p1, p2, p3)))
-        self.cost = cost.reshape(-1, len(self.langs))
+        self.cost = cost.reshape(len(cost) * a, len(self.langs))
 
     @staticmethod
     def _table(known: np.ndarray, ctx: np.ndarray, b: np.ndarray, n: np.ndarray, a: int) -> np.ndarray:

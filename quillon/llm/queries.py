@@ -26,7 +26,7 @@ def op1_quality_rules(spark, d):
 
 @_query
 def op2_source_mixing(spark, d):
-    mixed = source_mixing.mix(_table(spark, d, "documents"))
+    mixed = source_mixing.mix(_table(spark, d, "documents"), narrow=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return out.select("_src", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 1, boundary: str = "split") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 1, boundary: str = "split", narrow: bool = False) -> DataFrame:
     """docs with size, source_size, target, es_key, taken and copies added (such columns are replaced).
 
     taken counts words, repeats included; copies is the number of times that the document is
@@ -63,11 +63,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     target (rounded down); `nearest` takes it whole if at least half fits. The null source is
     a source, the last one. A null or wordless text has the size 0 and takes 0. Ties of keys
     go by key column, then by text; repeated rows are separate documents with equal keys.
-    Draws depend on the key column and the seed alone, so reruns agree.
+    Draws depend on the key column and the seed alone, so reruns agree. narrow keeps the key
+    column alone beside those added; the texts are then read once, otherwise once more for
+    each step, since rows with their texts aren't stored in between.
     """
     if boundary not in ("split", "nearest"):
         raise ValueError("boundary is split or nearest")
-    rows = with_keys(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed)
+    rows = with_keys(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed).withColumn("_tie", F.md5(F.col(text)))
+    if narrow:
+        rows = store(rows.select(key, "size", "_src", "es_key", "_b", "_tie")).df
     buckets = store(rows.groupBy("_src", "_b").agg(F.sum("size").alias("n"))).df
     goal = targets(buckets.groupBy("_src").agg(F.sum("n").alias("source_size")), weights, budget, epochs)
     goal = goal.withColumn("_e", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -79,7 +83,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = F.broadcast(plan) if plan.count() <= 10_000 else plan
     rows = rows.join(plan, rows["_src"].eqNullSafe(plan["_p"]))
     clear = rows.where("_b <> _at").withColumns({"_extra": F.when(F.col("_b") < F.col("_at"), F.col("size")).otherwise(F.lit(0)), "_one": (F.col("_b") < F.col("_at")).cast("int")})
-    run = Window.partitionBy("_src").orderBy("es_key", F.col(key).asc_nulls_last(), F.md5(F.col(text)).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_src").orderBy("es_key", F.col(key).asc_nulls_last(), F.col("_tie").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.where("_b = _at").withColumn("_left", F.col("_rest") - F.col("_before") - (F.sum("size").over(run) - F.col("size")))
     if boundary == "split":
         edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least("size", "_left"))).withColumn("_one", (F.col("_extra") > 0).cast("int"))
@@ -87,7 +91,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         edge = edge.withColumn("_one", ((F.col("_left") > 0) & (F.col("_left") * 2 >= F.col("size"))).cast("int")).withColumn("_extra", F.col("_one") * F.col("size"))
     out = clear.unionByName(edge.drop("_left"))
     out = out.withColumns({"taken": (F.col("_e") * F.col("size") + F.col("_extra")).cast("long"), "copies": (F.col("_e") + F.col("_one")).cast("int")})
-    return out.drop("_src", "_b", "_p", "_e", "_rest", "_at", "_before", "_extra", "_one")
+    return out.drop("_src", "_b", "_tie", "_p", "_e", "_rest", "_at", "_before", "_extra", "_one")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
