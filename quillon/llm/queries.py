@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import html_extract, pii, positional_index, ppm_language, quality_rules, ring_sharding, signature_trees, source_mixing, suffix_dedup, token_counts
+from quillon.llm import html_extract, oracles, pii, positional_index, ppm_language, quality_rules, ring_sharding, signature_trees, source_mixing, suffix_dedup, token_counts
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": oracles.OP1, "op2_source_mixing": oracles.OP2, "op5_ngram_jaccard_join": oracles.OP5, "op8_positional_decontamination": oracles.OP8}
 
 
 def _query(f):
@@ -21,13 +21,14 @@ def _table(spark, d, name):
 
 @_query
 def op1_quality_rules(spark, d):
-    return quality_rules.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
+    judged = quality_rules.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
 @_query
 def op2_source_mixing(spark, d):
     mixed = source_mixing.mix(_table(spark, d, "documents"), narrow=True)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query
@@ -48,7 +49,7 @@ def op4_ring_sharding(spark, d):
 @_query
 def op5_ngram_jaccard_join(spark, d):
     groups = signature_trees.jaccard_groups(_table(spark, d, "documents"))
-    return groups.select("doc_id", "n_shingles", "component_id", F.col("grp").alias("class_id"))
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 @_query
