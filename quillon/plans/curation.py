@@ -345,7 +345,7 @@ def f7_degenerate(spark, d):
     return pixels(spark, d).groupBy("vec_id").agg(((F.stddev_pop("r") < 8) | (ink < 0.02) | (ink > 0.98)).alias("degenerate"))
 
 
-@query("f11_decimals", "SELECT l_orderkey, l_linenumber, CASE WHEN contains(lower(t), 'e') THEN 6 WHEN contains(t, '.') THEN length(t) - strpos(t, '.') ELSE 0 END AS decimals FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '.25' ELSE 'e3' END AS t FROM lineitem)")
+@query("f11_decimals", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN contains(lower(t), 'e') THEN 6 WHEN contains(t, '.') THEN length(t) - strpos(t, '.') ELSE 0 END AS INTEGER) AS decimals FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '.25' ELSE 'e3' END AS t FROM lineitem)")
 def f11_decimals(spark, d):
     tail = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 3 == 1, ".25").otherwise("e3")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("int").cast("string"), tail).alias("t"))
