@@ -58,3 +58,42 @@ def sampled(items: DataFrame, key: str, seed: int = 1000) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "family", "global_severity", "n_ops", "ops"])
 
     return items.select(key).mapInPandas(run, f"{key} long, family string, global_severity double, n_ops int, ops string")
+
+
+# Fixed values of the tiers: number of steps, severities, share with a closing JPEG.
+TIERS = {"light": ((1, 2), (0.10, 0.35), 0.7), "medium": ((2, 3), (0.30, 0.65), 0.85), "brutal": ((3, 4), (0.55, 0.95), 0.95)}
+TIER_STEPS = ["downscale_upscale", "gaussian_blur", "unsharp_halo", "posterize", "dither_palette_crush", "gaussian_noise"]
+IDENTITY_SHARE, BARELY_SHARE, BARELY = 0.12, 0.30, 0.3
+
+
+def tier_recipe(seed: int, tier: str = "medium", curriculum: bool = False) -> list[dict]:
+    """Steps with severities for a tier; in a fifth of those with JPEG it is the last but one.
+
+    With a curriculum, 12 % of recipes are empty and the next 18 % barely damage.
+    """
+    (least, most), (low, high), share = TIERS[tier]
+    rng = np.random.default_rng(seed)
+    count, jpeg = int(rng.integers(least, most + 1)), bool(rng.random() < share)
+    names = [str(x) for x in rng.permutation(TIER_STEPS)[: count - jpeg]]
+    steps = [{"op": x, "severity": round(float(rng.uniform(low, high)), 3)} for x in names]
+    if jpeg:
+        at = len(steps) - (1 if steps and rng.random() < 0.2 else 0)
+        steps.insert(at, {"op": "jpeg_cycle", "severity": round(float(rng.uniform(low, high)), 3)})
+    if curriculum:
+        draw = rng.random()
+        if draw < IDENTITY_SHARE:
+            return []
+        if draw < BARELY_SHARE:
+            return [s | {"severity": round(s["severity"] * BARELY, 4)} for s in steps]
+    return steps
+
+
+def tier_recipes(items: DataFrame, key: str, tier: str = "medium", curriculum: bool = True) -> DataFrame:
+    """(key, n_ops, ops as JSON), by the item's key alone."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, len(r), json.dumps(r)) for k in f[key] for r in (tier_recipe(int(k) * 100003, tier, curriculum),)]
+            yield pd.DataFrame(rows, columns=[key, "n_ops", "ops"])
+
+    return items.select(key).mapInPandas(run, f"{key} long, n_ops int, ops string")

@@ -633,3 +633,17 @@ def d12_recipes(spark, d):
     from quillon.functions import recipes
 
     return recipes.sampled(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
+@query("d11_tier_recipes")
+def d11_tier_recipes(spark, d):
+    from quillon.functions import recipes
+
+    return recipes.tier_recipes(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
+@query("l8_l11_labels_and_backgrounds")
+def l8_l11_labels_and_backgrounds(spark, d):
+    from quillon.functions import labels
+
+    return labels.labelled_images(table(spark, d, "embeddings"))

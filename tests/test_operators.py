@@ -176,3 +176,24 @@ def test_event_streams(spark, tmp_path):
     q = events.live_throttle(events.read_events(spark, str(log))).writeStream.format("memory").queryName("slow").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination(60)
     assert spark.table("slow").count() == 30
+
+
+def test_labels_from_pixels():
+    from quillon.functions import labels
+
+    img = np.full((40, 40, 3), 255.0)
+    img[5:20, 5:20], img[20:35, 20:35] = (200, 16, 16), (16, 16, 200)
+    img[5:20, 20] = (232, 144, 144)  # between red and white
+    label, palette = labels.labels_from_pixels(img)
+    assert len(palette) == 3 and label[0, 0] == 0 and label[10, 10] != label[30, 30] and 0 not in (label[10, 10], label[30, 30])
+    assert labels.labels_from_pixels(np.full((4, 4, 3), 255.0))[1].tolist() == [[255, 255, 255]]
+    picks = [labels.background(palette, s) for s in range(300)]
+    assert 0.3 < picks.count((255, 255, 255)) / 300 < 0.5 and all(np.linalg.norm(palette[1:] - np.array(p, float), axis=1).min() > 60 for p in picks)
+
+
+def test_tier_recipes():
+    for tier, ((least, most), (low, high), _) in recipes.TIERS.items():
+        drawn = [recipes.tier_recipe(s, tier) for s in range(300)]
+        assert all(least <= len(r) <= most and all(low <= x["severity"] <= high for x in r) for r in drawn)
+    drawn = [recipes.tier_recipe(s, "medium", True) for s in range(600)]
+    assert 0.07 < sum(not r for r in drawn) / 600 < 0.17
