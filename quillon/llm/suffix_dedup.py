@@ -10,6 +10,9 @@ its left as a tail. The steps are:
 2. Texts and their repeated anchors meet by document bucket. Each task sorts its anchors'
    suffixes, keeps the earliest of equal ones (the others are repeats at once), and writes
    front-coded runs: the length of the prefix shared with the entry before, and the rest.
+   Grams with more than HOT anchors are kept out of the runs: their strings, one of each that
+   a task has, are dealt by string hash, so a passage that very many rows share, with as many
+   surroundings as rows, makes no task large.
 3. Runs are exchanged by gram and merged with a loser tree that carries common-prefix
    lengths: two candidates are compared only beyond the prefix that both are known to share
    with the last output. The merged order puts suffixes with a common gram side by side;
@@ -35,6 +38,8 @@ from quillon.session import store
 
 #: Packed anchors of a bucket, bytes of text of a document bucket, and suffixes of a merge bucket, about.
 ANCHORS, TEXT_BYTES, SUFFIXES = 2_000_000, 12_000_000, 60_000
+#: Anchors of one gram beyond which its strings are compared one by one.
+HOT = 5000
 LAST = (1 << 63) - 1
 
 
@@ -89,7 +94,7 @@ def _find(length: int, gram: int, buckets: int, doc_buckets: int):
         at = (v >> K.U(40)) % K.U(buckets)
         order = np.argsort(at, kind="stable")
         at = at[order]
-        rec = np.empty(len(v), REC)
+        rec = np.zeros(len(v), REC)
         rec["v"], rec["d"], rec["db"], rec["q"], rec["lo"], rec["hi"] = v, d >> K.U(32), d.view(np.int64) % doc_buckets, q, lo, hi
         rec = rec[order]
         cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -116,7 +121,7 @@ def _find(length: int, gram: int, buckets: int, doc_buckets: int):
 
 
 #: An anchor on its way: low bits of the gram hash, high bits of the row hash, document bucket, place, offsets.
-REC = np.dtype([("v", "u4"), ("d", "u4"), ("db", "u4"), ("q", "u4"), ("lo", "u2"), ("hi", "u2")])
+REC = np.dtype([("v", "u4"), ("d", "u4"), ("db", "u4"), ("q", "u4"), ("lo", "u2"), ("hi", "u2"), ("hot", "u1")])
 
 
 def _columns(rec: np.ndarray) -> bytes:
@@ -151,7 +156,14 @@ def _split(rec: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(by[a]), rec[a:e]
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _shared_anchors(table, hot)
+
+    return run
+
+
+def _shared_anchors(table: pa.Table, hot: int) -> pa.Table:
     rec = np.concatenate([_rows(x, REC) for x in table.column("data").to_pylist()])
     rec = rec[np.argsort(rec["v"], kind="stable")]
     v = rec["v"]
@@ -159,6 +171,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     keep = np.zeros(len(v), bool)
     keep[1:] |= same
     keep[:-1] |= same
+    cut = np.flatnonzero(np.concatenate(([True], ~same))) if len(v) else np.zeros(0, np.int64)
+    n = np.diff(np.append(cut, len(v)))
+    rec["hot"] = np.repeat(n > hot, n)
     out = list(_split(rec[keep], rec["db"][keep]))
     return pa.table({"db": pa.array([x for x, _ in out], pa.int64()), "data": pa.array([_columns(x) for _, x in out], pa.binary())})
 
@@ -167,6 +182,8 @@ def _repeated(table: pa.Table) -> pa.Table:
 MARK = np.dtype([("dh", "i8"), ("start", "u4"), ("stop", "u4")])
 #: A suffix of a run: prefix shared with the one before, length of the rest, offsets, row, place.
 ENTRY = np.dtype([("lcp", "u2"), ("rest", "u2"), ("lo", "u2"), ("hi", "u2"), ("key", "i8"), ("dh", "i8"), ("q", "u4")])
+#: A string of a hot gram.
+STRING = np.dtype([("h", "u8"), ("key", "i8"), ("dh", "i8"), ("start", "u4")])
 RUNS = "kind byte, bucket long, data binary, tails binary"
 
 
@@ -247,25 +264,31 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 def _runs(length: int, gram: int, merge_buckets: int, doc_buckets: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        marks, best, at_row = [], {}, {}
+        marks, best, at_row, many = [], {}, {}, set()
         if len(found) and len(texts):
-            rec = np.unique(np.concatenate([_rows(x, REC) for x in found.column("data").to_pylist()])[["d", "q", "lo", "hi"]])
+            rec = np.unique(np.concatenate([_rows(x, REC) for x in found.column("data").to_pylist()])[["d", "q", "lo", "hi", "hot"]])
             keys, dhs, col = texts.column("key").to_pylist(), texts.column("dh").to_pylist(), texts.column("text")
             for r, dh in enumerate(dhs):
                 at_row.setdefault((dh & 0xFFFFFFFFFFFFFFFF) >> 32, {})[dh] = r
             cut = np.flatnonzero(np.concatenate(([True], rec["d"][1:] != rec["d"][:-1])))
-            lists = {int(rec["d"][a]): rec[a:e][["q", "lo", "hi"]].tolist() for a, e in zip(cut, [*cut[1:], len(rec)])}
+            lists = {int(rec["d"][a]): rec[a:e][["q", "lo", "hi", "hot"]].tolist() for a, e in zip(cut, [*cut[1:], len(rec)])}
             todo = sorted((keys[r], dh, r, d) for d in lists for dh, r in at_row.get(d, {}).items())
             for key, dh, r, d in todo:
                 t = (col[r].as_py() or "").encode()
-                for q, lo, hi in lists[d]:
+                for q, lo, hi, hot in lists[d]:
                     if q < hi or q - lo + length > len(t):
                         continue  # of another row whose hash begins alike
                     s = t[q : q + length - lo] + t[q - hi : q][::-1]
+                    if hot:
+                        many.add((s, lo, hi))
                     if best.setdefault((s, lo, hi), (key, dh, q)) != (key, dh, q):
                         marks.append((dh, q - hi, q - lo + 1))
         out: list[tuple] = []
         m = np.array(marks, MARK)
+        if many:
+            strings, own = _strings([(*x, *best.pop(x)) for x in many], length)
+            out += [(2, b, _columns(x), None) for b, x in _split(strings, (strings["h"] % K.U(merge_buckets)).astype(np.int64))]
+            m = np.concatenate((m, own))
         out += [(0, b, _columns(x), None) for b, x in _split(m, m["dh"] % doc_buckets)]
         by: dict[int, list] = {}
         for (s, lo, hi), (key, dh, q) in best.items():
@@ -276,27 +299,63 @@ def _runs(length: int, gram: int, merge_buckets: int, doc_buckets: int):
     return run
 
 
-def _owned(items: list[tuple], length: int) -> np.ndarray:
-    """MARKs of the strings owned by the items (suffix, lo, hi, key, dh, q) of whole gram groups that an earlier item owns too."""
+def _each_string(items: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """(hash, item, place within the item, items in order) of each string that the items own."""
     items = sorted(items, key=lambda x: x[3:])
     text = b"".join(s[: length - lo - 1 : -1] + s[: length - lo] for s, lo, *_ in items)
-    lo, hi, dh, q = (np.array([x[i] for x in items], np.int64) for i in (1, 2, 4, 5))
-    size = hi - lo + 1
+    size = np.array([x[2] - x[1] + 1 for x in items], np.int64)
     begin = np.concatenate(([0], np.cumsum(size + length - 1)))[:-1]
     item = np.repeat(np.arange(len(items)), size)
     nth = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
     at = begin[item] + nth
-    h = K.span_hash(K.prefix_hash(np.frombuffer(text, np.uint8)), at, at + length)
-    mark = np.ones(len(h), bool)
-    mark[np.unique(h, return_index=True)[1]] = False
+    return K.span_hash(K.prefix_hash(np.frombuffer(text, np.uint8)), at, at + length), item, nth, items
+
+
+def _marks(mark: np.ndarray, item: np.ndarray, nth: np.ndarray, items: list[tuple]) -> np.ndarray:
+    """MARKs of the strings that mark names, neighbours joined."""
     on = np.flatnonzero(mark & np.concatenate(([True], ~mark[:-1] | (item[1:] != item[:-1]))))
     off = np.flatnonzero(mark & np.concatenate((~mark[1:] | (item[1:] != item[:-1]), [True])))
+    dh, first = np.array([x[4] for x in items], np.int64), np.array([x[5] - x[2] for x in items], np.int64)
     out = np.empty(len(on), MARK)
-    out["dh"], out["start"] = dh[item[on]], (q - hi)[item[on]] + nth[on]
+    out["dh"], out["start"] = dh[item[on]], first[item[on]] + nth[on]
     out["stop"] = out["start"] + (off - on) + 1
     return out
 
 
+def _owned(items: list[tuple], length: int) -> np.ndarray:
+    """MARKs of the strings owned by the items (suffix, lo, hi, key, dh, q) of whole gram groups that an earlier item owns too."""
+    h, item, nth, items = _each_string(items, length)
+    mark = np.ones(len(h), bool)
+    mark[np.unique(h, return_index=True)[1]] = False
+    return _marks(mark, item, nth, items)
+
+
+def _strings(items: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(STRINGs, the earliest of equal ones; MARKs of the others)."""
+    h, item, nth, items = _each_string(items, length)
+    first = np.sort(np.unique(h, return_index=True)[1])
+    mark = np.ones(len(h), bool)
+    mark[first] = False
+    out = np.empty(len(first), STRING)
+    own = item[first]
+    out["h"], out["start"] = h[first], np.array([x[5] - x[2] for x in items], np.int64)[own] + nth[first]
+    out["key"], out["dh"] = np.array([x[3] for x in items], np.int64)[own], np.array([x[4] for x in items], np.int64)[own]
+    return out, _marks(mark, item, nth, items)
+
+
+def _later_strings(doc_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        s = np.concatenate([_rows(x, STRING) for x in table.column("data").to_pylist()])
+        s = s[np.lexsort((s["start"], s["dh"], s["key"], s["h"]))]
+        s = s[1:][s["h"][1:] == s["h"][:-1]]
+        m = np.empty(len(s), MARK)
+        m["dh"], m["start"], m["stop"] = s["dh"], s["start"], s["start"] + 1
+        out = list(_split(m, m["dh"] % doc_buckets))
+        return pa.table({"bucket": pa.array([x for x, _ in out], pa.int64()), "data": pa.array([_columns(x) for _, x in out], pa.binary())})
+
+    return run
+
+
 def _merged(length: int, gram: int, doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         marks, whole, batch, group = [], [], [], []
@@ -361,7 +420,7 @@ def _cut(length: int):
     return run
 
 
-def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 20) -> DataFrame:
+def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 20, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: key, n_bytes, n_removed, n_spans, kept_sha256, starts, ends.
 
     Removed is each byte of the UTF-8 text that a string of ``length`` bytes covers which also
@@ -381,9 +440,10 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     merges = max(16, int(size / (length - gram + 1) * 2 / 8 / SUFFIXES) + 1)
     texts = rows.withColumn("db", F.pmod("dh", F.lit(docs_n))).select("db", "key", "dh", "text")
     packed = rows.select("dh", "text").mapInArrow(_find(length, gram, n, docs_n), "bucket long, data binary")
-    found = packed.groupBy("bucket").applyInArrow(_repeated, "db long, data binary")
+    found = packed.groupBy("bucket").applyInArrow(_repeated(hot), "db long, data binary")
     runs = store(texts.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(_runs(length, gram, merges, docs_n), RUNS))
     late = runs.df.where("kind = 1").select("bucket", "data", "tails").groupBy("bucket").applyInArrow(_merged(length, gram, docs_n), "bucket long, data binary")
-    marks = runs.df.where("kind = 0").select("bucket", "data").union(late)
+    strings = runs.df.where("kind = 2").select("bucket", "data").groupBy("bucket").applyInArrow(_later_strings(docs_n), "bucket long, data binary")
+    marks = runs.df.where("kind = 0").select("bucket", "data").union(late).union(strings)
     out = texts.groupBy("db").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
     return out.withColumn("key", F.when(F.col("key") != LAST, F.col("key"))).withColumnRenamed("key", key)

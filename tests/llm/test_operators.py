@@ -432,8 +432,8 @@ def removed_brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(100, 20), (20, 6), (12, 12), (9, 1)])
-def test_suffix_dedup(spark, odd, none, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(100, 20, 5000), (20, 6, 5000), (20, 6, 3), (100, 20, 1), (12, 12, 5000), (9, 1, 8)])
+def test_suffix_dedup(spark, odd, none, length, gram, hot):
     rng = random.Random(length)
     base = ["".join(rng.choice("abé") for _ in range(200)) for _ in range(3)]
     rows = [r for r in odd_rows() if r[0] != 31]
@@ -442,7 +442,7 @@ def test_suffix_dedup(spark, odd, none, length, gram):
         rows.append((1000 + i, t, "en", "a", 0))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = removed_brute(rows, length)
-    assert rows_of(suffix_dedup.removed_spans(df, length=length, gram=gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((r[0], *want[r[0], r[1] or ""]) for r in rows), key=repr)
+    assert rows_of(suffix_dedup.removed_spans(df, length=length, gram=gram, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((r[0], *want[r[0], r[1] or ""]) for r in rows), key=repr)
     assert suffix_dedup.removed_spans(none, length=length, gram=gram).count() == 0
 
 
