@@ -37,7 +37,7 @@ from quillon.llm import kernel as K
 from quillon.session import store
 
 #: Packed anchors of a bucket, bytes of text of a document bucket, and suffixes of a merge bucket, about.
-ANCHORS, TEXT_BYTES, SUFFIXES = 2_000_000, 12_000_000, 60_000
+ANCHORS, TEXT_BYTES, SUFFIXES = 500_000, 8_000_000, 40_000
 #: Anchors of one gram beyond which its strings are compared one by one.
 HOT = 5000
 LAST = (1 << 63) - 1
