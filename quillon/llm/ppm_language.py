@@ -24,6 +24,8 @@ from quillon.llm import kernel as K
 
 #: Training text of a language, in bytes, about; whole documents are drawn by a hash of the key.
 SAMPLE_BYTES = 6_000_000
+#: Values of the draw, so many that the share of a language of any size is above zero.
+DRAWS = 1 << 48
 #: Languages with the most training text, and contexts of three bytes with the most, that are kept.
 MAX_LANGUAGES, MAX_CONTEXTS = 64, 60_000
 _MODELS: dict[int, Model] = {}
@@ -169,9 +171,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("key is not null and text is not null and lang is not null")
     rows = rows.where(F.crc32(F.col("key").cast("string")) % 3 != 1)
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    draw, parts = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1_000_000)), None
+    draw, parts = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(DRAWS)), None
     for r in sizes:
-        share = int(1_000_000 * min(1, sample_bytes / max(1, r["n"])))
+        share = int(DRAWS * min(1, sample_bytes / max(1, r["n"])))
         cond = (F.col("lang") == r["lang"]) & (draw < share)
         parts = cond if parts is None else parts | cond
     if parts is None:
