@@ -7,7 +7,9 @@ and the least keys are taken until the rest of the budget is used up.
 
 The prefix sum over a source's keys is not a sort of the source: sizes are summed by
 (source, key bucket), a running sum over the buckets finds the one in which the budget ends,
-and only that bucket's documents (about one in a thousand) are ordered.
+and only that bucket's documents (at most about one in a thousand, fewer of a large table)
+are ordered. Buckets are even up to a key of 16 and grow with the key beyond, so sources of
+nothing but poor documents, whose keys are large, are spread as well.
 """
 
 from __future__ import annotations
@@ -20,18 +22,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS = 1.5, 2
-#: Key buckets: KEY_SCALE for a unit of the key, the last one open.
-KEY_SCALE, LAST_BUCKET = 1024, 16383
+#: Key buckets: for a unit of the key at least KEY_SCALE, and one for every KEY_ROWS rows.
+KEY_SCALE, KEY_ROWS = 1024, 50_000
 
 
-def with_keys(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+def with_keys(docs: DataFrame, key: str, text: str, source: str, seed: int, scale: int = KEY_SCALE) -> DataFrame:
     """Adds size (words), source (cast to string), es_key and its bucket; null text has none."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"size": F.regexp_count(t, F.lit(WORD)).cast("long"), "_sym": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"), "_src": F.col(source).cast("string")})
     weight = F.when(F.col("size") > 0, F.col("size").cast("double") / (F.col("size") + 10 * F.col("_sym"))).otherwise(F.lit(1.0))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
     out = out.withColumn("es_key", -F.log(u) / weight).drop("_sym")
-    return out.withColumn("_b", F.least(F.floor(F.col("es_key") * KEY_SCALE), F.lit(LAST_BUCKET)).cast("int"))
+    x = F.col("es_key")
+    return out.withColumn("_b", F.floor(F.when(x < 16, x * scale).otherwise(16 * scale * (1 + F.log(x / 16)))))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
@@ -69,7 +72,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     if boundary not in ("split", "nearest"):
         raise ValueError("boundary is split or nearest")
-    rows = with_keys(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed).withColumn("_tie", F.md5(F.col(text)))
+    scale = max(KEY_SCALE, docs.count() // KEY_ROWS)
+    rows = with_keys(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed, scale).withColumn("_tie", F.md5(F.col(text)))
     if narrow:
         rows = store(rows.select(key, "size", "_src", "es_key", "_b", "_tie")).df
     buckets = store(rows.groupBy("_src", "_b").agg(F.sum("size").alias("n"))).df
@@ -79,7 +83,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     upto = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ends = buckets.withColumn("_cum", F.sum("n").over(upto)).withColumnRenamed("_src", "_s").join(goal, F.col("_s").eqNullSafe(F.col("_src")))
     ends = ends.where(F.col("_cum") > F.col("_rest")).groupBy("_s").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("n")).alias("before"))).alias("m")).select("_s", F.col("m._b").alias("_at"), F.col("m.before").alias("_before"))
-    plan = store(goal.join(ends, goal["_src"].eqNullSafe(ends["_s"]), "left").select(F.col("_src").alias("_p"), "source_size", "target", "_e", "_rest", F.coalesce("_at", F.lit(LAST_BUCKET + 1)).alias("_at"), F.coalesce("_before", F.lit(0)).alias("_before"))).df
+    plan = store(goal.join(ends, goal["_src"].eqNullSafe(ends["_s"]), "left").select(F.col("_src").alias("_p"), "source_size", "target", "_e", "_rest", F.coalesce("_at", F.lit((1 << 63) - 1)).alias("_at"), F.coalesce("_before", F.lit(0)).alias("_before"))).df
     plan = F.broadcast(plan) if plan.count() <= 10_000 else plan
     rows = rows.join(plan, rows["_src"].eqNullSafe(plan["_p"]))
     clear = rows.where("_b <> _at").withColumns({"_extra": F.when(F.col("_b") < F.col("_at"), F.col("size")).otherwise(F.lit(0)), "_one": (F.col("_b") < F.col("_at")).cast("int")})
