@@ -5,6 +5,9 @@ of its key. Rows are counted by arc (the stretch before a virtual node); the cou
 as there are virtual nodes, reach the driver, which walks the ring: a shard accepts its arcs'
 rows up to its capacity, and what overflows continues clockwise to the next shard with room.
 The result is a short table of (arc, range of ranks, shard), which each row meets by its arc.
+
+A row's rank within its arc is not found by sorting the arc: the ring is cut into slices whose
+number grows with the table, rows are counted by (arc, slice), and only a slice is sorted.
 """
 
 from __future__ import annotations
@@ -14,8 +17,12 @@ from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillon.session import store
+
 RING = 1 << 40
 CELLS = 1024
+#: Rows that are numbered by one sort, about, and cell counts that are broadcast at most.
+SLICE_ROWS, SMALL_TABLE = 50_000, 100_000
 
 
 def virtual_nodes(shards: int, each: int) -> list[tuple[int, int]]:
@@ -80,10 +87,13 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
         raise ValueError("law is rows or key, load at least 1")
     spark = docs.sparkSession
     nodes = virtual_nodes(shards, each)
+    width = max(1, RING // (docs.count() // SLICE_ROWS + 1))
     names = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     rows = _arc(rows.withColumn("_pos", F.pmod(F.xxhash64(F.col(f"_row.{key}"), F.lit(29)), F.lit(RING))), nodes, "_arc")
-    counts = {r["_arc"]: r["count"] for r in rows.groupBy("_arc").count().collect()}  # at most one row for each virtual node
+    rows = rows.withColumn("_slice", F.floor(F.col("_pos") / width))
+    slices = store(rows.groupBy("_arc", "_slice").agg(F.count("*").alias("_n"))).df
+    counts = {r["_arc"]: r["n"] for r in slices.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}  # at most one row for each virtual node
     n = sum(counts.values())
     if law == "key":
         capacity = [n] * shards
@@ -92,8 +102,13 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
     else:
         capacity = [-int(-load * n // shards)] * shards
     plan = spark.createDataFrame(place(counts, [s for _, s in nodes], capacity), "_a int, _lo long, _hi long, shard int, _slot long")
-    order = Window.partitionBy("_arc").orderBy("_pos", F.col(f"_row.{key}").asc_nulls_last(), F.xxhash64(f"_row.{text}"))
+    before = Window.partitionBy("_arc").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(F.col("_arc").alias("_sa"), F.col("_slice").alias("_ss"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if slices.count() <= SMALL_TABLE:
+        starts = F.broadcast(starts)
+    order = Window.partitionBy("_arc", "_slice").orderBy("_pos", F.col(f"_row.{key}").asc_nulls_last(), F.xxhash64(f"_row.{text}"))
     rows = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    rows = rows.join(starts, (F.col("_arc") == F.col("_sa")) & (F.col("_slice") == F.col("_ss"))).withColumn("_rank", F.col("_rank") + F.col("_start"))
     out = rows.join(F.broadcast(plan), (F.col("_arc") == F.col("_a")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     out = out.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo"))
     if law == "key":

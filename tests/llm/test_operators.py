@@ -191,6 +191,23 @@ def test_ring(odd, none, clashing):
     assert set(clashing.columns) <= set(out.columns) and out.count() == len(odd_rows()) and ring_sharding.assign(none).count() == 0
 
 
+def test_ring_and_mixing_by_finer_slices(odd, monkeypatch):
+    ring = [rows_of(ring_sharding.assign(odd, 3, law=law), "doc_id", "text", "shard", "slot") for law in ("rows", "key")]
+    mixed = [rows_of(source_mixing.mix(odd, boundary=b), "doc_id", "text", "taken", "copies") for b in ("split", "nearest")]
+    monkeypatch.setattr(ring_sharding, "SLICE_ROWS", 2)
+    monkeypatch.setattr(source_mixing, "KEY_SCALE", 1)
+    assert mixed == [rows_of(source_mixing.mix(odd, boundary=b), "doc_id", "text", "taken", "copies") for b in ("split", "nearest")]
+    monkeypatch.setattr(ring_sharding, "SMALL_TABLE", 0)
+    assert ring == [rows_of(ring_sharding.assign(odd, 3, law=law), "doc_id", "text", "shard", "slot") for law in ("rows", "key")]
+
+
+def test_poor_documents_have_ordered_buckets(spark):
+    rows = [(i, "# " * (1 + i % 7) + "a " * (i % 3), "s") for i in range(400)]
+    keyed = source_mixing.with_keys(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", 1).orderBy("es_key").collect()
+    at = [r._b for r in keyed]
+    assert keyed[-1].es_key > 32 and at == sorted(at) and max(Counter(at).values()) < 5
+
+
 def test_place_moves_little():
     rng = random.Random(3)
     counts = {a: rng.randrange(50) for a in range(64)}
