@@ -95,6 +95,61 @@ def ink_bleed(x, s, rng):
     return (1 - s) * x + s * least
 
 
+# The luminance quantisation table that JPEG's standard gives as an example.
+LUMA_TABLE = np.array(
+    [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62]
+    + [18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
+).reshape(8, 8)
+_DCT = np.sqrt(np.where(np.arange(8) == 0, 1, 2) / 8)[:, None] * np.cos(np.pi * np.arange(8)[:, None] * (2 * np.arange(8)[None] + 1) / 16)
+
+
+def quantised(x: np.ndarray, quality: float) -> np.ndarray:
+    """What a JPEG of this quality keeps of a grey image: 8x8 DCT blocks, rounded to table steps."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    steps = np.clip(np.floor((LUMA_TABLE * scale + 50) / 100), 1, 255)
+    h, w = x.shape
+    p = np.pad(np.clip(x, 0, 255), ((0, -h % 8), (0, -w % 8)), "edge") - 128
+    blocks = p.reshape(p.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    kept = np.rint(_DCT @ blocks @ _DCT.T / steps) * steps
+    return np.clip(np.rint((_DCT.T @ kept @ _DCT).swapaxes(1, 2).reshape(p.shape)[:h, :w] + 128), 0, 255)
+
+
+def jpeg_cycle(x, s, rng):
+    return quantised(x, 95 - 85 * s)
+
+
+def jpeg_chain(x, s, rng):
+    """Two to four passes, each with its own quality and block grid."""
+    for _ in range(int(rng.integers(2, 5))):
+        dy, dx = rng.integers(0, 8, 2)
+        shifted = np.pad(x, ((dy, 0), (dx, 0)), "edge")
+        x = quantised(shifted, float(np.clip(95 - 85 * s * rng.uniform(0.6, 1.1), 5, 95)))[dy:, dx:]
+    return x
+
+
+def web_upscale(x, s, rng):
+    """A small JPEG, enlarged and sharpened."""
+    f = 1 - 0.75 * s
+    small = quantised(_resize(x, max(1, round(x.shape[0] * f)), max(1, round(x.shape[1] * f))), 90 - 60 * s)
+    return unsharp_halo(_resize(small, *x.shape), 0.5 * s, rng)
+
+
+def dither(x, s, rng):
+    """A few levels taken from the image's own quantiles, errors spread to the right and below."""
+    levels = np.unique(np.quantile(x, np.linspace(0, 1, max(2, round(16 * (1 - s))))))
+    h, w = x.shape
+    left = np.pad(x, ((0, 1), (1, 1)))
+    out = np.empty_like(x)
+    for i in range(h):
+        for j in range(w):
+            v = left[i, j + 1]
+            out[i, j] = near = levels[np.abs(levels - v).argmin()]
+            e = (v - near) / 16
+            left[i, j + 2] += 7 * e
+            left[i + 1, j : j + 3] += np.array([3, 5, 1]) * e
+    return out
+
+
 def halftone(x, s, rng):
     y, z = np.mgrid[: x.shape[0], : x.shape[1]]
     dots = (np.cos(np.pi * y / 2) * np.cos(np.pi * z / 2) + 1) / 2 * 255
@@ -125,11 +180,16 @@ def geometric_warp(x, s, rng, m: np.ndarray | None = None, nearest: bool = False
     return ((x[v0, u0] * (1 - fu) + x[v0, u1] * fu) * (1 - fv) + (x[v1, u0] * (1 - fu) + x[v1, u1] * fu) * fv).reshape(h, w)
 
 
-OPS: dict[str, Kernel] = {f.__name__: f for f in (downscale_upscale, nearest_decimate, gaussian_blur, motion_blur, sinc_ringing, gaussian_noise, poisson_noise, unsharp_halo, posterize, paper, bleed_through, ink_bleed, halftone, illumination, cast_shadow, geometric_warp)}
+OPS: dict[str, Kernel] = {f.__name__: f for f in (jpeg_cycle, jpeg_chain, web_upscale, dither, downscale_upscale, nearest_decimate, gaussian_blur, motion_blur, sinc_ringing, gaussian_noise, poisson_noise, unsharp_halo, posterize, paper, bleed_through, ink_bleed, halftone, illumination, cast_shadow, geometric_warp)}
+
+
+#: Names that older recipes use.
+ALIASES = {"dither_palette_crush": "dither", "aniso_motion_blur": "motion_blur"}
 
 
 def apply_op(name: str, x: np.ndarray, severity: float, seed: int) -> np.ndarray:
     """The same for the same image, operation, severity and seed."""
+    name = ALIASES.get(name, name)
     out = OPS[name](x.astype(float), severity, np.random.default_rng([seed, *name.encode()]))
     return np.clip(out, 0, 255)
 

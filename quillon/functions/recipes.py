@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 
 from quillon.functions.raster import OPS
 
-#: Operation families with their weights; each lists the steps it may use.
+#: Families with their shares (fixed values); each lists the steps it may use.
 FAMILIES = {
-    "scan": (0.25, ["paper", "gaussian_blur", "gaussian_noise", "bleed_through", "ink_bleed"]),
-    "web_upscale": (0.2, ["downscale_upscale", "unsharp_halo", "posterize"]),
-    "phone_photo": (0.2, ["geometric_warp", "illumination", "cast_shadow", "poisson_noise", "motion_blur"]),
-    "lowres": (0.2, ["nearest_decimate", "downscale_upscale", "halftone"]),
-    "mild": (0.15, ["gaussian_blur", "gaussian_noise"]),
+    "jpeg_chain": (0.20, ["downscale_upscale", "gaussian_blur", "jpeg_chain"]),
+    "web_upscale": (0.22, ["gaussian_blur", "web_upscale", "unsharp_halo", "posterize", "jpeg_cycle"]),
+    "office_roundtrip": (0.18, ["nearest_decimate", "dither", "downscale_upscale", "jpeg_cycle"]),
+    "lowres_pdf": (0.14, ["downscale_upscale", "halftone", "jpeg_cycle"]),
+    "scan": (0.12, ["paper", "ink_bleed", "bleed_through", "illumination", "gaussian_blur", "gaussian_noise", "jpeg_cycle"]),
+    "phone_photo": (0.08, ["geometric_warp", "illumination", "cast_shadow", "motion_blur", "poisson_noise", "jpeg_cycle"]),
+    "mild": (0.06, ["gaussian_blur", "gaussian_noise", "jpeg_cycle"]),
 }
 ZERO_SHARE, FINISH_SHARE = 0.12, 0.6
 
@@ -48,6 +50,30 @@ def replay(x: np.ndarray, recipe: dict, seed: int) -> np.ndarray:
     return x
 
 
+def epoch_seed(seed: int, epoch: int, index: int, freeze: bool = False) -> int:
+    """One seed for each (seed, epoch, index); frozen sets stay in epoch 0."""
+    return int(np.random.SeedSequence([seed, 0 if freeze else epoch, index]).generate_state(1)[0])
+
+
+def damaged(images: DataFrame, epoch: int, seed: int = 1000, freeze: bool = False, id: str = "vec_id", values: str = "embedding", side: int = 8) -> DataFrame:
+    """(id, family, n_ops, damage): recipes drawn and applied on the fly, anew in each epoch.
+
+    A row's damage depends on its id, the seed and the epoch alone; ids must not be negative.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, v in zip(f[id], f[values]):
+                x = np.clip(np.asarray(v, float).reshape(side, side) * 128 + 128, 0, 255)
+                own = epoch_seed(seed, epoch, int(i), freeze)
+                recipe = sample_recipe(own)
+                rows.append((i, recipe["family"], len(recipe["ops"]), replay(x, recipe, own).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=[id, "family", "n_ops", "damage"])
+
+    return images.select(id, values).mapInPandas(run, f"{id} long, family string, n_ops int, damage array<double>")
+
+
 def sampled(items: DataFrame, key: str, seed: int = 1000) -> DataFrame:
     """(key, family, global_severity, n_ops, ops as JSON): the same for the same key and seed."""
     assert all(s in OPS for _, steps in FAMILIES.values() for s in steps)

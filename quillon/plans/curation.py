@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions import columns as C
-from quillon.operators import dedup, reports, sampling, scoring, similarity
+from quillon.operators import dedup, labelmaps, reports, sampling, scoring, similarity
 from quillon.plans.registry import query, table
 
 SPLIT = "CASE WHEN doc_id % 20 = 0 THEN 'val' WHEN doc_id % 100 = 1 THEN 'test' ELSE 'train' END"
@@ -504,6 +504,40 @@ def l4_region_ids(spark, d):
     return reports.region_ids(pixels(spark, d).withColumn("k", key), "vec_id", "k").select("vec_id", "i", "region")
 
 
+GRID = "grid AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, r // 64 AS label, r, g, b FROM px)"
+
+
+def grid(spark, d) -> DataFrame:
+    """pixels by row and column, labelled by the red level."""
+    return pixels(spark, d).select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), F.floor(F.col("r") / 64).cast("int").alias("label"), "r", "g", "b")
+
+
+@query(
+    "l6_label_downsample",
+    f"""WITH {PIXELS}, {GRID}, n AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, label, count(*) AS n FROM grid GROUP BY ALL),
+    v AS (SELECT vec_id, y, x, arg_max(label, n * 10 - label) AS a, arg_max(label, n * 10 - label) FILTER (label <> 0) AS o FROM n GROUP BY ALL),
+    c AS (SELECT v.vec_id, v.y, v.x, g.b >= 96 AS ink, CASE WHEN a = 0 AND g.b >= 96 THEN coalesce(o, 0) ELSE a END AS label FROM v JOIN grid g ON g.vec_id = v.vec_id AND g.y = 2 * v.y AND g.x = 2 * v.x),
+    r AS (SELECT p.vec_id, p.y, p.x, arg_min(q.label, ((q.y - p.y) ** 2 + (q.x - p.x) ** 2) * 100 + (q.y - p.y) * 10 + q.x - p.x) AS found FROM c p JOIN c q ON q.vec_id = p.vec_id AND q.label <> 0 AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2
+      WHERE p.label = 0 AND p.ink GROUP BY ALL)
+    SELECT c.vec_id, c.y, c.x, CAST(coalesce(found, label) AS INT) AS label FROM c LEFT JOIN r ON r.vec_id = c.vec_id AND r.y = c.y AND r.x = c.x""",
+)
+def l6_label_downsample(spark, d):
+    fine = grid(spark, d)
+    ink = fine.where("y % 2 = 0 and x % 2 = 0").select("vec_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), (F.col("b") >= 96).alias("ink"))
+    return labelmaps.shrink(fine, ink, 2)
+
+
+@query(
+    "l7_settled_palette",
+    f"""WITH {PIXELS}, {GRID}, e AS (SELECT *, coalesce(lag(label) OVER h = label AND lead(label) OVER h = label AND lag(label) OVER v = label AND lead(label) OVER v = label, false) AS inner_ FROM grid
+      WINDOW h AS (PARTITION BY vec_id, y ORDER BY x), v AS (PARTITION BY vec_id, x ORDER BY y)),
+    p AS (SELECT vec_id, label, {", ".join(f"CAST(round_even(coalesce(median({k}) FILTER (inner_), median({k})), 0) AS INT) AS {k}" for k in "rgb")}, count(*) AS n FROM e WHERE label <> 0 GROUP BY ALL)
+    SELECT vec_id, CAST(label AS INT) AS label, CAST(CASE WHEN least(r, g, b) < 249 THEN sum(CASE WHEN least(r, g, b) < 249 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY label) ELSE 0 END AS INT) AS number, r, g, b, n FROM p""",
+)
+def l7_settled_palette(spark, d):
+    return labelmaps.settled(grid(spark, d))
+
+
 @query("l9_ink_mask", f"WITH {PIXELS} SELECT vec_id, count(*) FILTER (abs(r - 255) > 6 OR abs(g - 255) > 6 OR abs(b - 255) > 6) AS ink FROM px GROUP BY vec_id")
 def l9_ink_mask(spark, d):
     return pixels(spark, d).groupBy("vec_id").agg(F.count_if(C.is_ink("r", "g", "b")).alias("ink"))
@@ -569,6 +603,17 @@ def a1_a2_trace_features(spark, d):
     return svg.traced_features(drawings(spark, d)).drop("svg", "facts", "canon")
 
 
+@query(
+    "l2_l3_painted_leaves",
+    """SELECT p_partkey, CASE WHEN p_partkey % 8 = 7 THEN 'parse-error' END AS cause, CASE WHEN p_partkey % 8 IN (2, 4) THEN 0 WHEN p_partkey % 8 = 3 THEN 2 WHEN p_partkey % 8 < 7 THEN 1 END AS n_leaves,
+      CASE WHEN p_partkey % 8 = 0 THEN '0,0,' || p_size WHEN p_partkey % 8 = 1 THEN '255,0,0' WHEN p_partkey % 8 IN (3, 5, 6) THEN '0,0,0' END AS first_fill FROM part""",
+)
+def l2_l3_painted_leaves(spark, d):
+    from quillon.functions import paint
+
+    return paint.painted(drawings(spark, d)).select("p_partkey", "cause", F.expr("if(leaves is null, null, size(leaves))").alias("n_leaves"), F.expr("array_join(cast(get(leaves, 0).fill as array<string>), ',')").alias("first_fill"))
+
+
 @query("f2_f5_normalized_hash")
 def f2_f5_normalized_hash(spark, d):
     from quillon.functions import svg
@@ -635,6 +680,14 @@ def d12_recipes(spark, d):
     return recipes.sampled(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
+@query("t5_damage_by_epoch")
+def t5_damage_by_epoch(spark, d):
+    from quillon.functions import recipes
+
+    drawn = recipes.damaged(table(spark, d, "embeddings"), epoch=1)
+    return drawn.withColumn("mean", F.expr("aggregate(damage, 0d, (a, v) -> a + v) / size(damage)")).drop("damage")
+
+
 @query("d11_tier_recipes")
 def d11_tier_recipes(spark, d):
     from quillon.functions import recipes

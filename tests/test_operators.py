@@ -197,3 +197,86 @@ def test_tier_recipes():
         assert all(least <= len(r) <= most and all(low <= x["severity"] <= high for x in r) for r in drawn)
     drawn = [recipes.tier_recipe(s, "medium", True) for s in range(600)]
     assert 0.07 < sum(not r for r in drawn) / 600 < 0.17
+
+
+def kinds(spark, body, head=""):
+    from quillon.functions import paint
+
+    r = paint.painted(spark.createDataFrame([(f"<svg {head}>{body}</svg>",)], "svg string")).first()
+    return r.cause, r.leaves and [(x.fill and tuple(x.fill), round(x.fill_alpha, 4), x.stroke and tuple(x.stroke), round(x.stroke_alpha, 4)) for x in r.leaves], r.fill_kinds, r.n_opaque, r.n_translucent
+
+
+def test_paint_is_inherited(spark):
+    assert kinds(spark, '<rect/><g fill="red" opacity=".5"><path style="fill: #0f0; stroke: currentColor" color="blue"/><circle fill-opacity="0.5"/></g>') == (None, [((0, 0, 0), 1.0, None, 0.0), ((0, 255, 0), 0.5, (0, 0, 255), 0.5), ((255, 0, 0), 0.25, None, 0.0)], ["opaque", "translucent", "translucent"], 1, 3)
+    use = '<defs><rect id="a" fill="inherit"/><symbol id="b"><path/></symbol></defs><use href="#a" fill="navy"/><use href="#b" stroke="rgb(100%, 0%, 50.2%)" fill="none"/><use href="#no"/>'
+    assert kinds(spark, use)[:2] == (None, [((0, 0, 128), 1.0, None, 0.0), (None, 0.0, (255, 0, 128), 1.0)])
+    assert kinds(spark, '<animate fill="freeze"/><mask><rect/></mask><text fill="hsl(120, 100%, 50%)">a<tspan fill="#fafafaff">b</tspan></text>')[1:4] == ([((0, 255, 0), 1.0, None, 0.0), ((250, 250, 250), 1.0, None, 0.0)], ["opaque", "paper"], 1)
+
+
+@pytest.mark.parametrize("body, cause", [("<style>a</style>", "css-block"), ('<rect fill="url(#g)"/>', "paint-server"), ('<rect fill="blurple"/>', "unknown-colour"), ("<g", "parse-error"), ('<g id="a"><use href="#a"/></g>', "use-cycle"), ('<rect opacity=".5"/>' * 33, "too-translucent"), ("".join(f'<rect fill="rgb(0,0,{i})"/>' for i in range(209)), "too-many-colours"), ("<style> </style>", None)])
+def test_paint_that_cannot_be_told(spark, body, cause):
+    assert kinds(spark, body)[0] == cause
+
+
+def test_code_colours():
+    from quillon.functions import paint
+
+    codes = paint.code_colours().astype(int)
+    assert len({tuple(c) for c in codes}) == len(codes) == 208 and tuple(codes[0]) == (0, 0, 0) and all(c.min() < 204 for c in codes)
+    gap = [((codes[:i] - codes[i]) ** 2).sum(1).min() for i in range(1, 208)]
+    assert gap == sorted(gap, reverse=True)
+
+
+def shrunk(label, ink, f):
+    h, w = ink.shape
+    out, none = np.zeros((h, w), int), np.zeros((h, w), bool)
+    for y in range(h):
+        for x in range(w):
+            n = np.bincount(label[y * f : y * f + f, x * f : x * f + f].ravel())
+            out[y, x] = n.argmax()
+            if not out[y, x] and ink[y, x]:
+                none[y, x] = not n[1:].sum()
+                out[y, x] = n[1:].argmax() + 1 if n[1:].sum() else 0
+    done = out.copy()
+    for y, x in zip(*np.nonzero(none)):
+        near = [((y - v) ** 2 + (x - u) ** 2, v, u, out[v, u]) for v in range(h) for u in range(w) if out[v, u] and abs(v - y) <= 2 and abs(u - x) <= 2]
+        done[y, x] = min(near)[3] if near else 0
+    return done
+
+
+def test_labels_are_shrunk_and_settled(spark):
+    from quillon.operators import labelmaps
+
+    rng = np.random.default_rng(4)
+    label = np.where(rng.random((24, 24)) < 0.12, rng.integers(1, 5, (24, 24)), 0)
+    label[12:] = 0
+    ink = rng.random((8, 8)) < 0.6
+    fine = spark.createDataFrame([(1, y, x, int(label[y, x])) for y in range(24) for x in range(24)], "vec_id long, y long, x long, label int")
+    inked = spark.createDataFrame([(1, y, x, bool(ink[y, x])) for y in range(8) for x in range(8)], "vec_id long, y long, x long, ink boolean")
+    got = {(r.y, r.x): r.label for r in labelmaps.shrink(fine, inked, 3).collect()}
+    want = shrunk(label, ink, 3)
+    assert got == {(y, x): want[y, x] for y in range(8) for x in range(8)} and (want[4:6] > 0).any() and (want[6:] == 0).all()
+    assert labelmaps.shrink(fine.limit(0), inked, 3).count() == 0
+
+    px = [(1, y, x, 1 if 1 <= y <= 3 and 1 <= x <= 3 else 2 if (y, x) == (5, 5) else 3 if y == 0 else 0) for y in range(6) for x in range(6)]
+    tint = {1: (10, 20, 30), 2: (252, 250, 255), 3: (9, 9, 9), 0: (255, 255, 255)}
+    rows = [(*p, *((11, 20, 31) if p[1:3] == (2, 2) else tint[p[3]])) for p in px]
+    df = spark.createDataFrame(rows, "vec_id long, y long, x long, label int, r int, g int, b int")
+    assert sorted(tuple(r)[1:] for r in labelmaps.settled(df).collect()) == [(1, 1, 11, 20, 31, 9), (2, 0, 252, 250, 255, 1), (3, 2, 9, 9, 9, 6)]
+
+
+def test_quantised_and_dithered():
+    x = np.add.outer(np.arange(19) * 7, np.arange(13) ** 2 % 91).astype(float)
+    loss = [np.abs(raster.quantised(x, q) - x).mean() for q in (100, 75, 30, 5)]
+    assert loss[0] < 0.5 and loss == sorted(loss) and np.allclose(raster._DCT @ raster._DCT.T, np.eye(8))
+    assert (raster.quantised(np.full((8, 8), 128.0), 50) == 128).all()
+    y = raster.apply_op("dither_palette_crush", x, 0.75, 1)
+    assert len(np.unique(y)) <= 4 and abs(y.mean() - x.mean()) < 6
+
+
+def test_damage_by_epoch(spark):
+    df = spark.createDataFrame([(i, [((i + j * j) % 17) / 16 - 0.5 for j in range(64)]) for i in range(12)], "vec_id long, embedding array<double>")
+    run = lambda epoch, freeze=False: {r.vec_id: r.damage for r in recipes.damaged(df.repartition(epoch + 1), epoch, freeze=freeze).collect()}
+    first = run(0)
+    assert first == run(2, True) and first != run(1) and run(1) == run(1) and all(len(v) == 64 for v in first.values())
+    assert recipes.damaged(df.limit(0), 1).count() == 0
