@@ -57,6 +57,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return out.select("_src", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.col("_level")).alias("target"))
 
 
+def _keyed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """docs with keys, buckets that suit its number of rows, and a tie-breaker from the text."""
+    scale = max(KEY_SCALE, docs.count() // KEY_ROWS)
+    return with_keys(docs, key, text, source, seed, scale).withColumn("_tie", F.md5(F.col(text)))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 1, boundary: str = "split", narrow: bool = False) -> DataFrame:
     """docs with size, source_size, target, es_key, taken and copies added (such columns are replaced).
 
@@ -67,15 +73,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     a source, the last one. A null or wordless text has the size 0 and takes 0. Ties of keys
     go by key column, then by text; repeated rows are separate documents with equal keys.
     Draws depend on the key column and the seed alone, so reruns agree. narrow keeps the key
-    column alone beside those added; the texts are then read once, otherwise once more for
-    each step, since rows with their texts aren't stored in between.
+    column alone beside those added. Texts are read once for their keys, and rows with their
+    keys are stored, so the later steps read a few numbers a row and the columns they return.
     """
+    rows = _keyed(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed)
+    if narrow:
+        rows = rows.select(key, "size", "_src", "es_key", "_b", "_tie")
+    return _taken(rows, key, weights, budget, epochs, boundary)
+
+
+def _taken(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, boundary: str = "split") -> DataFrame:
+    """mix of rows that have their keys."""
     if boundary not in ("split", "nearest"):
         raise ValueError("boundary is split or nearest")
-    scale = max(KEY_SCALE, docs.count() // KEY_ROWS)
-    rows = with_keys(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed, scale).withColumn("_tie", F.md5(F.col(text)))
-    if narrow:
-        rows = store(rows.select(key, "size", "_src", "es_key", "_b", "_tie")).df
+    rows = store(rows).df
     buckets = store(rows.groupBy("_src", "_b").agg(F.sum("size").alias("n"))).df
     goal = targets(buckets.groupBy("_src").agg(F.sum("n").alias("source_size")), weights, budget, epochs)
     goal = goal.withColumn("_e", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -98,10 +109,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.drop("_src", "_b", "_tie", "_p", "_e", "_rest", "_at", "_before", "_extra", "_one")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 1, boundary: str = "nearest") -> DataFrame:
     """The mix itself: each document once for every time that it is taken, columns as in docs."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    names = {k: options.get(k, d) for k, d in (("key", "doc_id"), ("text", "text"), ("source", "source"))}
-    packed = docs.select(F.struct(*cols).alias("_row"), *[F.col(n).alias(f"_{k}") for k, n in names.items()])
-    out = mix(packed, **(options | {"boundary": "nearest"} | {k: f"_{k}" for k in names}))
+    packed = docs.select(F.struct(*cols).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    rows = _keyed(packed, "_key", "_text", "_source", seed).drop("_text", "_source")
+    out = _taken(rows, "_key", weights, budget, epochs, boundary)
     return out.where("copies > 0").withColumn("_i", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")
