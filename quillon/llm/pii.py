@@ -2,13 +2,14 @@
 
 Emails, IP addresses, card and phone numbers are found by pattern in every text. Words near
 them are then judged by information: a term reveals an entity (one address, one number) when
-the share of the term's documents that have it near the entity, P(entity | term), is at
-least MIN_SHARE, and knowing the term makes the entity at least 2**MIN_BITS times as likely
-as it is in the whole corpus, in two or more different texts. Such terms become spans of the
+the share of the term's texts that have it near the entity, P(entity | term), is at least
+MIN_SHARE, in two or more different texts, and knowing the term makes the entity at least
+2**MIN_BITS times as likely as it is in the whole corpus.
+Copies of a text count once. Every occurrence of such a term in any text becomes a span of the
 kind `term`; ``sanitise`` replaces base spans by their kind, generalises revealing terms,
 and removes those with a share of REMOVE_SHARE or more.
 
-Terms near an entity are few and are counted by (term, entity); how many documents have a
+Terms near an entity are few and are counted by (term, entity); how many texts have a
 term is counted over the whole corpus, for terms that pass a bit filter of a fixed size made
 from the candidates. A fuller filter lets more terms through, never fewer.
 """
@@ -87,8 +88,8 @@ def _words(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-CONTEXT = pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-FOUND = "key long, th long, base array<struct<kind:int,start:bigint,end:bigint>>, entities array<bigint>, near array<struct<term:bigint,entity:bigint,starts:array<bigint>,ends:array<bigint>>>"
+CONTEXT = pa.struct([("term", pa.int64()), ("entity", pa.int64())])
+FOUND = "key long, th long, base array<struct<kind:int,start:bigint,end:bigint>>, entities array<bigint>, near array<struct<term:bigint,entity:bigint>>"
 
 
 def contexts(t: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[dict]]:
@@ -98,7 +99,7 @@ def contexts(t: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list
     for a, b, _ in spans:
         free &= (we <= a) | (ws >= b)
     wordy = np.array([any(c.isalpha() for c in t[a:b]) and b - a >= 3 for a, b in zip(ws, we)], bool) & free if len(h) else free
-    near: dict[tuple[int, int], set] = {}
+    near: dict[tuple[int, int], None] = {}
     ids = []
     for a, b, kind in spans:
         e = t[a:b].lower() if kind == 0 else t[a:b] if kind == 1 else _digits(t[a:b])
@@ -108,8 +109,8 @@ def contexts(t: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list
         left, right = np.searchsorted(we, a, "right"), np.searchsorted(ws, b)
         for i in [*range(max(0, left - NEAR), left), *range(right, min(len(h), right + NEAR))]:
             if wordy[i]:
-                near.setdefault((int(h[i].view(np.int64)), e), set()).add((int(ws[i]), int(we[i])))
-    return list(dict.fromkeys(ids)), [{"term": t_, "entity": e, "starts": [a for a, _ in sorted(s)], "ends": [b for _, b in sorted(s)]} for (t_, e), s in near.items()]
+                near[int(h[i].view(np.int64)), e] = None
+    return list(dict.fromkeys(ids)), [{"term": t_, "entity": e} for t_, e in near]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,52 +134,124 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     K.trim_powers()
 
 
-def _document_counts(handle):
+def _known_words(bits: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start byte, end byte) of each word that passes the filter."""
+    low = K.LOWER[buf]
+    ws, we, wo = K.word_spans(low, offs, K.ALNUM)
+    h = K.span_hash(K.prefix_hash(low), ws, we)
+    at = h & K.U(FILTER_BITS - 1)
+    ok = (bits[(at >> K.U(6)).astype(np.int64)] >> (at & K.U(63))) & K.U(1) > 0
+    return np.repeat(np.arange(len(offs) - 1), np.diff(wo))[ok], h[ok], ws[ok], we[ok]
+
+
+def _document_counts(handle, copied):
+    """(term, th, n): texts with the term; th is null for texts that surely have no copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, twice = np.frombuffer(handle.value, np.uint64), np.frombuffer(copied.value, np.uint64)
+        for b in batches:
+            buf, offs = K.column_bytes(b.column("text"))
+            th = b.column("th").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = th & K.U(FILTER_BITS - 1)
+            again = (twice[(at >> K.U(6)).astype(np.int64)] >> (at & K.U(63))) & K.U(1) > 0
+            once, pairs = [np.zeros(0, K.U)], [np.zeros((0, 2), K.U)]
+            for i, j in K.chunks(offs):
+                row, h, _, _ = _known_words(bits, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order] + i
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, row = h[new], row[new]
+                once.append(h[~again[row]])
+                pairs.append(np.unique(np.stack((h, th[row]), 1)[again[row]], axis=0))
+            t, n = np.unique(np.concatenate(once), return_counts=True)
+            two = np.concatenate(pairs)
+            terms = pa.concat_arrays([K.ints(t), K.ints(two[:, 0])])
+            yield pa.RecordBatch.from_arrays([terms, pa.concat_arrays([pa.nulls(len(t), pa.int64()), K.ints(two[:, 1])]), pa.array(np.concatenate((n, np.ones(len(two)))).astype(np.int64))], ["term", "th", "n"])
+
+    return run
+
+
+PLACES = "key long, th long, term long, starts array<bigint>, ends array<bigint>"
+
+
+def _places(handle):
+    """Every occurrence outside base spans of the words that pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(handle.value, np.uint64)
         for b in batches:
             buf, offs = K.column_bytes(b.column("text"))
-            found = []
+            col, rows, terms, starts, ends = b.column("text"), [], [], [], []
             for i, j in K.chunks(offs):
-                low = K.LOWER[buf[offs[i] : offs[j]]]
-                ws, we, wo = K.word_spans(low, offs[i : j + 1] - offs[i], K.ALNUM)
-                h = K.span_hash(K.prefix_hash(low), ws, we)
-                at = h & K.U(FILTER_BITS - 1)
-                ok = (bits[(at >> K.U(6)).astype(np.int64)] >> (at & K.U(63))) & K.U(1) > 0
-                row = np.repeat(np.arange(j - i), np.diff(wo))[ok]
-                order = np.lexsort((row, h[ok]))
-                h, row = h[ok][order], row[order]
-                found.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))] if len(h) else h)
-            t, n = np.unique(np.concatenate(found) if found else np.zeros(0, K.U), return_counts=True)
-            yield pa.RecordBatch.from_arrays([K.ints(t), pa.array(n.astype(np.int64))], ["term", "n"])
+                part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                row, h, ws, we = _known_words(bits, part, o)
+                if not len(h):
+                    continue
+                char = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+                ws, we = char[ws] - char[o[row]], char[we] - char[o[row]]
+                cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    s, e, t = ws[lo:hi], we[lo:hi], h[lo:hi]
+                    spans = base_spans(col[i + int(row[lo])].as_py())
+                    if spans:
+                        before = np.searchsorted([x[0] for x in spans], e)
+                        reach = np.concatenate(([0], np.maximum.accumulate([x[1] for x in spans])))
+                        free = reach[before] <= s
+                        s, e, t = s[free], e[free], t[free]
+                    order = np.argsort(t, kind="stable")
+                    s, e, t = s[order], e[order], t[order].view(np.int64)
+                    edges = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True]))) if len(t) else [0]
+                    for x, y in zip(edges[:-1], edges[1:]):
+                        rows.append(i + int(row[lo]))
+                        terms.append(int(t[x]))
+                        starts.append(s[x:y])
+                        ends.append(e[x:y])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("th").take(at), pa.array(terms, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["key", "th", "term", "starts", "ends"])
+        K.trim_powers()
 
     return run
 
 
+def _filter(df: DataFrame, value: str) -> bytes | None:
+    """The bit filter of a column of longs, or None if there are none."""
+    slot = F.pmod(value, F.lit(FILTER_BITS))
+    words = df.groupBy(F.floor(slot / 64).cast("long").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(pmod({value}, {FILTER_BITS}), 64) as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.tobytes() if len(words) else None
+
+
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """One row for each row of docs: key, th (xxhash64 of the text), base, terms (spans with share).
 
     Spans are character offsets, end exclusive; base has kind numbers of KINDS in order of
-    start, then kind. Null and empty texts have none. Repeated rows get the same spans; copies
-    of one text count as documents, but two different texts must show a term near an entity
-    before it can reveal it. Empty tables give no rows; other columns are not returned.
+    start, then kind. Null and empty texts have none. A revealing term has a span wherever it
+    stands outside base spans, in documents without base spans too. Repeated rows get the same
+    spans; copies of one text count once, and two different texts must show a term near an
+    entity before it can reveal it. Empty tables give no rows; other columns are not returned.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     found = store(rows.mapInArrow(_find, FOUND)).df
-    near = found.select("key", "th", F.explode("near").alias("x")).select("key", "th", "x.*")
-    pairs = store(near.groupBy("term", "entity").agg(F.count("*").alias("n"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("term", "entity", "n")).df
-    slot = F.pmod("term", F.lit(FILTER_BITS))
-    words = pairs.groupBy(F.floor(slot / 64).cast("long").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(pmod(term, {FILTER_BITS}), 64) as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    if len(words):
-        df = rows.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(bits.tobytes())), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-        entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-        total = found.count()
+    near = found.select("th", F.explode("near").alias("x")).select("th", "x.term", "x.entity").distinct()
+    pairs = store(near.groupBy("term", "entity").agg(F.count("*").alias("n")).where("n >= 2")).df
+    share = lambda data: spark.sparkContext.broadcast(data or bytes(FILTER_BITS // 8))
+    telling = None
+    if (candidates := _filter(pairs, "term")) is not None:
+        copied = _filter(found.groupBy("th").agg(F.count("*").alias("n")).where("n > 1"), "th")
+        df = rows.select("th", "text").mapInArrow(_document_counts(share(candidates), share(copied)), "term long, th long, n long")
+        # texts with copies by (term, th) once, the others by their sums
+        df = df.groupBy("term", "th").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("th").isNull(), F.col("n")).otherwise(1)).alias("df"))
+        entity = found.select("th", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+        total = found.select("th").distinct().count()
         scored = pairs.join(df, "term").join(entity, "entity").withColumn("share", F.col("n") / F.col("df"))
-        telling = scored.where((F.col("share") >= min_share) & (F.log2(F.col("share") * F.lit(float(total)) / F.col("n_entity")) >= min_bits)).select("term", "entity", "share")
-        spans = near.join(telling, ["term", "entity"]).select("key", "th", "share", F.explode(F.arrays_zip("starts", "ends")).alias("z"))
+        judged = scored.where((F.col("share") >= min_share) & (F.log2(F.col("share") * F.lit(float(total)) / F.col("n_entity")) >= min_bits))
+        telling = store(judged.groupBy("term").agg(F.max("share").alias("share"))).df
+    if telling is not None and (bits := _filter(telling, "term")) is not None:
+        places = rows.mapInArrow(_places(share(bits)), PLACES)
+        spans = places.join(telling, "term").select("key", "th", "share", F.explode(F.arrays_zip("starts", "ends")).alias("z"))
         spans = spans.groupBy("key", "th", F.col("z.starts").alias("s"), F.col("z.ends").alias("e")).agg(F.max("share").alias("share"))
         terms = spans.groupBy("key", "th").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "share"))).alias("terms")).toDF("k", "h", "terms")
         out = found.join(terms, found["key"].eqNullSafe(terms["k"]) & (found["th"] == terms["h"]), "left")
@@ -214,7 +287,7 @@ def replace_spans(t: str | None, base: list, terms: list) -> str | None:
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """docs with the text sanitised; rows, order of columns and other columns stay."""
-    found = detect(docs, key, text, **thresholds).where("size(base) > 0").dropDuplicates([key, "th"])
+    found = detect(docs, key, text, **thresholds).where("size(base) > 0 or size(terms) > 0").dropDuplicates([key, "th"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_h"))
     both = packed.join(found, packed["_k"].eqNullSafe(found[key]) & (packed["_h"] == found["th"]), "left")
 

@@ -384,6 +384,16 @@ def test_pii(odd, none, clashing, spark):
     assert "[EMAIL]" in clean[0] and "bob@x.org" not in clean[0] and " met " not in clean[0] and clean[7] == secret[7][1]
 
 
+def test_terms_are_found_everywhere(spark):
+    far = " ".join(f"gap{x}" for x in range(20))
+    texts = [f"n{i} met Zorblax at bob@x.org w{i}" for i in range(4)] + [f"Zorblax n4 bob@x.org {far} été zorblax", "only zorblax here"] + [f"plain number {i} filler words" for i in range(1200)]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.detect(df).collect()}
+    assert found[4].count("zorblax") == 1 and found[4].count("Zorblax") == 1 and found[5] == ["zorblax"] and not found[6]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("zorblax" in t.lower() for t in clean.values()) and clean[6] == texts[6]
+
+
 # --- 8
 
 
