@@ -3,8 +3,8 @@
 Emails, IP addresses, card and phone numbers are found by pattern in every text. Words near
 them are then judged by information: a term reveals an entity (one address, one number) when
 the share of the term's texts that have it near the entity, P(entity | term), is at least
-MIN_SHARE, in two or more different texts, and knowing the term makes the entity at least
-2**MIN_BITS times as likely as it is in the whole corpus.
+MIN_SHARE, in two or more different texts, and chance gives so many with a probability of at
+most 2**-MIN_BITS at the entity's rate in the whole corpus, however frequent the entity is.
 Copies of a text count once. Every occurrence of such a term in any text becomes a span of the
 kind `term`; ``sanitise`` replaces base spans by their kind, generalises revealing terms,
 and removes those with a share of REMOVE_SHARE or more.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernel as K
 from quillon.session import store
@@ -223,6 +223,13 @@ def _filter(df: DataFrame, value: str) -> bytes | None:
     return bits.tobytes() if len(words) else None
 
 
+def evidence(n: Column, df: Column, p: Column) -> Column:
+    """Bits by which n of df texts are too many for chance at the rate p, by Chernoff's bound on the binomial tail; 0 if they aren't."""
+    share = n / df
+    rest = F.when(n < df, (df - n) * F.log2((1 - share) / (1 - p))).otherwise(0.0)
+    return F.when((share > p) & (p < 1), n * F.log2(share / p) + rest).otherwise(0.0)
+
+
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """One row for each row of docs: key, th (xxhash64 of the text), base, terms (spans with share).
 
@@ -247,7 +254,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", min_share:
         entity = found.select("th", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
         total = found.select("th").distinct().count()
         scored = pairs.join(df, "term").join(entity, "entity").withColumn("share", F.col("n") / F.col("df"))
-        judged = scored.where((F.col("share") >= min_share) & (F.log2(F.col("share") * F.lit(float(total)) / F.col("n_entity")) >= min_bits))
+        judged = scored.where((F.col("share") >= min_share) & (evidence(F.col("n"), F.col("df"), F.col("n_entity") / F.lit(float(total))) >= min_bits))
         telling = store(judged.groupBy("term").agg(F.max("share").alias("share"))).df
     if telling is not None and (bits := _filter(telling, "term")) is not None:
         places = rows.mapInArrow(_places(share(bits)), PLACES)

@@ -394,6 +394,14 @@ def test_terms_are_found_everywhere(spark):
     assert not any("zorblax" in t.lower() for t in clean.values()) and clean[6] == texts[6]
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_frequent_entities_have_terms(spark, copies):
+    texts = [f"n{i} Zorblax bob@x.org w{i} plain" for i in range(20)] * copies + [f"n{i} plain number words" for i in range(20, 60)]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.detect(df).collect()}
+    assert all(found[i] == ["Zorblax"] for i in range(20 * copies)) and not any(found[i] for i in range(20 * copies, len(texts)))
+
+
 # --- 8
 
 
