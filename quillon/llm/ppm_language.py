@@ -8,8 +8,10 @@ nothing and gives way to the shorter one, and below the empty context all 256 by
 equally likely. Trees are frozen after training. A text's score under a language is the
 exact code length of all its bytes; the shortest code wins.
 
-Workers flatten the trees into one table of code lengths by (longest known context, byte,
-language), so that scoring is two table look-ups for each byte.
+Every language and every context of the sample takes part. Workers flatten the trees of a few
+languages at a time into sparse tables: code lengths by (context, byte) that some of them has
+seen, and escapes by context for the rest, so that scoring is mostly one look-up for each byte
+and block of languages. Memory grows with what the sample holds, not with all contexts.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernel as K
+from quillon.session import store
 
 #: Training text of a language, in bytes, about; whole documents are drawn by a hash of the key.
 SAMPLE_BYTES = 6_000_000
 #: Values of the draw, so many that the share of a language of any size is above zero.
 DRAWS = 1 << 48
-#: Languages with the most training text, and contexts of three bytes with the most, that are kept.
-MAX_LANGUAGES, MAX_CONTEXTS = 64, 60_000
+#: Languages that are scored together, and entries of their largest table; neither bears on results.
+BLOCK_LANGUAGES, BLOCK_ENTRIES = 8, 1 << 23
 _MODELS: dict[int, Model] = {}
 
 
@@ -57,80 +60,133 @@ def _count():
     return run
 
 
+class _Index:
+    """Places of 32-bit keys, by open addressing; keys must differ."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, 0).astype(np.uint32)  # one more, so that a miss can be compared
+        n = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.table, self.mask, self.shift = np.full(n, -1, np.int32), n - 1, np.uint32(33 - n.bit_length())
+        slot, todo = self._slot(self.keys[:-1]), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.table[slot[todo]] < 0]
+            self.table[slot[free]] = free
+            todo = todo[self.table[slot[todo]] != todo]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 without one."""
+        slot = self._slot(keys)
+        out = self.table[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            out[todo] = at = self.table[slot[todo]]
+            todo = todo[(at >= 0) & (self.keys[at] != keys[todo])]
+        return out
+
+
+def _escapes(ctx: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """By context: bits of an escape, 0 where nothing was seen, and log2 of total plus distinct."""
+    kinds = np.bincount(ctx, minlength=size)
+    whole = np.log2(np.maximum(np.bincount(ctx, n, size) + kinds, 1))
+    return np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0), whole
+
+
+class _Block:
+    """Flattened trees of a few languages; grams: by language, (codes of four bytes, counts)."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
+        grams = [(np.asarray(c).astype(np.uint32), np.asarray(n).astype(np.float64)) for c, n in grams]
+        k = len(grams)
+        four = np.unique(np.concatenate([c for c, _ in grams]))
+        three = np.unique(four & np.uint32(0xFFFFFF))
+        ctx = np.unique(four >> np.uint32(8))
+        self.one = np.empty((1 << 16, k), np.float32)
+        self.esc2 = np.zeros((1 << 16, k), np.float32)
+        self.three = np.empty((len(three), k), np.float32)
+        self.esc3 = np.zeros((len(ctx) + 1, k), np.float32)  # the last one is for contexts that no language has seen
+        self.four = np.empty((len(four), k), np.float32)
+        low = np.searchsorted(three, four & np.uint32(0xFFFFFF))
+        above = np.searchsorted(ctx, four >> np.uint32(8))
+        for i, (code, n) in enumerate(grams):
+            b, pair = (code & np.uint32(255)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
+            n0 = np.bincount(b, n, 256)
+            esc, whole = _escapes(np.flatnonzero(n0) * 0, n0[n0 > 0], 1)
+            zero = np.where(n0 > 0, whole[0] - np.log2(np.maximum(n0, 1)), esc[0] + 8)
+            n1 = np.bincount(pair, n, 1 << 16)
+            seen = np.flatnonzero(n1)
+            esc, whole = _escapes(seen >> 8, n1[seen], 256)
+            one = (esc[:, None] + zero[None]).reshape(-1)
+            one[seen] = whole[seen >> 8] - np.log2(n1[seen])
+            c, at = np.unique(code & np.uint32(0xFFFFFF), return_inverse=True)
+            n2, c2 = np.bincount(at, n), (c >> np.uint32(8)).astype(np.int64)
+            esc2, whole = _escapes(c2, n2, 1 << 16)
+            deep = esc2[three >> np.uint32(8)] + one[three & np.uint32(0xFFFF)]
+            deep[np.searchsorted(three, c)] = whole[c2] - np.log2(n2)
+            at = np.searchsorted(ctx, code >> np.uint32(8))
+            esc3, whole = _escapes(at, n, len(ctx))
+            full = esc3[above] + deep[low]
+            full[np.searchsorted(four, code)] = whole[at] - np.log2(n)
+            self.one[:, i], self.esc2[:, i], self.three[:, i], self.esc3[:-1, i], self.four[:, i] = one, esc2, deep, esc3, full
+        self.at4, self.at3, self.ctx3 = _Index(four), _Index(three), _Index(ctx)
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each code behind the three before it, by language."""
+        at = self.at4.find(code)
+        out = self.four[at] if len(self.four) else np.empty((len(code), self.one.shape[1]), np.float32)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            rest = code[new]
+            low = self.at3.find(rest & np.uint32(0xFFFFFF))
+            short = self.three[low] if len(self.three) else out[new]
+            lost = np.flatnonzero(low < 0)
+            c = rest[lost]
+            short[lost] = self.esc2[(c >> np.uint32(8)) & np.uint32(0xFFFF)] + self.one[c & np.uint32(0xFFFF)]
+            out[new] = self.esc3[self.ctx3.find(rest >> np.uint32(8))] + short
+        return out
+
+
 class Model:
     """Flattened trees. counts: by language, (codes of four bytes, counts)."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        seen = np.zeros(256, bool)
-        for code, _ in counts.values():
-            seen[code & 255] = True
-        self.size = a = int(seen.sum()) + 1  # one symbol stands for all bytes never seen
-        self.id = np.full(256, a - 1, np.int64)
-        self.id[seen] = np.arange(a - 1)
-        self.pad = a
-        self.radix = r = a + 1
-        grams = []
+        self.blocks, now, entries = [], [], 0
         for lang in self.langs:
-            code, n = counts[lang]
-            part = [(code >> s) & 255 for s in (24, 16, 8, 0)]
-            # a zero byte before the start of a text is its own symbol
-            ctx = [np.where(p == 0, self.pad, self.id[p]) for p in part[:3]]
-            grams.append((*ctx, self.id[part[3]], n))
-        three = np.concatenate([(g[0] * r + g[1]) * r + g[2] for g in grams]) if grams else np.zeros(0, np.int64)
-        weight = np.concatenate([g[4] for g in grams]) if grams else np.zeros(0, np.int64)
-        c3, at = np.unique(three, return_inverse=True)
-        if len(c3) > MAX_CONTEXTS:
-            total = np.bincount(at, weight, len(c3))
-            c3 = np.sort(c3[np.argsort(-total, kind="stable")[:MAX_CONTEXTS]])
-        c2 = np.unique(three % (r * r))
-        s1, s2 = 1 + r, 1 + r + len(c2)
-        self.state = np.zeros(r**3, np.int32)
-        self.state[:] = np.tile(1 + np.arange(r, dtype=np.int32), r * r)
-        grid = self.state.reshape(r, r * r)
-        grid[:, c2] = (s1 + np.arange(len(c2), dtype=np.int32))[None]
-        self.state[c3] = s2 + np.arange(len(c3), dtype=np.int32)
-        cost = np.empty((s2 + len(c3), a, len(self.langs)), np.float32)
-        for i, (x, y, z, b, n) in enumerate(grams):
-            p0 = self._level(np.bincount(b, n, a)[None], np.full((1, a), 1 / 256))
-            p1 = self._level(np.bincount(z * a + b, n, r * a).reshape(r, a), np.repeat(p0, r, 0))
-            p2 = self._level(self._table(c2, y * r + z, b, n, a), p1[c2 % r])
-            k = np.searchsorted(c2, c3 % (r * r))
-            p3 = self._level(self._table(c3, (x * r + y) * r + z, b, n, a), p2[k])
-            cost[:, :, i] = -np.log2(np.concatenate((p0, p1, p2, p3)))
-        self.cost = cost.reshape(len(cost) * a, len(self.langs))
-
-    @staticmethod
-    def _table(known: np.ndarray, ctx: np.ndarray, b: np.ndarray, n: np.ndarray, a: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-        ok = known[at] == ctx
-        return np.bincount(at[ok] * a + b[ok], n[ok], len(known) * a).reshape(-1, a)
-
-    @staticmethod
-    def _level(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        return np.where(total == 0, shorter, np.where(n > 0, n / whole, kinds / whole * shorter))
+            entries += len(counts[lang][0])
+            if now and (len(now) == BLOCK_LANGUAGES or entries * (len(now) + 1) > BLOCK_ENTRIES):
+                self.blocks.append(_Block(now))
+                now, entries = [], len(counts[lang][0])
+            now.append(counts[lang])
+        if now:
+            self.blocks.append(_Block(now))
 
     def code_lengths(self, col: pa.Array) -> np.ndarray:
         """Bits of each row's text under each language."""
         buf, offs = K.column_bytes(col)
         out = np.zeros((len(offs) - 1, len(self.langs)))
-        for i, j in K.chunks(offs, 1 << 19):
+        for i, j in K.chunks(offs, 1 << 18):
             o = offs[i : j + 1] - offs[i]
-            for lo in range(0, int(o[-1]), 1 << 21):  # a very long text goes piece by piece
-                hi = min(int(o[-1]), lo + (1 << 21))
+            for lo in range(0, int(o[-1]), 1 << 18):  # a very long text goes piece by piece
+                hi = min(int(o[-1]), lo + (1 << 18))
                 back = max(0, lo - 3)
-                raw = buf[offs[i] + back : offs[i] + hi]
+                raw = buf[offs[i] + back : offs[i] + hi].astype(np.uint32)
                 cuts = np.clip(o, back, hi) - back
-                sym = self.id[raw]
-                ctx = sym * 0
-                for k in (3, 2, 1):
-                    ctx = ctx * self.radix + _shifted(np.where(raw == 0, self.pad, sym), cuts, self.pad, k)
-                bits = self.cost[self.state[ctx] * self.size + sym][lo - back :]
+                code = raw.copy()
+                for k in (1, 2, 3):
+                    code |= _shifted(raw, cuts, 0, k) << np.uint32(8 * k)
+                code = code[lo - back :]
                 cuts = np.clip(o, lo, hi) - lo
                 full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                out[i + full] += np.add.reduceat(bits, cuts[full], 0, np.float64)
+                at = 0
+                for block in self.blocks:
+                    bits = block.bits(code)
+                    out[i + full, at : at + bits.shape[1]] += np.add.reduceat(bits, cuts[full], 0, np.float64)
+                    at += bits.shape[1]
         return out
 
 
@@ -170,16 +226,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("key is not null and text is not null and lang is not null")
     rows = rows.where(F.crc32(F.col("key").cast("string")) % 3 != 1)
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    draw, parts = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(DRAWS)), None
-    for r in sizes:
-        share = int(DRAWS * min(1, sample_bytes / max(1, r["n"])))
-        cond = (F.col("lang") == r["lang"]) & (draw < share)
-        parts = cond if parts is None else parts | cond
-    if parts is None:
-        return {}
-    counts = rows.where(parts).select("text", "lang").mapInArrow(_count(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return {k: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in counts.groupby("lang")}
+    sizes = store(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))).df
+    share = F.floor(F.lit(float(DRAWS)) * F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.lit(1), "size")))
+    drawn = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(DRAWS)) < F.col("share"))
+    counts = store(drawn.select("text", "lang").mapInArrow(_count(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))).df
+    langs, out = sorted(r["lang"] for r in sizes.collect()), {}
+    for i in range(0, len(langs), BLOCK_LANGUAGES):
+        part = counts.where(F.col("lang").isin(langs[i : i + BLOCK_LANGUAGES])).toPandas()
+        out |= {k: (g["code"].to_numpy(np.int64).astype(np.uint32), g["n"].to_numpy(np.int64)) for k, g in part.groupby("lang")}
+    return out
 
 
 def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:

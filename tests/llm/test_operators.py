@@ -346,6 +346,30 @@ def test_code_lengths_follow_the_trees():
         assert model.code_lengths(pa.array([t.decode()]))[0, 0] == pytest.approx(want, rel=1e-4)
 
 
+def test_every_language_is_trained(spark):
+    word = lambda k: "".join(chr(97 + k // 26**x % 26) for x in range(2)) * 2
+    rows = [(i, " ".join([word(i % 90)] * 5), f"l{i % 90:02}", "s", 0) for i in range(1800)]
+    model = ppm_language.train(spark.createDataFrame(rows, SCHEMA))
+    assert len(model) == 90
+    got = ppm_language.identify(spark.createDataFrame(rows[:270], SCHEMA), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % 90:02}" for r in got)
+
+
+def test_every_context_is_kept():
+    rng = random.Random(2)
+    text = bytes(rng.choices(range(48, 112), k=200_000))
+    grams = Counter(text[max(0, i - 3) : i + 1].rjust(4, b"\0") for i in range(len(text)))
+    assert len({g[:3] for g in grams}) > 100_000
+    code, n = zip(*((int.from_bytes(g, "big"), c) for g, c in grams.items()))
+    model = ppm_language.Model({x: (np.array(code), np.array(n)) for x in ("x", "y")})
+    whole = Counter()
+    for g, c in grams.items():
+        whole[g[:3]] += c + 1
+    want = -sum(math.log2(grams[g] / whole[g[:3]]) for g in [text[max(0, i - 3) : i + 1].rjust(4, b"\0") for i in range(len(text))])
+    got = model.code_lengths(pa.array([text.decode(), "", text.decode()]))
+    assert got[0, 0] == pytest.approx(want, rel=1e-5) and (got[0] == got[2]).all() and not got[1].any()
+
+
 # --- 7
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
