@@ -24,6 +24,8 @@ from quillon.session import store
 MIN_PAGES, SHARE = 4, 0.5
 #: The same for subtrees inside the main element.
 INNER_PAGES, INNER_SHARE = 10, 0.9
+#: Articles with a smaller share of the page's text, or of its main element's, aren't its main text.
+PART = 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -135,35 +137,44 @@ class Page:
                 if name in stop:
                     break
 
-    def main(self) -> int:
-        """The element of the main text, or -1: the only or longest article, else main."""
-        gone, best = [False] * len(self.nodes), {}
+    def main(self) -> list[int]:
+        """The elements of the main text in page order: all articles, else main; none for the whole page.
+
+        Elements that hold less than PART of the text around them give way to what is around.
+        """
+        gone, found, wanted = [False] * len(self.nodes), {"article": [], "main": []}, bytearray(b"\1" * len(self.pieces))
+        last = {"article": 0, "main": 0}  # where the element found last ends: those within it belong to it
         for i, (tag, parent, a, b, bad, _) in enumerate(self.nodes):
             gone[i] = bad or parent >= 0 and gone[parent]
-            if tag in ("article", "main") and not gone[i]:
-                size = sum(len(p) for p in self.pieces[a:b] if p)
-                if tag not in best or size > best[tag][0]:
-                    best[tag] = (size, i)
-        return best.get("article", best.get("main", (0, -1)))[1]
-
-    def inside(self, root: int) -> list[bool]:
-        out = [False] * len(self.nodes)
+            if bad:
+                wanted[a:b] = bytes(b - a)
+            if tag in found and not gone[i] and a >= last[tag]:
+                found[tag].append(i)
+                last[tag] = b
+        sizes = [len("".join(p.split())) if p and k else 0 for p, k in zip(self.pieces, wanted)]
+        roots, size = [], sum(sizes)
+        for tag in ("main", "article"):
+            n = sum(sum(sizes[self.nodes[i][2] : self.nodes[i][3]]) for i in found[tag])
+            if found[tag] and n >= PART * size:
+                roots, size = found[tag], n
+        return roots
+
+    def inside(self, roots: list[int]) -> list[bool]:
+        out, top = [False] * len(self.nodes), set(roots)
         for i, n in enumerate(self.nodes):
-            out[i] = i == root or n[1] >= 0 and out[n[1]]
+            out[i] = i in top or n[1] >= 0 and out[n[1]]
         return out
 
     def text(self, outer: frozenset = frozenset(), inner: frozenset = frozenset()) -> str:
         """Main text without unwanted elements and the template subtrees of these hashes."""
-        root = self.main()
-        within = self.inside(root)
-        keep = bytearray(len(self.pieces))
-        if root >= 0:
-            a, b = self.nodes[root][2:4]
+        roots = self.main()
+        within, around = self.inside(roots), self._around(roots)
+        keep = bytearray(len(self.pieces) if roots else b"\1" * len(self.pieces))
+        for i in roots:
+            a, b = self.nodes[i][2:4]
             keep[a:b] = b"\1" * (b - a)
-        else:
-            keep = bytearray(b"\1" * len(self.pieces))
         for i, (tag, _, a, b, bad, h) in enumerate(self.nodes):
-            if bad or (tag not in ("html", "body") and i != root and h in (inner if within[i] else outer) and not self._holds(i, root)):
+            if bad or (tag not in ("html", "body") and i not in around and h in (inner if within[i] and i not in roots else outer)):
                 keep[a:b] = bytes(b - a)
         blocks, now = [], []
         for p, k in zip(self.pieces, keep):
@@ -176,18 +187,21 @@ class Page:
         blocks.append("".join(now))
         return "\n".join(x for b in blocks if (x := " ".join(b.split())))
 
-    def _holds(self, i: int, root: int) -> bool:
-        while root >= 0:
-            if root == i:
-                return True
-            root = self.nodes[root][1]
-        return False
+    def _around(self, roots: list[int]) -> set[int]:
+        """Elements that hold one of the main text, and its only element itself; they are never template."""
+        out = set()
+        for i in roots:
+            i = i if len(roots) == 1 else self.nodes[i][1]
+            while i >= 0 and i not in out:
+                out.add(i)
+                i = self.nodes[i][1]
+        return out
 
     def subtrees(self) -> set[tuple[int, bool]]:
-        """(hash, inside the main element) of subtrees that can be template."""
-        root = self.main()
-        within = self.inside(root)
-        return {(n[5], within[i]) for i, n in enumerate(self.nodes) if i != root and n[0] not in ("html", "body", "head") and not n[4] and any(p and not p.isspace() for p in self.pieces[n[2] : n[3]])}
+        """(hash, inside an element of the main text) of subtrees that can be template."""
+        roots = self.main()
+        within, only = self.inside(roots), roots[0] if len(roots) == 1 else -1
+        return {(n[5], within[i] and i not in roots) for i, n in enumerate(self.nodes) if i != only and n[0] not in ("html", "body", "head") and not n[4] and any(p and not p.isspace() for p in self.pieces[n[2] : n[3]])}
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +252,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block becomes one space, blocks
     are joined by a newline. Null and empty pages give an empty text; pages with a null or
     hostless url share the empty host. Repeated pages count once for the templates and each
-    get a row. Without an article or main element, all of the body but unwanted and template
-    parts is the main text. Other columns are neither read nor returned.
+    get a row. All articles of a page are its main text, unless they hold only a small part of
+    it. Without an article or main element, all of the body but unwanted and template parts is
+    the main text. Other columns are neither read nor returned.
     """
     known = store(templates(pages)).df
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left")

@@ -527,6 +527,14 @@ def test_page_text():
     assert html_extract.Page("<p>a<p>b<ul><li>c<li>d</ul><form>q</form><table><tr><td>e<td>f</table>").text() == "a\nb\nc\nd\ne\nf"
 
 
+def test_all_articles_and_small_cards():
+    assert html_extract.Page("<body><p>Top</p><article><p>one</p></article><div>x</div><article><p>two is longer</p></article><aside><article>no</article></aside></body>").text() == "one\ntwo is longer"
+    long = "words of the story " * 30
+    card = "<article>card</article>"
+    assert html_extract.Page(f"<body><main><p>{long}</p>{card}</main><p>z</p></body>").text() == f"{long.strip()}\ncard"
+    assert html_extract.Page(f"<body><p>{long}</p>{card}</body>").text() == f"{long.strip()}\ncard"
+
+
 def test_templates_by_host(spark):
     body = lambda i: f"<body><div>Site menu</div><div>Story {i} of many</div><p>unique {i}</p></body>"
     rows = [(i, f"http://h.example/{i}", body(i), "own") for i in range(6)] + [(9, "http://other.example/", body(1), "x"), (10, None, None, None), (11, "x", "", "y"), (9, "http://other.example/", body(1), "x")]
