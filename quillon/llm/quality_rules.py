@@ -33,14 +33,23 @@ TAIL_TERMS = 20_000
 SMALL_TABLE = 10_000
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; null counts as empty.
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
 
-    Repeated three-word windows are found by sorting 64-bit integers within the row: 40 bits
-    of the window's hash over its 24-bit place; neighbours are then compared on all 64 bits.
+
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed
+    (columns of these names are replaced); a null text counts as empty, one without words has
+    no windows, and a text may be as long as a string can be.
+
+    Three-word windows are equal when their 64-bit hashes are. The row's windows are sorted as
+    integers, 32 bits of the hash over the 32-bit place; only those that agree with a neighbour
+    on these 32 bits can be repeated, and among them (hash, place) pairs are sorted and compared
+    in full, so no window stands between two equal ones.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_w", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    names = [c for c in docs.columns if c not in FEATURES]
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    out = out.withColumn("_w", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
     out = out.withColumn("n_words", F.size("_w").cast("long"))
     out = out.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumns(
@@ -52,11 +61,15 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             "_h": F.expr("if(n_words < 3, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])))"),
         }
     )
-    out = out.withColumn("_p", F.expr("sort_array(transform(_h, (h, i) -> (h & ~16777215L) | i))"))
-    twin = "(shiftright(x ^ _p[{0}], 24) = 0 and _h[cast(x & 16777215L as int)] = _h[cast(_p[{0}] & 16777215L as int)])"
-    out = out.withColumn("_d", F.expr(f"sort_array(transform(filter(_p, (x, j) -> (j > 0 and {twin.format('j - 1')}) or (j < size(_p) - 1 and {twin.format('j + 1')})), x -> x & 16777215L))"))
+    out = out.withColumn("_p", F.expr("sort_array(transform(_h, (h, i) -> (h & -4294967296L) | i))"))
+    near = "shiftright(x ^ _p[{0}], 32) = 0"
+    out = out.withColumn("_c", F.expr(f"filter(_p, (x, j) -> (j > 0 and {near.format('j - 1')}) or (j < size(_p) - 1 and {near.format('j + 1')}))"))
+    out = out.withColumn("_s", F.expr("sort_array(transform(_c, x -> struct(_h[cast(x & 4294967295L as int)] as h, x & 4294967295L as i)))"))
+    twin = "x.h = _s[{0}].h"
+    out = out.withColumn("_d", F.expr(f"sort_array(transform(filter(_s, (x, j) -> (j > 0 and {twin.format('j - 1')}) or (j < size(_s) - 1 and {twin.format('j + 1')})), x -> x.i))"))
     out = out.withColumn("n_repeat_words", F.expr("aggregate(transform(_d, (x, j) -> if(j < size(_d) - 1, least(3L, _d[j + 1] - x), 3L)), 0L, (a, x) -> a + x)"))
-    return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).drop("_w", "_lines", "_h", "_p", "_d")
+    out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    return out.select("_row.*", *FEATURES)
 
 
 def _ln_factorial(x: str) -> str:
@@ -101,17 +114,16 @@ def choose_cutoffs(features: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 
 def with_verdict(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Adds rejected_by (array of rules) and kept; cutoffs must be a stored table."""
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
+    """Adds rejected_by (array of rules) and kept (such columns are replaced); cutoffs must be a stored table."""
+    names = [c for c in features.columns if c not in ("rejected_by", "kept")]
+    wide = cutoffs.groupBy(F.col("stratum").alias("_s")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
     if cutoffs.count() <= SMALL_TABLE:
         wide = F.broadcast(wide)
-    out = features.join(wide, features[stratum].cast("string").eqNullSafe(wide["stratum"]), "left").drop("stratum") if "stratum" not in features.columns else features.join(wide.withColumnRenamed("stratum", "_s"), features[stratum].cast("string").eqNullSafe(F.col("_s")), "left").drop("_s")
+    packed = features.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *[c for c in FEATURES], F.col(f"`{stratum}`").cast("string").alias("_t"))
+    out = packed.join(wide, F.col("_t").eqNullSafe(F.col("_s")), "left")
     hit = [F.when(F.expr(f"{e} > _c_{r}"), F.lit(r)) for r, e in RULES.items()]
     out = out.withColumn("rejected_by", F.array_compact(F.array(*hit)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"_c_{r}" for r in RULES])
-
-
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).select("_row.*", "rejected_by", "kept")
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
@@ -119,24 +131,24 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Features are computed once and stored, narrow; other columns are not returned. Empty
     documents give no rows, empty labels no cutoffs. Null, empty and wordless texts fail the
-    base rule (fewer than 50 words). Repeated rows each get the same verdict.
+    base rule (fewer than 50 words); a null key is judged but never labelled. Repeated rows
+    each get the same verdict; very long texts are read whole.
     """
-    rows = docs.select(F.col(key).alias(key), F.col(stratum).cast("string").alias("_stratum"), F.col(text).alias("_text"))
-    narrow = store(with_features(rows, "_text").select(key, "_stratum", *FEATURES)).df
-    cutoffs = store(choose_cutoffs(narrow, labels, key, "_stratum", **risk)).df
-    return with_verdict(narrow, cutoffs, "_stratum").drop("_stratum")
+    rows = docs.select(F.col(key).alias("_key"), F.col(stratum).cast("string").alias("_stratum"), F.col(text).alias("_text"))
+    narrow = store(with_features(rows, "_text").select("_key", "_stratum", *FEATURES)).df
+    cutoffs = store(choose_cutoffs(narrow, labels, "_key", "_stratum", **risk)).df
+    return with_verdict(narrow, cutoffs, "_stratum").drop("_stratum").withColumnRenamed("_key", key)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are.
 
-    Features are computed again beside the text, so no text is shuffled.
+    Rows are stored once beside their features, from which cutoffs are fitted and verdicts
+    taken, so no text is shuffled or searched twice. Null, empty and wordless texts go, as do
+    texts of fewer than 50 words; repeated rows go or stay together; an empty table stays empty.
     """
-    cols = docs.columns
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
-    rows = plain.select("_row", F.col(f"_row.{key}").alias("_key"), F.col(f"_row.{stratum}").cast("string").alias("_stratum"), F.col(f"_row.{text}").alias("_text"))
-    fitted = store(with_features(rows.select("_key", "_stratum", "_text"), "_text").select("_key", "_stratum", *FEATURES)).df
-    cutoffs = store(choose_cutoffs(fitted, labels, "_key", "_stratum", **risk)).df
-    judged = with_verdict(with_features(rows, "_text"), cutoffs, "_stratum")
-    # The id keeps the filter above the features: pushed below, it would evaluate them inside each other's lambdas.
-    return judged.withColumn("_id", F.monotonically_increasing_id()).where("kept and _id >= 0").select("_row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = packed.select("_doc", F.col(f"_doc.`{key}`").alias("_key"), F.col(f"_doc.`{stratum}`").cast("string").alias("_stratum"), F.col(f"_doc.`{text}`").alias("_text"))
+    held = store(with_features(rows, "_text").drop("_text")).df
+    cutoffs = store(choose_cutoffs(held.drop("_doc"), labels, "_key", "_stratum", **risk)).df
+    return with_verdict(held, cutoffs, "_stratum").where("kept").select("_doc.*")
