@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 BUDGET, EPOCHS = 1.5, 2
+#: Columns that mix adds.
+ADDED = ["size", "source_size", "target", "es_key", "taken", "copies"]
 #: Key buckets: for a unit of the key at least KEY_SCALE, and one for every KEY_ROWS rows.
 KEY_SCALE, KEY_ROWS = 1024, 50_000
 
@@ -40,6 +42,8 @@ def with_keys(docs: DataFrame, key: str, text: str, source: str, seed: int, scal
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
     """(_src, source_size, target) from (_src, source_size), one row a source, null last.
 
+    The sources themselves, a row each however many documents they have, are ordered in one task.
+
     Shares go by weight; a source whose share exceeds epochs times its size stops there, and
     the excess goes to the others by weight, until none is above.
     """
@@ -76,10 +80,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     column alone beside those added. Texts are read once for their keys, and rows with their
     keys are stored, so the later steps read a few numbers a row and the columns they return.
     """
-    rows = _keyed(docs.drop("size", "source_size", "target", "es_key", "taken", "copies"), key, text, source, seed)
-    if narrow:
-        rows = rows.select(key, "size", "_src", "es_key", "_b", "_tie")
-    return _taken(rows, key, weights, budget, epochs, boundary)
+    names = [key] if narrow else [c for c in docs.columns if c not in ADDED]
+    out = _taken(_packed(docs, names, key, text, source, seed), "_key", weights, budget, epochs, boundary)
+    return out.select("_row.*", *ADDED)
+
+
+def _packed(docs: DataFrame, names: list[str], key: str, text: str, source: str, seed: int) -> DataFrame:
+    """Rows packed into one column, so that no name of theirs meets a name used here, and their keys."""
+    one = lambda c, name: F.col(f"`{c}`").alias(name)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), one(key, "_key"), one(text, "_text"), one(source, "_source"))
+    return _keyed(packed, "_key", "_text", "_source", seed).drop("_text", "_source")
 
 
 def _taken(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, boundary: str = "split") -> DataFrame:
@@ -110,9 +120,10 @@ def _taken(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, budget
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 1, boundary: str = "nearest") -> DataFrame:
-    """The mix itself: each document once for every time that it is taken, columns as in docs."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.struct(*cols).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
-    rows = _keyed(packed, "_key", "_text", "_source", seed).drop("_text", "_source")
-    out = _taken(rows, "_key", weights, budget, epochs, boundary)
+    """The mix itself: each document once for every time that it is taken, columns as in docs.
+
+    Null, empty and wordless texts are in no mix; repeated rows are taken one by one; an empty
+    table gives no rows; a text of any length counts whole.
+    """
+    out = _taken(_packed(docs, docs.columns, key, text, source, seed), "_key", weights, budget, epochs, boundary)
     return out.where("copies > 0").withColumn("_i", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")
