@@ -16,6 +16,7 @@ and block of languages. Memory grows with what the sample holds, not with all co
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ SAMPLE_BYTES = 6_000_000
 DRAWS = 1 << 48
 #: Languages that are scored together, and entries of their largest table; neither bears on results.
 BLOCK_LANGUAGES, BLOCK_ENTRIES = 8, 1 << 23
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
 def _shifted(b: np.ndarray, offs: np.ndarray, pad: int, k: int) -> np.ndarray:
@@ -251,10 +252,10 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
 
 
 class _Handle:
-    """A broadcast with its number, by which workers keep the flattened model."""
+    """A broadcast with a name of its own, by which workers keep the flattened model."""
 
     def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, id(broadcast)
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
     @property
     def value(self) -> dict:

@@ -9,6 +9,7 @@ the rule: `majority` (the section that holds most of its bytes, the earliest of
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary's texts are cut before merging: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ENCODERS: dict[int, tuple] = {}
+_ENCODERS: dict[str, tuple] = {}
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -48,17 +49,19 @@ def allocate(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarra
 
 
 def _count(vocabulary, pattern: str, rule: str, fields: int):
+    name = uuid.uuid4().hex  # workers are reused, and an object's number may come again
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        if id(vocabulary) not in _ENCODERS:
+        if name not in _ENCODERS:
             ranks = vocabulary.value
             size = np.zeros(max(ranks.values()) + 1, np.int64)
             for t, i in ranks.items():
                 size[i] = len(t)
             _ENCODERS.clear()
-            _ENCODERS[id(vocabulary)] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size)
-        encoder, size = _ENCODERS[id(vocabulary)]
+            _ENCODERS[name] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size)
+        encoder, size = _ENCODERS[name]
         for b in batches:
             total, each, starts, crossing = [], [], [], []
             cols = [b.column(f"f{i}") for i in range(fields)] if fields else [b.column("f0")]
