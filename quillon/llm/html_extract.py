@@ -1,17 +1,19 @@
 """Main text of web pages, with site templates found by counting subtrees over a host.
 
-Every element's subtree is hashed by its tags and text. Spark counts, for each host, on how
-many different pages a subtree occurs; subtrees on at least half of the host's pages are
-template and are deleted, inside an article only if nine in ten pages have them. Pages are
-told apart by their article text, so copies of one article don't make its paragraphs look
-like template. What rules recognise (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts) is deleted on any page, however small its host.
+Every element's subtree is hashed by its tags and text. Spark counts, for each host and for
+each layout of a host, on how many different pages a subtree occurs; one that surely occurs on
+a good half of them is template and is deleted, inside articles too. Pages are told apart by
+their main text, so copies count once; and a subtree must occur on pages of unlike main texts,
+told by their longest block, so near copies don't make their common paragraphs look like
+template. Rules add what a page's own names say is a menu, header, footer, sidebar, notice,
+advert, form or comment, however small its host.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -20,10 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.session import store
 
-#: A subtree is template on a host if it's on so many different pages, and on this share of them.
-MIN_PAGES, SHARE = 4, 0.5
-#: The same for subtrees inside the main element.
-INNER_PAGES, INNER_SHARE = 10, 0.9
+#: A subtree is template if it's on at least so many different pages, outside and inside articles,
+MIN_PAGES, INNER_PAGES = 4, 6
+#: its share of the host's (or layout's) different pages, less two standard errors, is at least this,
+SURE_SHARE = 0.4
+#: and its pages have at least so many unlike main texts for each page.
+UNLIKE = 0.5
+#: A page keeps template of which its main text would lose more than this share: it is a copy, inside articles, or nothing else.
+MOST, ALMOST_ALL = 0.5, 0.9
 #: Articles with a smaller share of the page's text, or of its main element's, aren't its main text.
 PART = 0.1
 
@@ -34,24 +40,43 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that an opening tag closes when they are open, up to the given limits.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Words of class, id or role that mark what isn't the main text.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side masthead header footer contentinfo complementary comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe signup popup modal overlay widget toolbar pagination pager skip search login".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+PARAGRAPH = (frozenset(("p",)), frozenset("article section div td th li main body table button".split()))
+#: Elements that one of these rules looks for.
+MATTERS = frozenset().union(*PARAGRAPH, *[x for rule in CLOSES.values() for x in rule])
+#: Last words of a class, id or role that name what isn't the main text; headers count outside articles only.
+HEADERS = frozenset("header masthead banner".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored nav navbar navigation menu breadcrumb breadcrumbs footer contentinfo sidebar complementary notice cookie cookies consent comment comments disqus share".split())
+#: Words that change nothing beside one of these.
+NEUTRAL = frozenset("site page main top bottom left right box block bar wrap wrapper container area slot list section widget panel form thread inner".split())
+#: Elements that make up a layout.
+FRAME = frozenset("body div section main article header footer nav aside form".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class, id or role names something unwanted."""
+    for name in value.split():
+        words = _WORD.findall(name)
+        marks = MARKS if inside else MARKS | HEADERS
+        if words and (words[-1] in marks or not marks.isdisjoint(words) and marks.union(NEUTRAL).issuperset(words)):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
+    """inside: within an article, whose own header holds its headline."""
     if tag in DROP:
-        return True
+        return not (inside and tag == "header")
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value)):
+        if name in ("class", "id", "role") and _named(value, inside):
             return True
     return False
 
@@ -60,19 +85,24 @@ class Page:
     """Elements in page order and the text between tags.
 
     nodes: [tag, parent, first piece, end piece, unwanted, hash]; pieces: text, or None at a
-    border between blocks.
+    border between blocks; frame: the path of each element that makes up the layout.
     """
 
     def __init__(self, source: str):
         self.nodes: list[list] = []
         self.pieces: list[str | None] = []
+        self.frame: list[str] = []
         self._parse(source)
 
     def _parse(self, s: str) -> None:
         nodes, pieces, stack, sums = self.nodes, self.pieces, [], []
+        open_tags, self.deep = Counter(), []  # deep: depths of the open elements that an opening tag may close or stop at
 
         def close() -> None:
             n = nodes[stack.pop()]
+            open_tags[n[0]] -= 1
+            if self.deep and self.deep[-1] == len(stack):
+                self.deep.pop()
             n[3] = len(pieces)
             n[5] = int.from_bytes(blake2b(n[0].encode() + b"(" + b"|".join(sums.pop()) + b")", digest_size=8).digest(), "big", signed=True)
             if sums:
@@ -91,44 +121,56 @@ class Page:
         while (m := _TOKEN.search(s, at)) is not None:
             text(s[at : m.start()])
             at = m.end()
-            tag = m[2]
+            closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the second form has an open quote
             if tag is None:
                 if m[0].startswith("<![CDATA["):
                     text(m[0][9:-3])
                 continue
             tag = tag.lower()
-            if m[1]:
-                if any(nodes[i][0] == tag for i in stack):
+            if closing:
+                if open_tags[tag]:
                     while nodes[stack[-1]][0] != tag:
                         close()
                     close()
                 continue
             if tag in BLOCK:
-                self._implied(tag, stack, close)
+                self._implied(tag, stack, close, open_tags)
                 pieces.append(None)
             if tag == "br":
                 pieces.append(" ")
             if tag in VOID:
                 continue
-            nodes.append([tag, stack[-1] if stack else -1, len(pieces), -1, _unwanted(tag, m[3]), 0])
+            nodes.append([tag, stack[-1] if stack else -1, len(pieces), -1, _unwanted(tag, attrs, open_tags["article"] > 0), 0])
+            if tag in FRAME and not open_tags["article"] and len(self.deep) <= 5:
+                self._framed(tag, attrs)
+            if tag in MATTERS:
+                self.deep.append(len(stack))
             stack.append(len(nodes) - 1)
+            open_tags[tag] += 1
             sums.append([])
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(s, at)
                 body = s[at : end.start() if end else len(s)]
                 sums[-1].append(body.encode("utf-8", "replace"))
                 at = end.start() if end else len(s)
-            elif m[3].endswith("/") and tag in ("path", "rect", "circle", "use", "g", "line"):
+            elif attrs.endswith("/") and tag in ("path", "rect", "circle", "use", "g", "line"):
                 close()
         text(s[at:])
         while stack:
             close()
 
-    def _implied(self, tag: str, stack: list[int], close) -> None:
+    def _framed(self, tag: str, attrs: str) -> None:
+        names = sorted(w for x in _ATTR.finditer(attrs) if x[1].lower() in ("class", "id") for w in _WORD.findall((x[2] or x[3] or x[4] or "").lower()))
+        step = f"{len(self.deep)}{tag}.{'.'.join(names)}"
+        if not self.frame or self.frame[-1] != step:  # however many such elements follow one another
+            self.frame.append(step)
+
+    def _implied(self, tag: str, stack: list[int], close, open_tags: Counter) -> None:
         """Closes an open paragraph before a block, and list items, cells and rows before the next."""
-        names, limit = CLOSES.get(tag, (frozenset(("p",)), frozenset(("article", "section", "div", "td", "th", "li", "main", "body", "table", "button"))))
-        for want, stop in ((names, limit), (frozenset(("p",)), frozenset(("article", "section", "div", "td", "th", "li", "main", "body", "table", "button")))):
-            for depth in range(len(stack) - 1, -1, -1):
+        for want, stop in (CLOSES.get(tag, PARAGRAPH), PARAGRAPH):
+            if not any(open_tags[w] for w in want):
+                continue
+            for depth in reversed(self.deep):
                 name = self.nodes[stack[depth]][0]
                 if name in want:
                     while len(stack) > depth:
@@ -173,19 +215,20 @@ class Page:
         for i in roots:
             a, b = self.nodes[i][2:4]
             keep[a:b] = b"\1" * (b - a)
-        for i, (tag, _, a, b, bad, h) in enumerate(self.nodes):
-            if bad or (tag not in ("html", "body") and i not in around and h in (inner if within[i] and i not in roots else outer)):
+        for _, _, a, b, bad, _ in self.nodes:
+            if bad:
                 keep[a:b] = bytes(b - a)
-        blocks, now = [], []
-        for p, k in zip(self.pieces, keep):
-            if p is None:
-                if now:
-                    blocks.append("".join(now))
-                    now = []
-            elif k:
-                now.append(p)
-        blocks.append("".join(now))
-        return "\n".join(x for b in blocks if (x := " ".join(b.split())))
+        for known, place, most in ((inner, True, MOST), (outer, False, ALMOST_ALL)):
+            fewer = keep[:]
+            for i, (tag, _, a, b, _, h) in enumerate(self.nodes):
+                if h in known and (within[i] and i not in roots) == place and tag not in ("html", "body") and i not in around:
+                    fewer[a:b] = bytes(b - a)
+            if fewer != keep and self._size(fewer) >= (1 - most) * self._size(keep):
+                keep = fewer
+        return "\n".join(self.blocks(keep))
+
+    def _size(self, keep: bytearray) -> int:
+        return sum(len("".join(p.split())) for p, k in zip(self.pieces, keep) if p and k)
 
     def _around(self, roots: list[int]) -> set[int]:
         """Elements that hold one of the main text, and its only element itself; they are never template."""
@@ -204,25 +247,54 @@ class Page:
         return {(n[5], within[i] and i not in roots) for i, n in enumerate(self.nodes) if i != only and n[0] not in ("html", "body", "head") and not n[4] and any(p and not p.isspace() for p in self.pieces[n[2] : n[3]])}
 
 
+    def blocks(self, keep: bytearray) -> list[str]:
+        """Texts of the blocks of the kept pieces, white space as single spaces."""
+        out, now = [], []
+        for p, k in zip(self.pieces, keep):
+            if p is None:
+                if now:
+                    out.append("".join(now))
+                    now = []
+            elif k:
+                now.append(p)
+        out.append("".join(now))
+        return [x for b in out if (x := " ".join(b.split()))]
+
+
+def _digest(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+SEEN = "host string, layout long, hash long, inner boolean, page long, kind long"
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page (hash 0) and for each of its subtrees; kind tells unlike main texts apart."""
     for b in batches:
-        hosts, hashes, inner, pages = [], [], [], []
+        hosts, layouts, hashes, inner, pages, kinds = [], [], [], [], [], []
         for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             page = Page(source or "")
-            fp = int.from_bytes(blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+            text = page.text()
+            own, kind, layout = _digest(text), _digest(max(text.split("\n"), key=len)), _digest("|".join(page.frame))
             for h, x in [(0, False), *page.subtrees()]:
                 hosts.append(host)
+                layouts.append(layout)
                 hashes.append(h)
                 inner.append(x)
-                pages.append(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(inner, pa.bool_()), pa.array(pages, pa.int64())], ["host", "hash", "inner", "page"])
+                pages.append(own)
+                kinds.append(kind)
+        longs = [pa.array(x, pa.int64()) for x in (layouts, hashes, pages, kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), longs[0], longs[1], pa.array(inner, pa.bool_()), longs[2], longs[3]], ["host", "layout", "hash", "inner", "page", "kind"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for source, outer, inner in zip(b.column("html").to_pylist(), b.column("outer").to_pylist(), b.column("inner").to_pylist()):
-            out.append(Page(source or "").text(frozenset(outer or ()), frozenset(inner or ())))
+        for source, known in zip(b.column("html").to_pylist(), b.column("known").to_pylist()):
+            page = Page(source or "")
+            own = _digest("|".join(page.frame)) if known else 0
+            gone = [(x["hash"], x["inner"]) for x in known or () if x["layout"] is None or x["layout"] == own]
+            out.append(page.text(frozenset(h for h, inner in gone if not inner), frozenset(h for h, inner in gone if inner)))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -232,18 +304,27 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, outer, inner): hashes of the template subtrees outside and inside main elements.
+    """(host, layout, hash, inner, n, total, kinds): subtrees that are template, layout null for the whole host.
 
-    A subtree on half of a host's pages is one of at most twice a page's subtrees, so the
-    lists stay short for any number of pages.
+    A page is its main text in its layout. Occurrences are stored once, narrow; only subtrees
+    that are frequent enough are looked up in them again for their number of unlike texts.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, hash long, inner boolean, page long")
-    counts = store(seen.distinct().groupBy("host", "hash", "inner").agg(F.count("*").alias("n"))).df
-    total = counts.where("hash = 0 and not inner").select("host", F.col("n").alias("total"))
-    often = counts.where(f"hash <> 0 and n >= {MIN_PAGES}").join(total, "host")
-    often = often.where(F.when(F.col("inner"), (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("total"))).otherwise(F.col("n") >= SHARE * F.col("total")))
-    pick = lambda x: F.sort_array(F.collect_list(F.when(F.col("inner") == x, F.col("hash"))))
-    return often.groupBy("host").agg(pick(False).alias("outer"), pick(True).alias("inner"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    seen = store(rows.mapInArrow(_hashes, SEEN).distinct()).df
+    by_layout = store(seen.groupBy("host", "layout", "hash", "inner").agg(F.count("*").alias("n"))).df
+    by_host = by_layout.groupBy("host", F.lit(None).cast("long").alias("layout"), "hash", "inner").agg(F.sum("n").alias("n"))
+    counts = by_layout.unionByName(by_host)
+    total = counts.where("hash = 0 and not inner").select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.col("n").alias("total"))
+    often = counts.where(f"hash <> 0 and n >= if(inner, {INNER_PAGES}, {MIN_PAGES})")
+    often = often.join(total, (F.col("host") == F.col("_h")) & F.col("layout").eqNullSafe(F.col("_l"))).drop("_h", "_l")
+    often = store(often.where(f"n / total - 2 * sqrt(n / total * (1 - n / total) / total) >= {SURE_SHARE}")).df
+    key = ["host", "hash", "inner"]
+    found = seen.join(often.select(*key).distinct(), key, "left_semi").select(*key, "layout", "kind").distinct()
+    kinds = found.groupBy(*key, "layout").agg(F.count("*").alias("kinds"))
+    kinds = kinds.unionByName(kinds.groupBy(*key, F.lit(None).cast("long").alias("layout")).agg(F.sum("kinds").alias("kinds")))
+    kinds = kinds.select(*[F.col(c).alias(f"_{c}") for c in (*key, "layout")], "kinds")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "layout")]
+    return often.join(kinds, same).where(f"kinds >= {UNLIKE} * n").select(*key, "layout", "n", "total", "kinds")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -254,9 +335,10 @@ def extract(pages: DataFrame) -> DataFrame:
     hostless url share the empty host. Repeated pages count once for the templates and each
     get a row. All articles of a page are its main text, unless they hold only a small part of
     it. Without an article or main element, all of the body but unwanted and template parts is
-    the main text. Other columns are neither read nor returned.
+    the main text. Very long pages are read whole, in time near linear in their length. Other
+    columns are neither read nor returned.
     """
-    known = store(templates(pages)).df
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left")
-    out = rows.select("page_id", "url", "html", "outer", "inner").mapInArrow(_texts, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    known = templates(pages).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("hash", "inner", "layout"))).alias("known"))
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(store(known).df, "host", "left")
+    out = rows.select("page_id", "url", "html", "known").mapInArrow(_texts, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -685,3 +685,74 @@ def test_features_of_a_long_text(spark):
     r = quality_rules.with_features(spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)).first()
     want = features(text)
     assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (want[0], want[1], want[3], want[4])
+
+
+# --- 10, templates and names
+
+
+def test_names_and_headlines_inside_articles():
+    t = lambda s: html_extract.Page(s).text()
+    assert t("<article><header><h1>Head</h1></header><p>a</p><footer>f</footer></article>") == "Head\na"
+    assert t('<article><div class="article-header"><h1>Head</h1></div><div class="alert">careful</div><div class="side">x</div><p id="related-work">y</p></article>') == "Head\ncareful\nx\ny"
+    assert t('<article><p>a</p><div class="post-comments">no</div><div class="ad slot3">no</div><div id="left-sidebar">no</div><div class="cookie-bar">no</div></article>') == "a"
+    assert t('<body><div class="site-header">no</div><p>a</p><form>no</form></body>') == "a"
+    assert t('<article><p>x <a href="foo>b</a> c</p></article>') == "x b c"
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for part in ("<b>w ", "<p><b>w ", "<div>w ", "<li>w ", "</i>w "):
+        took = []
+        for n in (4000, 16000):
+            at = time.perf_counter()
+            assert len(html_extract.Page("<body>" + part * n).text().split()) == n
+            took.append(time.perf_counter() - at)
+        assert took[1] < 10 * took[0] + 0.2, (part, took)
+
+
+def templates_brute(rows):
+    """By the definition: different pages of the host and of the layout, unlike longest blocks."""
+    pages = {}
+    for _, url, source in rows:
+        page = html_extract.Page(source or "")
+        host = (re.match(r"https?://([^/:]*)", url or "") or ["", ""])[1]
+        pages[host, tuple(page.frame), page.text()] = page
+    out = set()
+    for group in {g for h, f, _ in pages for g in ((h, f), (h, None))}:
+        of = {k: p.subtrees() for k, p in pages.items() if k[0] == group[0] and group[1] in (None, k[1])}
+        for h, inner in set().union(*of.values()):
+            on = [k for k, s in of.items() if (h, inner) in s]
+            share = len(on) / len(of)
+            kinds = {(k[1], max(k[2].split("\n"), key=len)) for k in on}
+            if len(on) >= (6 if inner else 4) and share - 2 * math.sqrt(share * (1 - share) / len(of)) >= 0.4 and len(kinds) >= 0.5 * len(on):
+                out.add((group[0], h, inner, group[1] is None))
+    return out
+
+
+def site(i, rng):
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    box = "<div><p>Sign up for our letter</p></div>" if i % 5 else ""
+    passage = "<p>a passage that many pages quote</p>" if i % 7 in (0, 3) else ""
+    menu = f"<div><ul><li>Home of {i % 3}<li>News of {i % 3}</ul></div>"
+    shell = [f'<div class="top l{"abc"[i % 3]}">{menu}</div>', "<div>Stay tuned</div>"]
+    return f"http://site.example/{i}", f"<body>{shell[0]}<article><h1>Title {i}</h1><p>{say(20)}</p>{passage}{box}<p>{say(12)}</p></article>{shell[1]}</body>", f"<body>{shell[0]}<h1>Title {i}</h1><p>{say(20)}</p>{passage}<p>{say(12)}</p>{shell[1]}</body>"
+
+
+@pytest.mark.parametrize("form", [1, 2])
+def test_recurring_blocks_decide(spark, form):
+    """Three layouts with a plain menu each, a box inside most articles, a passage on two pages in seven."""
+    rng = random.Random(3)
+    rows = [(i, *(site(i, rng)[k] for k in (0, form))) for i in range(60)]
+    near = "<p>the story that was copied</p><p>its second part</p><p>and its last words</p>"
+    rows += [(100 + i, f"http://copies.example/{i}", f"<body><article>{near}<p>{'edit ' * i}</p></article></body>") for i in range(12)]
+    rows += rows[:5]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.host, r.hash, r.inner, r.layout is None) for r in html_extract.templates(pages).collect()} == templates_brute(rows)
+    got = html_extract.extract(pages).collect()
+    for r in got:
+        if r.page_id < 100:
+            assert "Home of" not in r.text and "Stay tuned" not in r.text and "Sign up" not in r.text and f"Title {r.page_id}" in r.text
+            assert ("many pages quote" in r.text) == (r.page_id % 7 in (0, 3)) and len(r.text.split("\n")) == 3 + (r.page_id % 7 in (0, 3))
+        else:
+            assert r.text.startswith("the story that was copied\nits second part\nand its last words")
