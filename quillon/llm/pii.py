@@ -92,12 +92,19 @@ CONTEXT = pa.struct([("term", pa.int64()), ("entity", pa.int64())])
 FOUND = "key long, th long, base array<struct<kind:int,start:bigint,end:bigint>>, entities array<bigint>, near array<struct<term:bigint,entity:bigint>>"
 
 
+def _outside(spans: list[tuple[int, int, int]], ws: np.ndarray, we: np.ndarray) -> np.ndarray:
+    """Which words touch none of the spans, which are in order of their starts."""
+    if not spans:
+        return np.ones(len(ws), bool)
+    before = np.searchsorted([x[0] for x in spans], we)
+    reach = np.concatenate(([0], np.maximum.accumulate([x[1] for x in spans])))
+    return reach[before] <= ws
+
+
 def contexts(t: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[dict]]:
     """(entities, words near them): each entity and each (term, entity) of the text once."""
     h, ws, we = _words(t)
-    free = np.ones(len(h), bool)
-    for a, b, _ in spans:
-        free &= (we <= a) | (ws >= b)
+    free = _outside(spans, ws, we)
     wordy = np.array([any(c.isalpha() for c in t[a:b]) and b - a >= 3 for a, b in zip(ws, we)], bool) & free if len(h) else free
     near: dict[tuple[int, int], None] = {}
     ids = []
@@ -194,11 +201,8 @@ def _places(handle):
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     s, e, t = ws[lo:hi], we[lo:hi], h[lo:hi]
                     spans = base_spans(col[i + int(row[lo])].as_py())
-                    if spans:
-                        before = np.searchsorted([x[0] for x in spans], e)
-                        reach = np.concatenate(([0], np.maximum.accumulate([x[1] for x in spans])))
-                        free = reach[before] <= s
-                        s, e, t = s[free], e[free], t[free]
+                    free = _outside(spans, s, e)
+                    s, e, t = s[free], e[free], t[free]
                     order = np.argsort(t, kind="stable")
                     s, e, t = s[order], e[order], t[order].view(np.int64)
                     edges = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True]))) if len(t) else [0]
@@ -237,7 +241,8 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", min_share:
     start, then kind. Null and empty texts have none. A revealing term has a span wherever it
     stands outside base spans, in documents without base spans too. Repeated rows get the same
     spans; copies of one text count once, and two different texts must show a term near an
-    entity before it can reveal it. Empty tables give no rows; other columns are not returned.
+    entity before it can reveal it. Very long texts are read whole, in time linear in their
+    length but for the sorting of their spans. Empty tables give no rows; other columns are not returned.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))

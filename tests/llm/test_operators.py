@@ -495,6 +495,70 @@ def test_frequent_entities_have_terms(spark, copies):
     assert all(found[i] == ["Zorblax"] for i in range(20 * copies)) and not any(found[i] for i in range(20 * copies, len(texts)))
 
 
+def terms_brute(rows):
+    """Terms by the definition: shares and evidence over all different texts, then every occurrence."""
+    texts = {t for _, t, *_ in rows if t}
+    word = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+    name = lambda t, s: (s[2], t[s[0] : s[1]].lower() if s[2] == 0 else t[s[0] : s[1]] if s[2] == 1 else re.sub("[^0-9]", "", t[s[0] : s[1]]))
+    near, entities, have = {}, Counter(), Counter()
+    for t in texts:
+        spans, words = spans_brute(t), list(word.finditer(t))
+        entities.update({name(t, s) for s in spans})
+        have.update({lower(w[0]) for w in words})
+        for s in spans:
+            left, right = [w for w in words if w.end() <= s[0]][-8:], [w for w in words if w.start() >= s[1]][:8]
+            for w in left + right:
+                if not any(w.end() > a and w.start() < b for a, b, _ in spans) and any(c.isalpha() for c in w[0]) and len(w[0]) >= 3:
+                    near.setdefault((lower(w[0]), name(t, s)), set()).add(t)
+    telling = {}
+    for (w, e), on in near.items():
+        n, df, p = len(on), have[w], entities[e] / len(texts)
+        share = n / df
+        if n >= 2 and share >= 0.5 and share > p and p < 1:
+            bits = n * math.log2(share / p) + ((df - n) * math.log2((1 - share) / (1 - p)) if n < df else 0)
+            if bits >= 8:
+                telling[w] = max(share, telling.get(w, 0))
+    out = []
+    for r in rows:
+        spans = spans_brute(r[1])
+        out.append((r[0], [(w.start(), w.end()) for w in word.finditer(r[1] or "") if lower(w[0]) in telling and not any(w.end() > a and w.start() < b for a, b, _ in spans)]))
+    return sorted(out, key=repr)
+
+
+def test_terms_against_brute_force(spark):
+    """Planted co-occurrence in a whole table: entities of all kinds, copies, frequent and rare terms."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x" for _ in range(n))
+    known = {"bob@x.org": "Zorblax", "10.0.0.7": "quux", "+1 555 010 9999": "Nérine", "4111 1111 1111 1111": "hoard"}
+    rows = []
+    for i in range(400):
+        t = say(12)
+        for e, w in known.items():
+            if rng.random() < 0.12:
+                t += f"\n{say(rng.randrange(3))} {w if rng.random() < 0.9 else 'common'} at {e} {say(9)}"
+            elif rng.random() < 0.05:
+                t += f" {w} {say(10)}"
+        rows.append((i, t, "en", "a", 0))
+    rows += [(1000 + i, rows[3][1], "en", "a", 0) for i in range(30)] + [(None, None, None, None, None), (5, "", "en", "a", 0)]
+    got = pii.detect(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(((r.doc_id, [(s.start, s.end) for s in r.terms]) for r in got), key=repr) == terms_brute(rows)
+    assert sum(bool(r.terms) for r in got) > 150
+
+
+def test_contexts_of_a_long_text():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        t = " ".join(f"word{i % 50}x mail{i}@b.org" for i in range(n))
+        at = time.perf_counter()
+        spans = pii.base_spans(t)
+        entities, near = pii.contexts(t, spans)
+        took.append(time.perf_counter() - at)
+        assert len(spans) == len(entities) == n
+    assert took[1] < 10 * took[0] + 0.2, took
+
+
 # --- 8
 
 
