@@ -111,3 +111,11 @@ def ints(a: np.ndarray) -> pa.Array:
     """uint64 or int64 values as Arrow int64 with the same bits."""
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
+
+def squeeze(data: bytes) -> bytes:
+    """zstd with the size in front, for what is written once and read once or twice."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)

@@ -139,15 +139,6 @@ def _rows(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def squeeze(data: bytes) -> bytes:
-    """zstd with the size in front; runs are written once and exchanged once."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-
-
 def _split(rec: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(by, kind="stable")
     by, rec = by[order], rec[order]
@@ -293,7 +284,7 @@ def _runs(length: int, gram: int, merge_buckets: int, doc_buckets: int):
         by: dict[int, list] = {}
         for (s, lo, hi), (key, dh, q) in best.items():
             by.setdefault(zlib.crc32(s[:gram]) % merge_buckets, []).append((s, lo, hi, key, dh, q))
-        out += [(1, b, *map(squeeze, front_code(sorted(x)))) for b, x in by.items()]
+        out += [(1, b, *map(K.squeeze, front_code(sorted(x)))) for b, x in by.items()]
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "bucket", "data", "tails"])
 
     return run
@@ -366,7 +357,7 @@ def _merged(length: int, gram: int, doc_buckets: int):
                 batch.extend(group)
             group.clear()
 
-        for x in merge([decode(unsqueeze(a), unsqueeze(b)) for a, b in zip(table.column("data").to_pylist(), table.column("tails").to_pylist())]):
+        for x in merge([decode(K.unsqueeze(a), K.unsqueeze(b)) for a, b in zip(table.column("data").to_pylist(), table.column("tails").to_pylist())]):
             lcp, s, lo, hi, key, dh, q = x
             if last is not None and lcp == len(s) == len(last[1]) and (lo, hi) == last[2:4]:
                 whole.append((dh, q - hi, q - lo + 1))  # the same suffix in a later row

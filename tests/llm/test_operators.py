@@ -594,9 +594,30 @@ def test_decontamination(spark, odd, none, clashing, bench):
 
 def test_search_in_blocks_and_whole_index(spark, odd, bench, monkeypatch):
     want = rows_of(positional_index.decontaminate(odd, bench), "doc_id", "n_hit", "items")
+    kept = rows_of(positional_index.drop_contaminated(odd, bench), "doc_id", "text")
+    monkeypatch.setattr(positional_index, "SEGMENT_BYTES", 300)
+    index = positional_index.store_index(odd)
+    assert rows_of(positional_index.decontaminate(odd, bench, index=index), "doc_id", "n_hit", "items") == want
     monkeypatch.setattr(positional_index, "BLOCK_WORDS", 3)
-    monkeypatch.setattr(positional_index, "MAX_VOCABULARY", 2)
-    assert rows_of(positional_index.decontaminate(odd, bench), "doc_id", "n_hit", "items") == want
+    monkeypatch.setattr(positional_index, "SMALL_TABLE", 0)
+    assert sum(1 for _ in positional_index.read_items(bench, 10)) > 3
+    assert rows_of(positional_index.decontaminate(odd, bench, index=index), "doc_id", "n_hit", "items") == want
+    assert rows_of(positional_index.drop_contaminated(odd, bench), "doc_id", "text") == kept
+
+
+def test_proximity_over_an_index(spark, odd):
+    index = positional_index.store_index(odd)
+    got = Counter((r.doc_id, r.query) for r in positional_index.search_near(index, ["one TWO", "zeta #io", "bob1 example", "", "nowhere zeta"], 3).collect())
+    want = Counter()
+    for r in odd_rows():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r[1]))
+        for q, terms in (("one TWO", ["one", "two"]), ("zeta #io", ["zeta", "io"]), ("bob1 example", ["bob1", "example"])):
+            at = [[i for i, x in enumerate(w) if x == t] for t in terms]
+            if any(abs(i - j) <= 3 for i in at[0] for j in at[1]):
+                want[r[0], q] += 1
+    assert set(got) == set(want) and got[4, "one TWO"] == 1
+    with pytest.raises(ValueError):
+        positional_index.search_near(index, ["a b"], positional_index.GAP)
 
 
 def test_proximity():
