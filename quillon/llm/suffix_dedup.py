@@ -3,22 +3,24 @@
 Every string of ``length`` bytes has an anchor: the leftmost of its ``gram``-byte grams with
 the least hash. Equal strings have their anchor at the same place, so it is enough to sort
 the suffixes that start at anchors (a few in a hundred positions), each with the bytes to
-its left as a tail. The steps are:
+its left behind it. The steps are:
 
 1. One pass finds the anchors; their gram hashes, packed, are dealt by hash, and those seen
    once are dropped.
 2. Texts and their repeated anchors meet by document bucket. Each task sorts its anchors'
    suffixes, keeps the earliest of equal ones (the others are repeats at once), and writes
    front-coded runs: the length of the prefix shared with the entry before, and the rest.
-   Grams with more than HOT anchors are kept out of the runs: their strings, one of each that
-   a task has, are dealt by string hash, so a passage that very many rows share, with as many
-   surroundings as rows, makes no task large.
-3. Runs are exchanged by gram and merged with a loser tree that carries common-prefix
-   lengths: two candidates are compared only beyond the prefix that both are known to share
-   with the last output. The merged order puts suffixes with a common gram side by side;
-   strings that a group owns are compared by 64-bit hash, and all but the earliest of equal
-   ones are repeats.
-4. Repeats and texts meet by document bucket; covered bytes are removed.
+   Of grams with more than HOT anchors every string is a suffix of its own, one of each in a
+   run, so a passage that very many rows share makes no group large.
+3. A sample of the runs gives the borders of ranges. Runs are cut there and exchanged, so the
+   buckets are in the order of the suffixes, and each is merged by a loser tree that carries
+   common-prefix lengths: two candidates are compared only beyond the prefix that both are
+   known to share with the last output.
+4. The merge's prefix lengths decide. Two strings whose anchor stands k bytes behind their
+   start are equal if no prefix length between their suffixes is below length - k, and their k
+   bytes to the left agree, which an order of the left sides tells in the same way. All but
+   the earliest of equal strings are repeats. Nothing is compared by hash.
+5. Repeats and texts meet by document bucket; covered bytes are removed.
 
 Earlier means a smaller key (null last), or the same row and an earlier start.
 """
@@ -26,7 +28,7 @@ Earlier means a smaller key (null last), or the same row and an earlier start.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,16 @@ from pyspark.sql import DataFrame, functions as F
 from quillon.llm import kernel as K
 from quillon.session import store
 
-#: Packed anchors of a bucket, bytes of text of a document bucket, and suffixes of a merge bucket, about.
-ANCHORS, TEXT_BYTES, SUFFIXES = 500_000, 8_000_000, 40_000
-#: Anchors of one gram beyond which its strings are compared one by one.
-HOT = 5000
+#: Packed anchors of a bucket, bytes of text of a document bucket, and suffixes of a range, about.
+ANCHORS, TEXT_BYTES, SUFFIXES = 500_000, 8_000_000, 150_000
+#: Ranges of a small table.
+RANGES = 16
+#: Anchors of one gram beyond which its strings are sorted one by one, and strings of one run of these.
+HOT, RUN_STRINGS = 5000, 200_000
+#: Borders that a run proposes, and that the driver takes and broadcasts at most (of `length` bytes each); neither bears on results.
+PROPOSED, BORDERS = 64, 50_000
+#: Groups that one task works off, one after the other.
+TASK_GROUPS = 4
 LAST = (1 << 63) - 1
 
 
@@ -173,9 +181,8 @@ def _shared_anchors(table: pa.Table, hot: int) -> pa.Table:
 MARK = np.dtype([("dh", "i8"), ("start", "u4"), ("stop", "u4")])
 #: A suffix of a run: prefix shared with the one before, length of the rest, offsets, row, place.
 ENTRY = np.dtype([("lcp", "u2"), ("rest", "u2"), ("lo", "u2"), ("hi", "u2"), ("key", "i8"), ("dh", "i8"), ("q", "u4")])
-#: A string of a hot gram.
-STRING = np.dtype([("h", "u8"), ("key", "i8"), ("dh", "i8"), ("start", "u4")])
-RUNS = "kind byte, bucket long, data binary, tails binary"
+#: kind 0: MARKs; 1: a run of suffixes; 2: a run of single strings. sample: prefixes, of gram or length bytes.
+RUNS = "kind byte, bucket long, data binary, tails binary, n long, sample binary"
 
 
 def common_prefix(x: bytes, y: bytes, known: int = 0) -> int:
@@ -253,7 +260,12 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def _runs(length: int, gram: int, merge_buckets: int, doc_buckets: int):
+def _sample(rows: list[bytes], size: int) -> bytes:
+    step = -(-len(rows) // PROPOSED)
+    return b"".join(x[:size] for x in rows[step // 2 :: step])
+
+
+def _runs(length: int, gram: int, doc_buckets: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         marks, best, at_row, many = [], {}, {}, set()
         if len(found) and len(texts):
@@ -275,31 +287,60 @@ def _runs(length: int, gram: int, merge_buckets: int, doc_buckets: int):
                     if best.setdefault((s, lo, hi), (key, dh, q)) != (key, dh, q):
                         marks.append((dh, q - hi, q - lo + 1))
         out: list[tuple] = []
-        m = np.array(marks, MARK)
-        if many:
-            strings, own = _strings([(*x, *best.pop(x)) for x in many], length)
-            out += [(2, b, _columns(x), None) for b, x in _split(strings, (strings["h"] % K.U(merge_buckets)).astype(np.int64))]
-            m = np.concatenate((m, own))
-        out += [(0, b, _columns(x), None) for b, x in _split(m, m["dh"] % doc_buckets)]
-        by: dict[int, list] = {}
-        for (s, lo, hi), (key, dh, q) in best.items():
-            by.setdefault(zlib.crc32(s[:gram]) % merge_buckets, []).append((s, lo, hi, key, dh, q))
-        out += [(1, b, *map(K.squeeze, front_code(sorted(x)))) for b, x in by.items()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int8(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "bucket", "data", "tails"])
+        m = [np.array(marks, MARK)]
+        for rec, tails, sample, own in _string_runs([(*x, *best.pop(x)) for x in many], length):
+            out.append((2, None, K.squeeze(_columns(rec)), K.squeeze(tails), len(rec), sample))
+            m.append(own)
+        m = np.concatenate(m)
+        out += [(0, b, _columns(x), None, None, None) for b, x in _split(m, m["dh"] % doc_buckets)]
+        entries = sorted((s, lo, hi, key, dh, q) for (s, lo, hi), (key, dh, q) in best.items())
+        if entries:
+            out.append((1, None, *map(K.squeeze, front_code(entries)), len(entries), _sample([x[0] for x in entries], gram)))
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 6, (pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], ["kind", "bucket", "data", "tails", "n", "sample"])
 
     return run
 
 
-def _each_string(items: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """(hash, item, place within the item, items in order) of each string that the items own."""
+def _string_runs(items: list[tuple], length: int) -> Iterator[tuple]:
+    """(ENTRYs, tails, sample, MARKs) of runs of the strings that the items own, each a suffix of its own.
+
+    A run keeps the earliest of equal strings; the others are repeats at once.
+    """
     items = sorted(items, key=lambda x: x[3:])
-    text = b"".join(s[: length - lo - 1 : -1] + s[: length - lo] for s, lo, *_ in items)
-    size = np.array([x[2] - x[1] + 1 for x in items], np.int64)
-    begin = np.concatenate(([0], np.cumsum(size + length - 1)))[:-1]
-    item = np.repeat(np.arange(len(items)), size)
-    nth = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-    at = begin[item] + nth
-    return K.span_hash(K.prefix_hash(np.frombuffer(text, np.uint8)), at, at + length), item, nth, items
+    while items:
+        n, take = 0, 0
+        while take < len(items) and (not take or n < RUN_STRINGS):
+            n += items[take][2] - items[take][1] + 1
+            take += 1
+        part, items = items[:take], items[take:]
+        text = np.frombuffer(b"".join(s[: length - lo - 1 : -1] + s[: length - lo] for s, lo, *_ in part), np.uint8)
+        size = np.array([x[2] - x[1] + 1 for x in part], np.int64)
+        begin = np.cumsum(size + length - 1) - (size + length - 1)
+        item = np.repeat(np.arange(len(part)), size)
+        nth = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
+        rows = np.lib.stride_tricks.sliding_window_view(text, length)[begin[item] + nth]
+        order = np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")
+        rows = rows[order]
+        lcp = _row_prefix(rows)
+        first = lcp < length
+        mark = np.zeros(len(order), bool)
+        mark[order[~first]] = True
+        own, rows, lcp = order[first], rows[first], lcp[first]
+        rec = np.empty(len(own), ENTRY)
+        start = np.array([x[5] - x[2] for x in part], np.int64)[item[own]] + nth[own]
+        rec["lcp"], rec["rest"], rec["lo"], rec["hi"], rec["q"] = lcp, length - lcp, 0, 0, start
+        rec["key"], rec["dh"] = np.array([x[3] for x in part], np.int64)[item[own]], np.array([x[4] for x in part], np.int64)[item[own]]
+        tails = rows[np.arange(length) >= lcp[:, None]].tobytes()
+        yield rec, tails, _sample([x.tobytes() for x in rows[:: max(1, len(rows) // (4 * PROPOSED))]], length), _marks(mark, item, nth, part)
+
+
+def _row_prefix(rows: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row shares with the one before, 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    for i in range(1, len(rows), 1 << 16):
+        same = rows[i : i + (1 << 16)] == rows[i - 1 : i - 1 + len(rows[i : i + (1 << 16)])]
+        out[i : i + (1 << 16)] = np.where(same.all(1), rows.shape[1], same.argmin(1))
+    return out
 
 
 def _marks(mark: np.ndarray, item: np.ndarray, nth: np.ndarray, items: list[tuple]) -> np.ndarray:
@@ -313,49 +354,93 @@ def _marks(mark: np.ndarray, item: np.ndarray, nth: np.ndarray, items: list[tupl
     return out
 
 
-def _owned(items: list[tuple], length: int) -> np.ndarray:
-    """MARKs of the strings owned by the items (suffix, lo, hi, key, dh, q) of whole gram groups that an earlier item owns too."""
-    h, item, nth, items = _each_string(items, length)
-    mark = np.ones(len(h), bool)
-    mark[np.unique(h, return_index=True)[1]] = False
-    return _marks(mark, item, nth, items)
-
+def _borders(runs: DataFrame, kind: int, size: int) -> list[bytes]:
+    """Prefixes of `size` bytes between which about SUFFIXES entries of the runs of this kind lie."""
+    of = runs.where(F.col("kind") == kind)
+    rows, n = of.agg(F.count("*"), F.sum("n")).first()
+    if not rows:
+        return []
+    ranges = min(BORDERS, max(n // SUFFIXES, min(RANGES, n // 1000)) + 1)
+    share = min(1.0, BORDERS / PROPOSED / rows)  # so many runs are asked as propose BORDERS borders
+    asked = of.where(F.pmod(F.xxhash64("data"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("sample").toLocalIterator()
+    found = sorted(r["sample"][i : i + size] for r in asked for i in range(0, len(r["sample"]), size))
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
-def _strings(items: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(STRINGs, the earliest of equal ones; MARKs of the others)."""
-    h, item, nth, items = _each_string(items, length)
-    first = np.sort(np.unique(h, return_index=True)[1])
-    mark = np.ones(len(h), bool)
-    mark[first] = False
-    out = np.empty(len(first), STRING)
-    own = item[first]
-    out["h"], out["start"] = h[first], np.array([x[5] - x[2] for x in items], np.int64)[own] + nth[first]
-    out["key"], out["dh"] = np.array([x[3] for x in items], np.int64)[own], np.array([x[4] for x in items], np.int64)[own]
-    return out, _marks(mark, item, nth, items)
 
+def _exchanged(borders: dict[int, list[bytes]], size: dict[int, int]):
+    """Pieces of the runs, by kind and range; a prefix that equals a border begins the range behind it."""
 
-def _later_strings(doc_buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        s = np.concatenate([_rows(x, STRING) for x in table.column("data").to_pylist()])
-        s = s[np.lexsort((s["start"], s["dh"], s["key"], s["h"]))]
-        s = s[1:][s["h"][1:] == s["h"][:-1]]
-        m = np.empty(len(s), MARK)
-        m["dh"], m["start"], m["stop"] = s["dh"], s["start"], s["start"] + 1
-        out = list(_split(m, m["dh"] % doc_buckets))
-        return pa.table({"bucket": pa.array([x for x, _ in out], pa.int64()), "data": pa.array([_columns(x) for _, x in out], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, data, tails in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), b.column("tails").to_pylist()):
+                rec, tails = _rows(K.unsqueeze(data), ENTRY), K.unsqueeze(tails)
+                cuts, heads, begins, behind = [], [], [], []  # of each piece: first entry, (range, its suffix), place of its rest and of what follows
+                at, s, now, known = 0, b"", -1, borders[kind]
+                for i, (lcp, rest) in enumerate(zip(rec["lcp"].tolist(), rec["rest"].tolist())):
+                    s = s[:lcp] + tails[at : at + rest]
+                    if now < 0 or now < len(known) and s[: size[kind]] >= known[now]:
+                        now = bisect_right(known, s[: size[kind]])
+                        cuts.append(i)
+                        heads.append((now, s))
+                        begins.append(at)
+                        behind.append(at + rest)
+                    at += rest
+                rec["lcp"][cuts], rec["rest"][cuts] = 0, [len(s) for _, s in heads]
+                ends, stops = [*cuts[1:], len(rec)], [*begins[1:], len(tails)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(cuts), pa.int8()), pa.array([r for r, _ in heads], pa.int64()), pa.array([K.squeeze(_columns(rec[a:e])) for a, e in zip(cuts, ends)], pa.binary()), pa.array([K.squeeze(s + tails[a:e]) for (_, s), a, e in zip(heads, behind, stops)], pa.binary())],
+                    ["kind", "bucket", "data", "tails"],
+                )
 
     return run
 
 
+def _by_order(items: list[tuple], lcp: list[int], length: int) -> np.ndarray:
+    """MARKs of strings that an earlier item owns too, from the order alone.
+
+    items: (suffix, lo, hi, key, dh, q) as merged, lcp: prefix that each shares with the one before.
+    """
+    n = len(items)
+    lo, hi = np.array([x[1] for x in items], np.int64), np.array([x[2] for x in items], np.int64)
+    right = np.array(lcp, np.int64)
+    span = int(hi.max()) if n else 0
+    left = np.zeros((n, max(1, span)), np.uint8)
+    for i, (s, a, b, *_) in enumerate(items):
+        if b:
+            left[i, :b] = np.frombuffer(s, np.uint8, b, length - a)
+    order = np.argsort(left.view(f"S{left.shape[1]}").ravel(), kind="stable")
+    shared = _row_prefix(left[order])
+    age = np.array(sorted(range(n), key=lambda i: items[i][3:]), np.int64)  # earlier ones first
+    size = hi - lo + 1
+    begin = np.cumsum(size) - size
+    mark = np.zeros(int(size.sum()), bool)
+    beside = np.empty(n, np.int64)
+    for k in range(int(lo.min()) if n else 0, span + 1):
+        own = age[(lo[age] <= k) & (hi[age] >= k)]
+        if len(own) < 2:
+            continue
+        behind = np.cumsum(right < length - k)
+        beside[order] = np.cumsum(shared < k)
+        code = behind[own] * (n + 1) + beside[own]
+        later = np.ones(len(own), bool)
+        later[np.unique(code, return_index=True)[1]] = False
+        own = own[later]
+        mark[begin[own] + hi[own] - k] = True
+    item = np.repeat(np.arange(n), size)
+    return _marks(mark, item, np.arange(len(item)) - begin[item], items)
+
+
 def _merged(length: int, gram: int, doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        marks, whole, batch, group = [], [], [], []
-        last = None
+        marks, whole, batch, lcps, group, near = [], [], [], [], [], []
+        last, single = None, table.column("kind")[0].as_py() == 2  # single strings are equal only as a whole
 
         def close() -> None:
             if len(group) > 1:
                 batch.extend(group)
+                lcps.extend(near)
             group.clear()
+            near.clear()
 
         for x in merge([decode(K.unsqueeze(a), K.unsqueeze(b)) for a, b in zip(table.column("data").to_pylist(), table.column("tails").to_pylist())]):
             lcp, s, lo, hi, key, dh, q = x
@@ -365,13 +450,15 @@ def _merged(length: int, gram: int, doc_buckets: int):
             if lcp < gram:
                 close()
                 if len(batch) > 50_000:
-                    marks.append(_owned(batch, length))
-                    batch = []
-            group.append(x[1:])
+                    marks.append(_by_order(batch, lcps, length))
+                    batch, lcps = [], []
+            if not single:
+                group.append(x[1:])
+                near.append(lcp)
             last = x
         close()
         if batch:
-            marks.append(_owned(batch, length))
+            marks.append(_by_order(batch, lcps, length))
         m = np.concatenate([*marks, np.array(whole, MARK)])
         out = list(_split(m, m["dh"] % doc_buckets))
         return pa.table({"bucket": pa.array([x for x, _ in out], pa.int64()), "data": pa.array([_columns(x) for _, x in out], pa.binary())})
@@ -406,7 +493,7 @@ def _cut(length: int):
             begin.append(b)
             end.append(e)
         lists = pa.list_(pa.int64())
-        return pa.table({"key": texts.column("key"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "starts": pa.array(begin, lists), "ends": pa.array(end, lists)})
+        return pa.table({"key": texts.column("key"), "dh": texts.column("dh"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "starts": pa.array(begin, lists), "ends": pa.array(end, lists)})
 
     return run
 
@@ -416,25 +503,33 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
 
     Removed is each byte of the UTF-8 text that a string of ``length`` bytes covers which also
     starts earlier; starts and ends are the maximal removed runs in bytes. Strings are judged
-    on the input and never cross rows. Null and empty texts have no bytes. A null key comes
-    after all others. Repeated rows (equal key and text) count as one row, and each gets the
-    same result; rows with equal keys and unlike texts are ordered by a hash of the text.
-    Empty tables give no rows; other columns are neither read nor returned.
+    on the input and never cross rows. Null and empty texts have no bytes; very long texts are
+    read whole. A null key comes after all others. Repeated rows (equal key and text) count as
+    one row, and each gets the same result; rows with equal keys and unlike texts are ordered
+    by a hash of the text. Empty tables give no rows; other columns are neither read nor returned.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"), F.col(key).isNull().alias("no_key"), F.col(text).alias("text"))
-    rows = rows.withColumn("dh", F.xxhash64("key", "no_key", "text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    # a row's hash is negative if its key isn't null, so a null key is behind all others, the greatest too
+    own = F.xxhash64("key", "text").bitwiseAND(F.lit(LAST))
+    rows = rows.withColumn("dh", F.when(F.col("key").isNull(), own).otherwise(own.bitwiseOR(F.lit(-LAST - 1)))).withColumn("key", F.coalesce("key", F.lit(LAST)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs_n = max(8, int(size / TEXT_BYTES) + 1)
     n = max(8, int(size / (length - gram + 1) * 2 / ANCHORS) + 1)
-    merges = max(16, int(size / (length - gram + 1) * 2 / 8 / SUFFIXES) + 1)
-    texts = rows.withColumn("db", F.pmod("dh", F.lit(docs_n))).select("db", "key", "dh", "text")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda groups: max(min(least, groups), groups // TASK_GROUPS)
+    by_row = tasks(docs_n)
+    texts = rows.withColumn("db", F.pmod("dh", F.lit(docs_n))).select("db", "key", "dh", "text").repartition(by_row, "db")
     packed = rows.select("dh", "text").mapInArrow(_find(length, gram, n, docs_n), "bucket long, data binary")
-    found = packed.groupBy("bucket").applyInArrow(_repeated(hot), "db long, data binary")
-    runs = store(texts.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(_runs(length, gram, merges, docs_n), RUNS))
-    late = runs.df.where("kind = 1").select("bucket", "data", "tails").groupBy("bucket").applyInArrow(_merged(length, gram, docs_n), "bucket long, data binary")
-    strings = runs.df.where("kind = 2").select("bucket", "data").groupBy("bucket").applyInArrow(_later_strings(docs_n), "bucket long, data binary")
-    marks = runs.df.where("kind = 0").select("bucket", "data").union(late).union(strings)
-    out = texts.groupBy("db").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
-    return out.withColumn("key", F.when(F.col("key") != LAST, F.col("key"))).withColumnRenamed("key", key)
+    found = packed.repartition(tasks(n), "bucket").groupBy("bucket").applyInArrow(_repeated(hot), "db long, data binary").repartition(by_row, "db")
+    runs = store(texts.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(_runs(length, gram, docs_n), RUNS)).df
+    size = {1: gram, 2: length}
+    borders = {k: _borders(runs, k, n) for k, n in size.items()}
+    pieces = runs.where("kind > 0").select("kind", "data", "tails").mapInArrow(_exchanged(borders, size), "kind byte, bucket long, data binary, tails binary")
+    ranges = sum(len(b) + 1 for b in borders.values())
+    late = pieces.repartition(tasks(ranges), "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_merged(length, gram, docs_n), "bucket long, data binary")
+    marks = runs.where("kind = 0").select("bucket", "data").union(late).repartition(by_row, "bucket")
+    out = texts.groupBy("db").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(length), "key long, dh long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    return out.withColumn("key", F.when(F.col("dh") < 0, F.col("key"))).drop("dh").withColumnRenamed("key", key)

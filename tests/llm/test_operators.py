@@ -646,10 +646,14 @@ def removed_brute(rows, length):
 
 
 @pytest.mark.parametrize("length,gram,hot", [(100, 20, 5000), (20, 6, 5000), (20, 6, 3), (100, 20, 1), (12, 12, 5000), (9, 1, 8)])
-def test_suffix_dedup(spark, odd, none, length, gram, hot):
+def test_suffix_dedup(spark, odd, none, length, gram, hot, monkeypatch):
+    if hot == 3:  # many short runs, cut into many ranges
+        monkeypatch.setattr(suffix_dedup, "RUN_STRINGS", 50)
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", 5)
     rng = random.Random(length)
     base = ["".join(rng.choice("abé") for _ in range(200)) for _ in range(3)]
     rows = [r for r in odd_rows() if r[0] != 31]
+    rows += [((1 << 63) - 1, rows[0][1], None, None, None)]  # the greatest key comes before the null key
     for i in range(60):
         t = rng.choice(base)[rng.randrange(50) : rng.randrange(100, 200)] + "".join(rng.choice("abé") for _ in range(rng.randrange(60))) + rng.choice(["", "a" * rng.randrange(90), "ab" * 30])
         rows.append((1000 + i, t, "en", "a", 0))
@@ -659,6 +663,22 @@ def test_suffix_dedup(spark, odd, none, length, gram, hot):
     assert suffix_dedup.removed_spans(none, length=length, gram=gram).count() == 0
 
 
+def test_runs_are_cut_into_ranges():
+    rng = random.Random(5)
+    entries = sorted({(bytes(rng.choice(b"abc") for _ in range(9)), 0, 0, i, i, 0) for i in range(200)})
+    data, tails = suffix_dedup.front_code(entries)
+    borders = {1: [b"aab", b"abb", b"bb\0", b"cc"], 2: []}
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int8()), pa.array([kernel.squeeze(data)] * 2), pa.array([kernel.squeeze(tails)] * 2)], ["kind", "data", "tails"])
+    got = {}
+    for b in suffix_dedup._exchanged(borders, {1: 3, 2: 9})(iter([batch])):
+        for r in b.to_pylist():
+            got[r["kind"], r["bucket"]] = [x[1:] for x in suffix_dedup.decode(kernel.unsqueeze(r["data"]), kernel.unsqueeze(r["tails"]))]
+    assert got[2, 0] == entries and [x for (k, _), v in sorted(got.items()) if k == 1 for x in v] == entries
+    for (k, at), v in got.items():
+        if k == 1:
+            assert all((at == 0 or borders[1][at - 1] <= x[0][:3]) and (at == len(borders[1]) or x[0][:3] < borders[1][at]) for x in v)
+
+
 def test_loser_tree_merges_with_prefixes():
     rng = random.Random(4)
     for k in (1, 2, 5, 9):
