@@ -334,10 +334,31 @@ def test_jaccard_components(spark, odd, none, block):
     comp = components(sets)
     least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
     want = sorted(((r[0], len(s), least[c] if s else r[0]) for r, s, c in zip(rows, sets, comp)), key=repr)
-    assert rows_of(signature_trees.jaccard_groups(df, max_block=block), "doc_id", "n_shingles", "component_id") == want
+    got = signature_trees.jaccard_groups(df, max_block=block)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == want
+    chosen = Counter(r.grp for r in got.where("chosen and n_shingles > 0").select("grp", "doc_id", "th").distinct().collect())
+    assert set(chosen.values()) == {1} and len(chosen) == len({c for s, c in zip(sets, comp) if s})
     assert signature_trees.jaccard_groups(none).count() == 0
 
 
+def test_large_blocks_of_several_groups(spark):
+    """Groups of near copies that are chained by a passage: pivots, a core, and what is left of a block."""
+    rng = random.Random(21)
+    passage = [f"p{x}" for x in range(40)]
+    rows = []
+    for g in range(5):
+        w = [f"g{g}x{x}" for x in range(30)]
+        for i in range(9 if g else 40):
+            v = [x if rng.random() > 0.02 else f"e{rng.randrange(10**6)}" for x in w] if rng.random() < 0.8 else w[: rng.randrange(24, 30)]
+            rows.append((1000 * g + i, " ".join(v + passage), "en", "a", 0))
+    sets = sets_of(rows)
+    comp = components(sets)
+    want = sorted(((r[0], len(s), rows[c][0]) for r, s, c in zip(rows, sets, comp)), key=repr)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for block in (4, 16):
+        assert rows_of(signature_trees.jaccard_groups(df, max_block=block), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_tree_links_match_all_pairs():
     rng = np.random.default_rng(2)
     base = [np.unique(rng.integers(1, 1 << 62, rng.integers(5, 200)).astype(np.uint64)) for _ in range(6)]
