@@ -30,8 +30,10 @@ from quillon.session import store
 SAMPLE_BYTES = 6_000_000
 #: Values of the draw, so many that the share of a language of any size is above zero.
 DRAWS = 1 << 48
-#: Languages that are scored together, and entries of their largest table; neither bears on results.
+#: Languages that are scored together, and entries of their largest table; neither bears on results but for the rounding of sums.
 BLOCK_LANGUAGES, BLOCK_ENTRIES = 8, 1 << 23
+#: Entries (12 bytes as sent, some 40 as flattened) of the languages of one pass; no bearing on results either.
+GROUP_ENTRIES = 8_000_000
 _MODELS: dict[str, Model] = {}
 
 
@@ -191,7 +193,12 @@ class Model:
         return out
 
 
-def _predict(handle):
+STATE = ["letters", "pred", "best", "mass"]
+
+
+def _pass(handle, first: bool, last: bool):
+    """Adds a group of languages to the state: the best one, its bits, and the sum of 2 ** -(excess bits)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if handle.id not in _MODELS:
             _MODELS.clear()
@@ -199,18 +206,16 @@ def _predict(handle):
         model = _MODELS[handle.id]
         for b in batches:
             bits = model.code_lengths(b.column("text"))
-            letters = b.column("letters").to_numpy(zero_copy_only=False)
-            if model.langs:
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                pred = np.array(model.langs, object)[best]
-            else:
-                score, pred, letters = np.zeros(len(letters)), np.full(len(letters), "und", object), np.zeros(len(letters), bool)
-            n = len(model.langs)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(np.where(letters, pred, "und"), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, bits.min(1) if n else 0.0, 0.0))],
-                ["key", "lang_pred", "score", "code_bits"],
-            )
+            best, pred = bits.min(1), np.array(model.langs, object)[bits.argmin(1)]
+            mass = np.exp2(np.maximum(best[:, None] - bits, -1000)).sum(1)
+            if not first:
+                old, had = b.column("best").to_numpy(), b.column("mass").to_numpy()
+                pred = np.where(best < old, pred, np.array(b.column("pred").to_pylist(), object))  # ties go to the first language
+                least = np.minimum(best, old)
+                mass = mass * np.exp2(np.maximum(least - best, -1000)) + had * np.exp2(np.maximum(least - old, -1000))
+                best = least
+            out = [b.column("key"), b.column("letters"), pa.array(pred, pa.string()), pa.array(best), pa.array(mass)]
+            yield pa.RecordBatch.from_arrays([*out, *([] if last else [b.column("text")])], ["key", *STATE, *([] if last else ["text"])])
 
     return run
 
@@ -220,35 +225,83 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> dict:
+class Trained:
+    """A trained model: its languages in order with their numbers of entries, and the stored counts (lang, code, n)."""
+
+    def __init__(self, sizes: dict[str, int], counts: DataFrame | None):
+        self.sizes, self.counts = sizes, counts
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def groups(self) -> Iterator[dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Counts of a group of languages at a time."""
+        group, held = [], 0
+        for lang in sorted(self.sizes):
+            if group and held + self.sizes[lang] > GROUP_ENTRIES:
+                yield self._read(group)
+                group, held = [], 0
+            group.append(lang)
+            held += self.sizes[lang]
+        if group:
+            yield self._read(group)
+
+    def _read(self, langs: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for i in range(0, len(langs), BLOCK_LANGUAGES):
+            part = self.counts.where(F.col("lang").isin(langs[i : i + BLOCK_LANGUAGES])).toPandas()
+            out |= {k: (g["code"].to_numpy(np.int64).astype(np.uint32), g["n"].to_numpy(np.int64)) for k, g in part.groupby("lang")}
+        return out | {k: (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for k in langs if k not in out}
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Trained:
     """Counts by language, from about sample_bytes bytes of each, of rows that aren't held out.
 
-    Rows with a null key, text or language don't take part.
+    Rows with a null key, text or language don't take part; a language of empty texts alone is
+    a language without entries; repeated rows count each; long texts count whole. An empty
+    table gives a model without languages.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("key is not null and text is not null and lang is not null")
+    one = lambda c, name: F.col(f"`{c}`").alias(name)
+    rows = docs.select(one(key, "key"), one(text, "text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("key is not null and text is not null and lang is not null")
     rows = rows.where(F.crc32(F.col("key").cast("string")) % 3 != 1)
     sizes = store(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))).df
     share = F.floor(F.lit(float(DRAWS)) * F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.lit(1), "size")))
-    drawn = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(DRAWS)) < F.col("share"))
+    drawn = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(DRAWS)) < F.col("share"))  # a row for each language
     counts = store(drawn.select("text", "lang").mapInArrow(_count(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))).df
-    langs, out = sorted(r["lang"] for r in sizes.collect()), {}
-    for i in range(0, len(langs), BLOCK_LANGUAGES):
-        part = counts.where(F.col("lang").isin(langs[i : i + BLOCK_LANGUAGES])).toPandas()
-        out |= {k: (g["code"].to_numpy(np.int64).astype(np.uint32), g["n"].to_numpy(np.int64)) for k, g in part.groupby("lang")}
-    return out
+    entries = {r["lang"]: 0 for r in sizes.collect()} | {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    return Trained(entries, counts)
 
 
-def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Trained, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, lang_pred, score, code_bits.
 
     score is the winner's share of probability when all languages were equally likely
-    before. A null text, or one without a letter, and any text under an empty model, gets
-    `und` with the score 0. Ties go to the first language in order. Only the text is read.
+    before. A null text, or one without a letter, and any text under a model without languages,
+    gets `und` with the score 0. Ties go to the first language in order. Only the text is read,
+    whole, piece by piece if it is very long. Repeated rows each get a row, an empty table none.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    return rows.mapInArrow(_predict(_Handle(handle)), f"key {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, code_bits double").withColumnRenamed("key", key)
+    kind, state, held, groups = docs.schema[key].dataType.simpleString(), "letters boolean, pred string, best double, mass double", None, model.groups()
+    group = next(groups, None)
+    if group is None:
+        rows = rows.select("key", F.lit(False).alias("letters"), F.lit("und").alias("pred"), F.lit(0.0).alias("best"), F.lit(1.0).alias("mass"))
+    first = True
+    while group is not None:
+        handle, group = _Handle(sc.broadcast(group)), next(groups, None)
+        last = group is None
+        rows = rows.mapInArrow(_pass(handle, first, last), f"key {kind}, {state}" + ("" if last else ", text string"))
+        if not last:
+            stored = store(rows)
+            rows = stored.df
+            handle.broadcast.destroy()
+            if held is not None:
+                held.drop()
+            held = stored
+        first = False
+    known = F.col("letters")
+    return rows.select(F.col("key").alias(key), F.when(known, F.col("pred")).otherwise("und").alias("lang_pred"), F.when(known, 1 / F.col("mass")).otherwise(0.0).alias("score"), F.when(known, F.col("best")).otherwise(0.0).alias("code_bits"))
 
 
 class _Handle:

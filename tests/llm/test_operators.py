@@ -445,6 +445,28 @@ def test_every_language_is_trained(spark):
     assert all(r.lang_pred == f"l{r.doc_id % 90:02}" for r in got)
 
 
+def test_languages_in_several_passes(spark, odd, monkeypatch):
+    rng = random.Random(4)
+    speak = {k: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(5)] for k in ("aa", "bb", "cc", "dd")}
+    rows = [(i, " ".join(rng.choice(speak[k]) for _ in range(rng.randrange(9))), k, "s", 0) for i in range(200) for k in [rng.choice(list(speak))]]
+    df = spark.createDataFrame(rows, SCHEMA).unionByName(odd)
+    model = ppm_language.train(df)
+    ask = lambda: sorted(((r.doc_id, r.lang_pred, round(r.score, 6), round(r.code_bits, 3)) for r in ppm_language.identify(df, model).collect()), key=repr)
+    want = ask()
+    monkeypatch.setattr(ppm_language, "GROUP_ENTRIES", 1)
+    assert ask() == want
+
+
+def test_memory_grows_with_entries_not_with_all_contexts():
+    """A hundred languages: what a group of them comes to stays within 60 bytes an entry and the fixed tables of short contexts."""
+    rng = np.random.default_rng(1)
+    counts = {f"l{i:03}": (c, np.ones(len(c), np.int64)) for i in range(100) for c in [np.unique(rng.integers(0, 1 << 32, 20_000).astype(np.uint32))]}
+    model = ppm_language.Model(counts)
+    held = sum(a.nbytes for b in model.blocks for a in (b.one, b.esc2, b.three, b.esc3, b.four, *(x for i in (b.at3, b.at4, b.ctx3) for x in (i.keys, i.table))))
+    entries = sum(len(c) for c, _ in counts.values())
+    assert held < 100 * (2 * 4 << 16) + entries * 60 * 4, held / entries
+
+
 def test_every_context_is_kept():
     rng = random.Random(2)
     text = bytes(rng.choices(range(48, 112), k=200_000))
