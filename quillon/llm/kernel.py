@@ -15,6 +15,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
+_KEPT: dict[str, tuple[str, object]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -119,3 +120,15 @@ def squeeze(data: bytes) -> bytes:
 
 def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def kept(kind: str, name: str, make):
+    """make(), which this process keeps for later tasks that ask by the same name; one of each kind.
+
+    It must live in this module: functions that tasks are made of come with globals of their own.
+    """
+    have = _KEPT.get(kind)
+    if have is None or have[0] != name:
+        _KEPT.pop(kind, None)  # freed before the next one is made
+        have = _KEPT[kind] = (name, make())
+    return have[1]

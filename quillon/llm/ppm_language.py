@@ -34,7 +34,6 @@ DRAWS = 1 << 48
 BLOCK_LANGUAGES, BLOCK_ENTRIES = 8, 1 << 23
 #: Entries (12 bytes as sent, some 40 as flattened) of the languages of one pass; no bearing on results either.
 GROUP_ENTRIES = 8_000_000
-_MODELS: dict[str, Model] = {}
 
 
 def _shifted(b: np.ndarray, offs: np.ndarray, pad: int, k: int) -> np.ndarray:
@@ -200,10 +199,7 @@ def _pass(handle, first: bool, last: bool):
     """Adds a group of languages to the state: the best one, its bits, and the sum of 2 ** -(excess bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if handle.id not in _MODELS:
-            _MODELS.clear()
-            _MODELS[handle.id] = Model(handle.value)
-        model = _MODELS[handle.id]
+        model = K.kept("languages", handle.id, lambda: Model(handle.value))
         for b in batches:
             bits = model.code_lengths(b.column("text"))
             best, pred = bits.min(1), np.array(model.langs, object)[bits.argmin(1)]

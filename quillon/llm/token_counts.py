@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm import kernel as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary's texts are cut before merging: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ENCODERS: dict[str, tuple] = {}
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -54,14 +54,14 @@ def _count(vocabulary, pattern: str, rule: str, fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        if name not in _ENCODERS:
+        def make():
             ranks = vocabulary.value
             size = np.zeros(max(ranks.values()) + 1, np.int64)
             for t, i in ranks.items():
                 size[i] = len(t)
-            _ENCODERS.clear()
-            _ENCODERS[name] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size)
-        encoder, size = _ENCODERS[name]
+            return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+
+        encoder, size = K.kept("tokens", name, make)
         for b in batches:
             total, each, starts, crossing = [], [], [], []
             cols = [b.column(f"f{i}") for i in range(fields)] if fields else [b.column("f0")]
