@@ -95,8 +95,13 @@ def palette_slots(pixels: DataFrame, image: str, entry: str, slots: int) -> Data
 
 
 def jpeg_quality(table) -> Column:
-    """Quality from the mean of a 64-entry quantisation table, against the standard luma table's 57.625."""
-    mean = F.aggregate(_c(table), F.lit(0.0), lambda a, v: a + v) / 64
-    scale = mean / 57.625 * 100
-    q = F.when(scale <= 100, (200 - scale) / 2).otherwise(5000 / scale)
-    return F.greatest(F.lit(1), F.least(F.lit(100), F.round(q))).cast("int")
+    """Quality from the mean of a 64-entry quantisation table, from 1 to 100; null for other sizes.
+
+    A table is (base * scale + 50) / 100, so its mean gives the scale, and the scale the quality.
+    57.625 is the mean of the standard luma table.
+    """
+    t = _c(table)
+    mean = F.aggregate(t, F.lit(0.0), lambda a, v: a + v) / 64
+    scale = F.greatest((100 * mean - 50) / 57.625, F.lit(1e-6))
+    q = F.when(scale > 100, 5000 / scale).otherwise((200 - scale) / 2)
+    return F.when(F.size(t) == 64, F.greatest(F.lit(1.0), F.least(F.lit(100.0), q)))

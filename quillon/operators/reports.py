@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillon.operators.prefix import quantiles
+
 
 def gate_rates(fates: DataFrame) -> DataFrame:
+    """Shares of the pool (at least 1) that each layer removed, that all of them did, and that leaked."""
     pool = F.greatest(F.lit(1), F.count_if(F.col("fate") != "reference"))
     rate = lambda *names: F.round(F.count_if(F.col("fate").isin(*names)) / pool, 5)
-    return fates.agg(rate("exact").alias("exact_rate"), rate("norm").alias("norm_rate"), rate("bench", "held-out").alias("leak_rate"))
+    return fates.agg(rate("exact").alias("exact_rate"), rate("norm").alias("norm_rate"), rate("phash").alias("phash_rate"), rate("exact", "norm", "phash").alias("dedup_rate"), rate("bench", "held-out").alias("leak_rate"))
 
 
 def throughput(pool: DataFrame, hash_s: float, gate_s: float, target: int = 5_000_000) -> DataFrame:
@@ -18,8 +21,10 @@ def throughput(pool: DataFrame, hash_s: float, gate_s: float, target: int = 5_00
 
 
 def distance_blocks(rows: DataFrame, kind: str = "kind", d: str = "d") -> DataFrame:
-    at = lambda p: F.floor(F.percentile(d, F.lit(p))).cast("int")
-    return rows.groupBy(kind).agg(F.min(d).alias("min_d"), F.round(F.avg(d), 2).alias("mean_d"), F.max(d).alias("max_d"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    """Least, mean, greatest and percentiles (cut to whole numbers) of the distances of each kind."""
+    q = quantiles(rows, d, {f"p{p}": p / 100 for p in (50, 90, 95, 99)}, [kind])
+    sums = rows.groupBy(F.col(kind).alias("_k")).agg(F.min(d).alias("min_d"), F.round(F.avg(d), 2).alias("mean_d"), F.max(d).alias("max_d"))
+    return sums.join(q, F.col("_k").eqNullSafe(F.col(kind))).select(kind, "min_d", "mean_d", "max_d", *[F.floor(c).cast("int").alias(c) for c in ("p50", "p90", "p95", "p99")])
 
 
 def flag_counts(rows: DataFrame, reject: str = "reject", warn: str = "warn") -> DataFrame:
@@ -46,8 +51,12 @@ def worst(rows: DataFrame, metric: str, ties: list[str], k: int) -> DataFrame:
 
 
 def calibration(rows: DataFrame, family: str = "family", feature: str = "feature", v: str = "v") -> DataFrame:
-    at = lambda p: F.round(F.percentile(v, F.lit(p)), 4)
-    return rows.where(F.col(v).isNotNull()).groupBy(family, feature).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("sd"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """n, mean, deviation and exact tenths of each family and feature; null values don't count."""
+    rows = rows.where(F.col(v).isNotNull())
+    q = quantiles(rows, v, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, [family, feature])
+    sums = rows.groupBy(F.col(family).alias("_f"), F.col(feature).alias("_g")).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("sd"))
+    both = sums.join(q, F.col("_f").eqNullSafe(F.col(family)) & F.col("_g").eqNullSafe(F.col(feature)))
+    return both.select(family, feature, "n", "mean", "sd", *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
 
 
 def eval_means(rows: DataFrame, variant: str, metric: str, error: str = "error") -> DataFrame:
@@ -78,6 +87,24 @@ def boundary_parts(cells: DataFrame, width: int, image: str = "vec_id") -> DataF
     return e.groupBy(image).agg(F.sum(F.col("tb") * F.col("pb")).alias("hit"), F.sum("tb").alias("true_edges"), F.sum("pb").alias("found_edges"))
 
 
+def boundary_f1(parts: DataFrame, group: str) -> DataFrame:
+    """(group, precision, recall, f1) from boundary_parts' sums; null without edges on either side."""
+    sums = parts.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("hit", "true_edges", "found_edges")])
+    both = (F.col("true_edges") > 0) & (F.col("found_edges") > 0)
+    p, r = F.when(both, F.col("hit") / F.col("found_edges")), F.when(both, F.col("hit") / F.col("true_edges"))
+    return sums.select(group, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).when(both, 0.0).alias("f1"))
+
+
+def pixel_accuracy(cells: DataFrame, group: str, truth: str = "t", found: str = "p") -> DataFrame:
+    """(group, accuracy): share of cells whose labels agree."""
+    return cells.groupBy(group).agg(F.avg((F.col(truth) == F.col(found)).cast("double")).alias("accuracy"))
+
+
+def epoch_means(rows: DataFrame, epoch: str = "epoch", loss: str = "loss", items: str = "items") -> DataFrame:
+    """(epoch, mean): losses of batches weighted by their items; without items 0."""
+    return rows.groupBy(epoch).agg((F.coalesce(F.sum(F.col(loss) * F.col(items)), F.lit(0.0)) / F.greatest(F.sum(items), F.lit(1))).alias("mean"))
+
+
 def leaderboard(rows: DataFrame, run: str = "user_id", epoch: str = "epoch", value: str = "value") -> DataFrame:
     """The least value of each run and the first epoch that had it."""
     best = F.min(F.struct(value, epoch))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quillon.operators.prefix import numbered
+from quillon.session import store
 
 
 def draw_key(key: str, seed: int) -> Column:
@@ -28,16 +31,17 @@ def sample(pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def shard_slice(drawn: DataFrame, i: int, k: int, order: str = "draw") -> DataFrame:
-    """Slice i of k of an already drawn sample (rows are numbered in one task: samples only)."""
-    rows = drawn.withColumn("rn", F.row_number().over(Window.orderBy(order)) - 1)
+    """Slice i of k of an already drawn sample, rn being a row's place in the order, from 0."""
+    rows = numbered(drawn, [order], "rn").withColumn("rn", F.col("rn") - 1)
     chunk = -(-drawn.count() // k)
     return rows.where((F.col("rn") >= i * chunk) & (F.col("rn") < (i + 1) * chunk))
 
 
 def group_split(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """Adds is_train: whole groups go to one side, the share of them with the least draws."""
-    groups = rows.select(group).distinct().withColumn("draw", draw_key(group, seed))
-    ranked = groups.withColumn("at", F.percent_rank().over(Window.orderBy("draw"))).select(group, (F.col("at") < share).alias("is_train"))
+    groups = store(rows.select(group).distinct().withColumn("draw", draw_key(group, seed))).df
+    n = groups.count()
+    ranked = numbered(groups, ["draw", group], "at").select(group, ((F.col("at") - 1) / F.lit(max(1, n - 1)) < share).alias("is_train"))
     return rows.join(ranked, group)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quillon.operators.prefix import running
+from quillon.session import store
 
 
 def standardize(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -30,18 +33,17 @@ def fit_logistic(rows: DataFrame, cols: list[str], label: str = "y", l2: float =
 
 
 def cumulative(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """(p, tp, fp, pos, neg): counts of rows at or above each distinct score."""
+    """(p, a, b, tp, fp, pos, neg): of each distinct score the rows with it and those at or above it, by label."""
     by = rows.groupBy(F.col(score).alias("p")).agg(F.sum(label).alias("a"), F.sum(1 - F.col(label)).alias("b"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return by.select("p", F.sum("a").over(w).alias("tp"), F.sum("b").over(w).alias("fp"), F.sum("a").over(every).alias("pos"), F.sum("b").over(every).alias("neg"))
+    upto = running(by, [F.desc("p")], ["a", "b"])
+    every = store(rows.agg(F.coalesce(F.sum(label), F.lit(0)).alias("pos"), F.coalesce(F.sum(1 - F.col(label)), F.lit(0)).alias("neg"))).df  # one row
+    return upto.withColumnsRenamed({"a_upto": "tp", "b_upto": "fp"}).crossJoin(F.broadcast(every))
 
 
 def roc_auc(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """One row, auc: trapezoids over distinct scores, so ties count half; null with one class."""
-    w = Window.orderBy(F.desc("p"))
-    c = cumulative(rows, score, label).select("pos", "neg", "tp", "fp", F.coalesce(F.lag("tp").over(w), F.lit(0)).alias("tp0"), F.coalesce(F.lag("fp").over(w), F.lit(0)).alias("fp0"))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2)
+    c = cumulative(rows, score, label)
+    area = F.sum(F.col("b") * (2 * F.col("tp") - F.col("a")) / 2)
     return c.agg(F.when(F.max("pos") * F.max("neg") > 0, area / (F.max("pos") * F.max("neg"))).alias("auc"))
 
 

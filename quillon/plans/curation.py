@@ -6,6 +6,8 @@ doubles are rounded to six places in both engines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions import columns as C
@@ -13,32 +15,47 @@ from quillon.operators import dedup, labelmaps, reports, sampling, scoring, simi
 from quillon.plans.registry import query, table
 
 SPLIT = "CASE WHEN doc_id % 20 = 0 THEN 'val' WHEN doc_id % 100 = 1 THEN 'test' ELSE 'train' END"
-HEAD = "array_to_string((string_split(text, ' '))[1:20], ' ')"
-RECORDS = f"""records AS (
-  SELECT doc_id AS ord, {SPLIT} AS split, sha256(text) AS exact, sha256({HEAD}) AS norm FROM documents
-  UNION ALL SELECT 1000000000 + item_id, 'bench', sha256(text), sha256({HEAD}) FROM benchmark)"""
-
-
-
-
+#: Normal form of a text: words of ASCII letters, digits and other characters, A-Z in lower case.
+NORM = r"trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 
-def records(spark, d) -> DataFrame:
-    """ord, split, exact and norm (hash of the first twenty words) of documents and benchmark items."""
-    head = lambda: F.sha2(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 20)), 256)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.expr(SPLIT).alias("split"), F.sha2("text", 256).alias("exact"), head().alias("norm"))
-    bench = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("ord"), F.lit("bench").alias("split"), F.sha2("text", 256).alias("exact"), head().alias("norm"))
-    return docs.union(bench)
+BITS = """bits AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > list_sort(embedding[2:])[32] THEN 1 ELSE 0 END) AS b FROM embeddings)"""
+_WORD = "CAST(list_sum(list_transform({0}, lambda x, i: CAST(x AS BIGINT) << (32 - i))) AS BIGINT)"
+#: Fingerprints of the blocks, and of a variant of each that differs in vec_id % 9 bits.
+PRINTS = (
+    BITS
+    + f""", twins AS (SELECT id, b FROM bits UNION ALL SELECT 1000000 + id, list_transform(b, lambda x, i: CASE WHEN (i * 7 + id * 13) % 64 < id % 9 THEN 1 - x ELSE x END) FROM bits),
+prints AS (SELECT id, b, {_WORD.format("b[1:32]")} AS hi, {_WORD.format("b[33:64]")} AS lo FROM twins)"""
+)
+GAP = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
+PAIRS = PRINTS + f""", pairs AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, CAST({GAP} AS INT) AS d FROM prints a JOIN prints b ON a.id < b.id) WHERE d <= {{0}})"""
+PRINT_SPLIT = "CASE WHEN (id % 1000000 + 7 * (id // 1000000)) % 20 = 0 THEN 'val' WHEN (id % 1000000 + 7 * (id // 1000000)) % 50 = 1 THEN 'bench' ELSE 'train' END"
+RECORDS = f"""{PRINTS}, records AS (
+  SELECT doc_id AS ord, {SPLIT} AS split, sha256(text) AS exact, sha256({NORM}) AS norm, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS lo FROM documents
+  UNION ALL SELECT 1000000000 + item_id, 'bench', sha256(text), sha256({NORM}), NULL, NULL FROM benchmark
+  UNION ALL SELECT 2000000000 + id, {PRINT_SPLIT}, sha256('print:' || array_to_string(b, '')), sha256('print:' || array_to_string(b[1:62], '')),
+    CASE WHEN id % 17 <> 5 THEN hi END, CASE WHEN id % 17 <> 5 THEN lo END FROM prints)"""
+RADIUS = 4
 
 
 def prints(spark, d) -> DataFrame:
-    """id and 64-bit fingerprint of the 8x8 coefficient blocks in embeddings."""
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.pack_bits(similarity.coefficient_bits(F.col("embedding"))).alias("h"))
+    """id, 64-bit fingerprint and its bits as text: of the 8x8 coefficient blocks in embeddings, and of
+    a variant of each (id + 1000000) that differs in vec_id % 9 bits."""
+    h = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.pack_bits(similarity.coefficient_bits(F.col("embedding"))).alias("h"))
+    flips = F.expr("aggregate(sequence(1, 64), 0L, (a, i) -> shiftleft(a, 1) | if((i * 7 + id * 13) % 64 < id % 9, 1, 0))")
+    both = h.union(h.select((F.col("id") + 1000000).alias("id"), F.col("h").bitwiseXOR(flips)))
+    return both.withColumn("bits", F.lpad(F.bin("h"), 64, "0"))
 
 
-BITS = """bits AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > list_sort(embedding[2:])[32] THEN 1 ELSE 0 END) AS b FROM embeddings)"""
-PAIRS = BITS + """, pairs AS (SELECT * FROM (
-  SELECT a.id AS a, b.id AS b, 64 - CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS INT) AS d
-  FROM bits a JOIN bits b ON a.id < b.id) WHERE d <= 16)"""
+def records(spark, d) -> DataFrame:
+    """ord, split, exact, norm (hash of the whole text's normal form) and phash: documents and
+    benchmark items, which have no fingerprint, and the fingerprints, one in 17 of them lost."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    norm = F.sha2(F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), 256).alias("norm")
+    none = F.lit(None).cast("long").alias("phash")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.expr(SPLIT).alias("split"), F.sha2("text", 256).alias("exact"), norm, none)
+    bench = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("ord"), F.lit("bench").alias("split"), F.sha2("text", 256).alias("exact"), norm, none)
+    drawn = prints(spark, d).select((F.col("id") + 2000000000).alias("ord"), F.expr(PRINT_SPLIT.replace("//", "div")).alias("split"), F.sha2(F.concat(F.lit("print:"), "bits"), 256).alias("exact"), F.sha2(F.concat(F.lit("print:"), F.substring("bits", 1, 62)), 256).alias("norm"), F.when(F.col("id") % 17 != 5, F.col("h")).alias("phash"))
+    return docs.union(bench).union(drawn)
 
 
 # --- dedup and leakage
@@ -59,22 +76,30 @@ def u1_group_sizes(spark, d):
     return dedup.group_sizes(table(spark, d, "documents").select(F.sha2("text", 256).alias("k")), ["k"])
 
 
-GATE = f"""WITH {RECORDS},
-pool AS (SELECT *, (exact IN (SELECT exact FROM records WHERE split = 'bench') OR norm IN (SELECT norm FROM records WHERE split = 'bench')) AS b,
-  (exact IN (SELECT exact FROM records WHERE split IN ('val', 'test')) OR norm IN (SELECT norm FROM records WHERE split IN ('val', 'test'))) AS h FROM records WHERE split = 'train'),
+_NEAR = f"EXISTS (SELECT 1 FROM records b WHERE b.split IN ({{0}}) AND {GAP} <= {RADIUS})"
+_LEAK = "(exact IN (SELECT exact FROM records WHERE split IN ({0})) OR norm IN (SELECT norm FROM records WHERE split IN ({0})) OR " + _NEAR + ")"
+#: (ord, cluster) of the rows of a table that have a fingerprint: single linkage, the least ord.
+_CLUSTERS = f"""edges AS (SELECT a.ord AS a, b.ord AS b FROM {{0}} a JOIN {{0}} b ON a.ord <> b.ord AND {GAP} <= {RADIUS}),
+reach AS (SELECT ord AS a, ord AS b FROM {{0}} WHERE hi IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+clusters AS (SELECT a AS ord, min(b) AS cluster FROM reach GROUP BY a)"""
+GATE = f"""WITH RECURSIVE {RECORDS},
+pool AS (SELECT *, {_LEAK.format("'bench'")} AS b, {_LEAK.format("'val', 'test'")} AS h FROM records a WHERE split = 'train'),
 free AS (SELECT * FROM pool WHERE NOT b AND NOT h),
 one AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY exact ORDER BY ord) = 1),
 two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY norm ORDER BY ord) = 1),
+{_CLUSTERS.format("two")},
+three AS (SELECT ord FROM two WHERE ord NOT IN (SELECT ord FROM clusters WHERE ord > cluster)),
 fates AS (SELECT ord, 'reference' AS fate FROM records WHERE split <> 'train'
   UNION ALL SELECT ord, CASE WHEN b THEN 'bench' ELSE 'held-out' END FROM pool WHERE b OR h
   UNION ALL SELECT ord, 'exact' FROM free WHERE ord NOT IN (SELECT ord FROM one)
   UNION ALL SELECT ord, 'norm' FROM one WHERE ord NOT IN (SELECT ord FROM two)
-  UNION ALL SELECT ord, 'kept' FROM two)"""
+  UNION ALL SELECT ord, 'phash' FROM two WHERE ord NOT IN (SELECT ord FROM three)
+  UNION ALL SELECT ord, 'kept' FROM three)"""
 
 
 @query("u8_run_gate", GATE + " SELECT ord, fate FROM fates")
 def u8_run_gate(spark, d):
-    return similarity.layered_gate(records(spark, d), ["exact", "norm"]).select("ord", "fate")
+    return similarity.layered_gate(records(spark, d), ["exact", "norm"], fingerprint="phash", radius=RADIUS).select("ord", "fate")
 
 
 @query("u2_layer_report", GATE + " SELECT fate, count(*) AS n FROM fates GROUP BY fate")
@@ -82,30 +107,34 @@ def u2_layer_report(spark, d):
     return u8_run_gate(spark, d).groupBy("fate").agg(F.count("*").alias("n"))
 
 
-@query(
-    "u10_report_rates",
-    GATE
-    + """ SELECT round(count(*) FILTER (fate = 'exact') / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS exact_rate,
-  round(count(*) FILTER (fate = 'norm') / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS norm_rate,
-  round(count(*) FILTER (fate IN ('bench', 'held-out')) / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS leak_rate FROM fates""",
-)
+_RATE = "round(count(*) FILTER (fate IN ({0})) / greatest(1, count(*) FILTER (fate <> 'reference')), 5) AS {1}"
+
+
+@query("u10_report_rates", GATE + " SELECT " + ", ".join(_RATE.format(x, n) for x, n in (("'exact'", "exact_rate"), ("'norm'", "norm_rate"), ("'phash'", "phash_rate"), ("'exact', 'norm', 'phash'", "dedup_rate"), ("'bench', 'held-out'", "leak_rate"))) + " FROM fates")
 def u10_report_rates(spark, d):
     return reports.gate_rates(u8_run_gate(spark, d))
 
 
-@query("u6_u7_leakage_match", f"WITH {RECORDS} SELECT r.ord FROM records r WHERE split = 'train' AND (exact IN (SELECT exact FROM records WHERE split = 'val') OR norm IN (SELECT norm FROM records WHERE split = 'val'))")
+@query("u6_u7_leakage_match", f"WITH {RECORDS} SELECT ord FROM records a WHERE split = 'train' AND {_LEAK.format(chr(39) + 'val' + chr(39))}")
 def u6_u7_leakage_match(spark, d):
     r = records(spark, d)
-    return similarity.leaked(r.where("split = 'train'"), r.where("split = 'val'"), ["exact", "norm"])
+    return similarity.leaked(r.where("split = 'train'"), r.where("split = 'val'"), ["exact", "norm"], fingerprint="phash", radius=RADIUS)
 
 
 @query(
     "u9_split_census",
-    f"""WITH {RECORDS}, s AS (SELECT norm, list_sort(list_distinct(list(split))) AS s FROM records GROUP BY norm)
+    f"""WITH RECURSIVE {RECORDS}, {_CLUSTERS.format("records")}, s AS (SELECT cluster, list_sort(list_distinct(list(split))) AS s FROM clusters JOIN records USING (ord) GROUP BY cluster)
     SELECT a, b, count(*) AS n FROM (SELECT unnest(s) AS a, s FROM s) t, unnest(t.s) AS u(b) WHERE a < b GROUP BY a, b""",
 )
 def u9_split_census(spark, d):
-    return similarity.split_census(records(spark, d), "norm")
+    r = records(spark, d)
+    clusters = similarity.hamming_clusters(r, RADIUS, "ord", "phash").withColumnRenamed("id", "ord")
+    return similarity.split_census(clusters.join(r.select("ord", "split"), "ord"))
+
+
+@query("u9_cluster_sizes", f"WITH RECURSIVE {RECORDS}, {_CLUSTERS.format('records')} SELECT n AS cluster_size, count(*) AS n_clusters FROM (SELECT count(*) AS n FROM clusters GROUP BY cluster) GROUP BY n")
+def u9_cluster_sizes(spark, d):
+    return similarity.cluster_sizes(similarity.hamming_clusters(records(spark, d), RADIUS, "ord", "phash"))
 
 
 @query("f6_fingerprint_bits", f"WITH {BITS} SELECT id, array_to_string(b, '') AS bits FROM bits")
@@ -113,19 +142,59 @@ def f6_fingerprint_bits(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(similarity.coefficient_bits(F.col("embedding")).cast("array<string>"), "").alias("bits"))
 
 
-@query("u3_hamming_band_join", f"WITH {PAIRS} SELECT a, b, d FROM pairs")
+GRAY = "gray AS (SELECT vec_id AS id, i - 1 AS pos, least(greatest(embedding[i] * 128e0 + 128, 0e0), 255e0) AS v FROM embeddings, range(1, 65) t(i))"
+#: Eight rows of the cosine transform, and from pixels (k, id, y, x, v) of 8x8 images their bits.
+_DCT = f"""basis AS (SELECT u, x, sqrt(CASE WHEN u = 0 THEN 1e0 ELSE 2e0 END / 8) * cos(pi() * u * (2 * x + 1) / 16) AS m FROM range(0, 8) a(u), range(0, 8) b(x)),
+half AS (SELECT k, id, u, p.x, sum(m * v) AS v FROM px p JOIN basis ON basis.x = p.y GROUP BY ALL),
+coef AS (SELECT k, id, h.u * 8 + basis.u AS pos, round(sum(m * v), 6) AS v FROM half h JOIN basis ON basis.x = h.x GROUP BY ALL),
+blocks AS (SELECT k, id, list(v ORDER BY pos) AS c FROM coef GROUP BY k, id),
+hashes AS (SELECT k, id, b, {_WORD.format("b[1:32]")} AS hi, {_WORD.format("b[33:64]")} AS lo FROM (SELECT k, id, list_transform(c, lambda x: CASE WHEN x > list_sort(c[2:])[32] THEN 1 ELSE 0 END) AS b FROM blocks))"""
+
+
+def grays(spark, d) -> DataFrame:
+    """id and 8x8 grey images (0 to 255) from embeddings."""
+    level = F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double") * 128 + 128, F.lit(0.0)), F.lit(255.0)))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), level.alias("gray"))
+
+
+def hashed(images: DataFrame) -> DataFrame:
+    """images with h, the fingerprint of the cosine transform (coefficients to six places)."""
+    blocks = similarity.coefficients(images).withColumn("block", F.transform("block", lambda x: F.round(x, 6)))
+    return blocks.withColumn("h", similarity.pack_bits(similarity.coefficient_bits(F.col("block")))).drop("block")
+
+
+@query("f6_cosine_fingerprint", f"WITH {GRAY}, px AS (SELECT 0 AS k, id, pos // 8 AS y, pos % 8 AS x, v FROM gray), {_DCT} SELECT id, array_to_string(b, '') AS bits FROM hashes")
+def f6_cosine_fingerprint(spark, d):
+    return hashed(grays(spark, d)).select("id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
+
+
+@query(
+    "u11_hash_driver",
+    f"""WITH {GRAY}, flat AS (SELECT id, pos, CASE WHEN id % 5 = 0 THEN 250 ELSE v END AS v FROM gray),
+    px AS (SELECT 0 AS k, id, pos // 8 AS y, pos % 8 AS x, v FROM flat), {_DCT},
+    g AS (SELECT id, stddev_pop(v) < 8 OR avg(CASE WHEN v < 250 THEN 1e0 ELSE 0e0 END) < 0.02 OR avg(CASE WHEN v < 250 THEN 1e0 ELSE 0e0 END) > 0.98 AS degenerate FROM flat GROUP BY id)
+    SELECT g.id, g.id % 7 <> 3 AS render_ok, g.id % 7 <> 3 AND degenerate AS degenerate, CASE WHEN g.id % 7 <> 3 AND NOT degenerate THEN list_sum(b) END AS ones FROM g JOIN hashes USING (id)""",
+)
+def u11_hash_driver(spark, d):
+    """Every fifth image is flat, every seventh couldn't be rendered; ones counts the bits of phash."""
+    flat = grays(spark, d).withColumn("gray", F.when(F.col("id") % 5 == 0, F.transform("gray", lambda x: F.lit(250.0))).otherwise(F.col("gray")))
+    rows = similarity.fingerprints(flat.withColumn("gray", F.when(F.col("id") % 7 != 3, F.col("gray"))))
+    return rows.select("id", "render_ok", "degenerate", F.bit_count("phash").cast("long").alias("ones"))
+
+
+@query("u3_hamming_band_join", f"WITH {PAIRS.format(6)} SELECT a, b, d FROM pairs")
 def u3_hamming_band_join(spark, d):
-    return similarity.band_pairs(prints(spark, d), 16)
+    return similarity.band_pairs(prints(spark, d), 6)
 
 
 @query(
     "u4_hamming_clusters",
-    f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-    reach AS (SELECT id AS a, id AS b FROM bits UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+    f"""WITH RECURSIVE {PAIRS.format(6)}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT id AS a, id AS b FROM prints UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
     SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a""",
 )
 def u4_hamming_clusters(spark, d):
-    return similarity.hamming_clusters(prints(spark, d), 16)
+    return similarity.hamming_clusters(prints(spark, d), 6)
 
 
 @query("u12_throughput", "SELECT count(*) AS pool, round(count(*) / (129.0 + 192.0), 2) AS per_second, round(5000000 / (count(*) / (129.0 + 192.0)) / 3600, 2) AS hours_for_5m FROM documents")
@@ -136,23 +205,42 @@ def u12_throughput(spark, d):
 # --- threshold calibration
 
 
+#: Originals (k = 0), recolourings by 6, 12 and 20, and a resampling by half a pixel.
+VARIANTS = f"""{GRAY}, px AS (SELECT k, g.id, g.pos // 8 AS y, g.pos % 8 AS x, CASE WHEN k < 4 THEN least(255e0, g.v + [0, 6, 12, 20][k + 1]) ELSE (g.v + n.v) / 2 END AS v
+  FROM gray g JOIN gray n ON n.id = g.id AND n.pos = g.pos + CASE WHEN g.pos % 8 < 7 THEN 1 ELSE 0 END, range(0, 5) t(k)), {_DCT},
+near AS (SELECT CASE WHEN b.k < 4 THEN 'recolour' ELSE 'resample' END AS kind, {GAP} AS d FROM hashes a JOIN hashes b ON a.k = 0 AND b.k > 0 AND a.id = b.id),
+size AS (SELECT (SELECT count(*) FROM hashes WHERE k = 0) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM near GROUP BY kind)) AS m),
+drawn AS (SELECT r, hi, lo, row_number() OVER (PARTITION BY r ORDER BY sha256(CAST(7 + r AS VARCHAR) || ':' || CAST(id AS VARCHAR))) AS pos FROM hashes, range(0, 4) t(r) WHERE k = 0),
+far AS (SELECT 'distinct' AS kind, {GAP} AS d FROM drawn a JOIN drawn b ON a.r = b.r AND b.pos = a.pos + 1, size WHERE a.pos <= m - a.r * (n - 1)),
+dist AS (SELECT * FROM near UNION ALL SELECT * FROM far)"""
+
+
+def calibration_rows(spark, d) -> DataFrame:
+    """(kind, d) of recolourings by 6, 12 and 20, resamplings by half a pixel, and random pairs."""
+    images = grays(spark, d)
+    lighter = lambda s: F.transform("gray", lambda x: F.least(F.lit(255.0), x + s))
+    kinds = [("recolour", lighter(s)) for s in (6, 12, 20)]
+    kinds.append(("resample", F.transform("gray", lambda x, i: (x + F.get("gray", i + F.when(i % 8 < 7, 1).otherwise(0))) / 2)))
+    made = reduce(DataFrame.union, [images.select("id", F.lit(k).alias("kind"), v.alias("gray")) for k, v in kinds])
+    return similarity.calibration_distances(hashed(images).select("id", "h"), hashed(made).select("id", "kind", "h"))
+
+
+@query("c1_calibration_distances", f"WITH {VARIANTS} SELECT kind, CAST(d AS INT) AS d, count(*) AS n FROM dist GROUP BY ALL")
+def c1_calibration_distances(spark, d):
+    return calibration_rows(spark, d).groupBy("kind", "d").agg(F.count("*").alias("n"))
+
+
 @query(
-    "c1_c2_distance_blocks",
-    f"""WITH {BITS}, p AS (SELECT CASE WHEN a.id % 2 = 0 THEN 'near' ELSE 'distinct' END AS kind,
-      64 - list_sum(list_transform(list_zip(a.b, b.b), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS d FROM bits a JOIN bits b ON b.id = a.id + 1)
-    SELECT kind, CAST(min(d) AS INT) AS min_d, round(avg(d), 2) AS mean_d, CAST(max(d) AS INT) AS max_d, CAST(floor(quantile_cont(d, 0.5)) AS INT) AS p50, CAST(floor(quantile_cont(d, 0.9)) AS INT) AS p90,
-      CAST(floor(quantile_cont(d, 0.99)) AS INT) AS p99 FROM p GROUP BY kind""",
+    "c2_distance_blocks",
+    f"""WITH {VARIANTS} SELECT kind, CAST(min(d) AS INT) AS min_d, round(avg(d), 2) AS mean_d, CAST(max(d) AS INT) AS max_d, {", ".join(f"CAST(floor(quantile_cont(d, {p / 100})) AS INT) AS p{p}" for p in (50, 90, 95, 99))} FROM dist GROUP BY kind""",
 )
-def c1_c2_distance_blocks(spark, d):
-    h = prints(spark, d)
-    pairs = h.toDF("id", "a").join(h.select((F.col("id") - 1).alias("id"), F.col("h").alias("b")), "id")
-    rows = pairs.select(F.when(F.col("id") % 2 == 0, "near").otherwise("distinct").alias("kind"), similarity.hamming(F.col("a"), F.col("b")).alias("d"))
-    return reports.distance_blocks(rows)
+def c2_distance_blocks(spark, d):
+    return reports.distance_blocks(calibration_rows(spark, d))
 
 
-@query("c3_suggested_threshold", "SELECT CAST(round_even((quantile_cont(l_quantity, 0.99) + quantile_cont(l_discount, 0.01)) / 2, 0) AS INT) AS threshold FROM lineitem")
+@query("c3_suggested_threshold", f"WITH {VARIANTS} SELECT CAST(round_even((quantile_cont(d, 0.99) FILTER (kind = 'recolour') + quantile_cont(d, 0.01) FILTER (kind = 'distinct')) / 2, 0) AS INT) AS threshold FROM dist")
 def c3_suggested_threshold(spark, d):
-    return table(spark, d, "lineitem").agg(F.bround((F.percentile("l_quantity", F.lit(0.99)) + F.percentile("l_discount", F.lit(0.01))) / 2).cast("int").alias("threshold"))
+    return similarity.suggested_threshold(calibration_rows(spark, d), "recolour")
 
 
 # --- detector: features are text measures of labelled documents

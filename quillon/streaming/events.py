@@ -7,24 +7,53 @@ foreachBatch, with checkpoints in the folder given.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators.prefix import running
+
 EVENT = "_run string, _seq long, type string, step long, epoch int, loss double, elapsed_s double"
 #: Events kept for replay: the newest of each class of a run.
 STEP_CAP, OTHER_CAP, SAMPLE_CAP = 50_000, 5_000, 1
 
 
 def retained(events: DataFrame, run: str, seq: str, kind: str, caps: dict[str, int], other: int) -> DataFrame:
-    """The newest events of each run and kind, as many as its cap (other for kinds not named)."""
-    cap = F.lit(other)
-    for k, n in caps.items():
-        cap = F.when(F.col(kind) == k, n).otherwise(cap)
+    """The newest events of each run and kind, as many as its cap (other for kinds not named).
+
+    Each class is ranked under a cap of its own, a literal, so every task drops what is beyond it
+    before the shuffle and a run with very many events brings a few rows from each.
+    """
     w = Window.partitionBy(run, kind).orderBy(F.desc(seq))
-    return events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    known = F.col(kind).isin(*caps) if caps else F.lit(False)
+    classes = [(F.col(kind) == k, n) for k, n in caps.items()] + [(~F.coalesce(known, F.lit(False)), other)]
+    parts = [events.where(c).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n) for c, n in classes]
+    return reduce(DataFrame.union, parts).drop("_rn")
+
+
+def stamped(events: DataFrame, stream: str, seq: str, starts: Column) -> DataFrame:
+    """Adds run, `<stream>#<n>` with n the number of starts up to the event; those before the first start have n = 0."""
+    rows = running(events.withColumn("_start", F.coalesce(starts, F.lit(False)).cast("long")), [seq], ["_start"], [stream])
+    return rows.withColumn("run", F.concat_ws("#", F.col(stream).cast("string"), F.col("_start_upto").cast("string"))).drop("_start").withColumnRenamed("_start_upto", "run_number")
+
+
+def cleared(events: DataFrame, stream: str, number: str = "run_number") -> DataFrame:
+    """What replay holds after a start has cleared the history: the events of each stream's last run."""
+    last = events.groupBy(F.col(stream).alias("_s")).agg(F.max(number).alias("_n"))
+    return events.join(last, F.col(stream).eqNullSafe(F.col("_s")) & (F.col(number) == F.col("_n"))).drop("_s", "_n")
+
+
+JOB_END = "job exited rc="
+
+
+def tailed(lines: DataFrame, log: str, n: str, line: str, seen: int = 0, end: str = JOB_END) -> DataFrame:
+    """Lines of each log beyond the first `seen` numbers, up to its first line that says that the job ended."""
+    stop = lines.where(F.col(line).contains(end)).groupBy(F.col(log).alias("_l")).agg(F.min(n).alias("_n"))
+    out = lines.join(stop, F.col(log).eqNullSafe(F.col("_l")), "left")
+    return out.where((F.col(n) > seen) & (F.col("_n").isNull() | (F.col(n) <= F.col("_n")))).drop("_l", "_n")
 
 
 def throttled(events: DataFrame, run: str, ts: str, seq: str, every: str) -> DataFrame:
