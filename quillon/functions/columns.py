@@ -12,6 +12,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def exact_hash(text) -> Column:
+    return F.sha2(_c(text), 256)
+
+
+def flat_pixels(grey) -> Column:
+    """Aggregate over a pixel table: too flat to be told apart (deviation below 8, or ink on under 2 % or over 98 %)."""
+    ink = F.avg(F.when(_c(grey) < 250, 1.0).otherwise(0.0))
+    return (F.stddev_pop(_c(grey)) < 8) | (ink < 0.02) | (ink > 0.98)
+
+
 def luma(r, g, b) -> Column:
     return 0.299 * _c(r) + 0.587 * _c(g) + 0.114 * _c(b)
 

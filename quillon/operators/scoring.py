@@ -29,7 +29,7 @@ def fit_logistic(rows: DataFrame, cols: list[str], label: str = "y", l2: float =
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
-    return LogisticRegression(labelCol=label, regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)
+    return LogisticRegression(labelCol=label, regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-12).fit(data)
 
 
 def cumulative(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:

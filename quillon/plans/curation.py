@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions import columns as C
-from quillon.operators import dedup, labelmaps, reports, sampling, scoring, similarity
+from quillon.operators import dedup, joins, labelmaps, reports, sampling, scoring, similarity
 from quillon.plans.registry import query, table
+from quillon.sources import scans
 
 SPLIT = "CASE WHEN doc_id % 20 = 0 THEN 'val' WHEN doc_id % 100 = 1 THEN 'test' ELSE 'train' END"
 #: Normal form of a text: words of ASCII letters, digits and other characters, A-Z in lower case.
@@ -307,11 +308,22 @@ def a10_reject_rule(spark, d):
     return scored(spark, d).groupBy((F.col("p") >= 0.39555).alias("traced")).agg(F.count("*").alias("n"))
 
 
-@query("a4_fit_logistic")
+_P = "1 / (1 + exp(-(w1 * x1 + w3 * x3 + b)))"
+#: Newton's method on the mean log loss with 0.001 / 2 of the squared weights; the 3x3 system by determinants.
+FITTED = f"""WITH RECURSIVE {LABELLED}, s AS (SELECT avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f3) AS m3, stddev_pop(f3) AS s3 FROM rows),
+z AS (SELECT y, (f1 - m1) / CASE WHEN s1 < 1e-9 THEN 1 ELSE s1 END AS x1, (f3 - m3) / CASE WHEN s3 < 1e-9 THEN 1 ELSE s3 END AS x3 FROM rows, s),
+it AS (SELECT 0 AS n, 0e0 AS w1, 0e0 AS w3, 0e0 AS b UNION ALL SELECT n + 1, w1 - (g1 * (c * f - e * e) - d * (g3 * f - e * g0) + h * (g3 * e - c * g0)) / det, w3 - (a * (g3 * f - e * g0) - g1 * (d * f - e * h) + h * (d * g0 - g3 * h)) / det,
+  b - (a * (c * g0 - g3 * e) - d * (d * g0 - g3 * h) + g1 * (d * e - c * h)) / det
+  FROM (SELECT *, a * (c * f - e * e) - d * (d * f - e * h) + h * (d * e - c * h) AS det FROM (SELECT n, w1, w3, b, avg((p - y) * x1) + 0.001e0 * w1 AS g1, avg((p - y) * x3) + 0.001e0 * w3 AS g3, avg(p - y) AS g0,
+    avg(p * (1 - p) * x1 * x1) + 0.001e0 AS a, avg(p * (1 - p) * x3 * x3) + 0.001e0 AS c, avg(p * (1 - p)) AS f, avg(p * (1 - p) * x1 * x3) AS d, avg(p * (1 - p) * x3) AS e, avg(p * (1 - p) * x1) AS h
+    FROM (SELECT it.*, y, x1, x3, {_P} AS p FROM it, z WHERE n < 12) GROUP BY n, w1, w3, b)))"""
+
+
+@query("a4_fit_logistic", FITTED + " SELECT unnest(['f1', 'f3', 'bias']) AS name, unnest([round(w1, 3), round(w3, 3), round(b, 3)]) AS weight FROM it WHERE n = 12")
 def a4_fit_logistic(spark, d):
     rows = scoring.standardize(labelled(spark, d), ["f1", "f3"])
     model = scoring.fit_logistic(rows, ["z_f1", "z_f3"])
-    return spark.createDataFrame([("f1", float(model.coefficients[0])), ("f3", float(model.coefficients[1])), ("bias", float(model.intercept))], "name string, weight double")
+    return spark.createDataFrame([(n, round(float(w), 3) + 0.0) for n, w in zip(("f1", "f3", "bias"), (*model.coefficients, model.intercept))], "name string, weight double")
 
 
 # --- joins, exclusion, sampling
@@ -319,13 +331,13 @@ def a4_fit_logistic(spark, d):
 
 @query("j1_split_lookup", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'train' WHEN l.quality = 0 THEN 'val' END, 'corpus') AS split FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def j1_split_lookup(spark, d):
-    known = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").when(F.col("quality") == 0, "val").alias("s"))
-    return table(spark, d, "documents").join(known, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit("corpus")).alias("split"))
+    known = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").when(F.col("quality") == 0, "val").alias("split"))
+    return joins.looked_up(table(spark, d, "documents").select("doc_id"), known, "doc_id", "split", F.lit("corpus"))
 
 
 @query("j2_wanted_rows", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
 def j2_wanted_rows(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("toxic = 0"), "doc_id", "left_semi")
+    return joins.only(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").where("toxic = 0"), "doc_id")
 
 
 OFF = f"(SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE {SPLIT} <> 'train')"
@@ -368,34 +380,34 @@ def p6_first_n(spark, d):
 
 @query("j6_flagged_exclusion", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)")
 def j6_flagged_exclusion(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return joins.without(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_discount > 0.05"), "o_orderkey", "l_orderkey")
 
 
 @query("j7_variant_files", "SELECT o_orderkey, v FROM orders, range(0, 3) t(v) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = v + 1)")
 def j7_variant_files(spark, d):
-    variants = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("v"))
-    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).cast("long").alias("v")).distinct()
-    return variants.join(files, ["o_orderkey", "v"])
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).cast("long").alias("v"))
+    return joins.existing_variants(table(spark, d, "orders"), files, "o_orderkey", 3)
 
 
 @query("j8_plan_defaults", "SELECT n_name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END, d.batch, 8) AS batch, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 0.001 END, d.lr, 0.0003) AS lr FROM nation, (SELECT max(r_regionkey) AS batch, CAST(NULL AS DOUBLE) AS lr FROM region) d")
 def j8_plan_defaults(spark, d):
-    defaults = table(spark, d, "region").agg(F.max("r_regionkey").alias("batch"), F.lit(None).cast("double").alias("lr"))  # one row
-    runs = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey")).alias("b"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.001)).alias("l"))
-    return runs.crossJoin(F.broadcast(defaults)).select("n_name", F.coalesce("b", "batch", F.lit(8)).alias("batch"), F.coalesce("l", "lr", F.lit(0.0003)).alias("lr"))
+    defaults = table(spark, d, "region").agg(F.max("r_regionkey").alias("batch"), F.lit(None).cast("double").alias("lr"))
+    runs = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey")).alias("batch"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.001)).alias("lr"))
+    return joins.with_defaults(runs, defaults, {"batch": 8, "lr": 0.0003})
 
 
-@query("j9_finished_runs", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("j9_finished_runs", "SELECT DISTINCT user_id, day FROM (SELECT user_id, CAST(date_part('day', ts) AS INT) AS day, event_type FROM events) e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND date_part('day', f.ts) = e.day AND f.event_type = 'purchase')")
 def j9_finished_runs(spark, d):
-    e = table(spark, d, "events")
-    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_anti")
+    """A run is a user's day; a purchase finishes it."""
+    e = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), "event_type")
+    return joins.unfinished(e, ["user_id", "day"], F.col("event_type") == "purchase")
 
 
 @query("j10_first_id_wins", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT p_size, min_by(p_name, p_partkey) AS p_name FROM part GROUP BY p_size) ON p_size = l_quantity")
 def j10_first_id_wins(spark, d):
-    first = table(spark, d, "part").groupBy("p_size").agg(F.min_by("p_name", "p_partkey").alias("p_name"))
+    first = joins.first_wins(table(spark, d, "part"), "p_size", "p_name", "p_partkey").withColumnRenamed("p_size", "l_quantity")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return li.join(first, F.col("p_size") == F.col("l_quantity"), "left").select("l_orderkey", "l_linenumber", "p_name")
+    return joins.looked_up(li, first, "l_quantity", "p_name").drop("l_quantity")
 
 
 PIXELS = "px AS (SELECT vec_id, i - 1 AS i, CAST(floor(least(greatest(embedding[i] * 128 + 128, 0), 255)) AS INT) AS r, CAST(floor(least(greatest(embedding[65 - i] * 128 + 128, 0), 255)) AS INT) AS g, CAST((vec_id * 7 + i) % 256 AS INT) AS b FROM embeddings, range(1, 65) t(i))"
@@ -419,7 +431,7 @@ def j11_nearest_colour(spark, d):
 
 @query("f1_exact_hash", "SELECT doc_id, sha256(text) AS exact FROM documents")
 def f1_exact_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("exact"))
+    return table(spark, d, "documents").select("doc_id", C.exact_hash("text").alias("exact"))
 
 
 @query("f9_f19_luma_background", f"WITH {PIXELS} SELECT vec_id, i, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 6) AS luma, (r >= 249 AND g >= 249 AND b >= 249) AS is_background FROM px")
@@ -429,8 +441,7 @@ def f9_f19_luma_background(spark, d):
 
 @query("f7_degenerate", f"WITH {PIXELS} SELECT vec_id, stddev_pop(r) < 8 OR avg(CASE WHEN r < 250 THEN 1.0 ELSE 0 END) < 0.02 OR avg(CASE WHEN r < 250 THEN 1.0 ELSE 0 END) > 0.98 AS degenerate FROM px GROUP BY vec_id")
 def f7_degenerate(spark, d):
-    ink = F.avg(F.when(F.col("r") < 250, 1.0).otherwise(0.0))
-    return pixels(spark, d).groupBy("vec_id").agg(((F.stddev_pop("r") < 8) | (ink < 0.02) | (ink > 0.98)).alias("degenerate"))
+    return pixels(spark, d).groupBy("vec_id").agg(C.flat_pixels("r").alias("degenerate"))
 
 
 @query("f11_decimals", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN contains(lower(t), 'e') THEN 6 WHEN contains(t, '.') THEN length(t) - strpos(t, '.') ELSE 0 END AS INTEGER) AS decimals FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '.25' ELSE 'e3' END AS t FROM lineitem)")
@@ -485,13 +496,15 @@ def f18_composite(spark, d):
     return pixels(spark, d).select("vec_id", "i", F.round(C.over(F.col("r"), F.lit(255), 0.4), 6).alias("over_r"), F.round(C.over(F.col("g"), F.col("b"), 0.4), 6).alias("over_g"))
 
 
-def _crc_rows(spark, d):
-    return table(spark, d, "customer").select("c_custkey", C.item_seed("c_name", 1000).alias("seed"))
+#: The checksum's table by its rule, then byte by byte over each name.
+CRC = """WITH RECURSIVE bit AS (SELECT CAST(n AS BIGINT) AS n, 0 AS k, CAST(n AS BIGINT) AS c FROM range(0, 256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc_table AS (SELECT n, c FROM bit WHERE k = 8),
+run AS (SELECT c_custkey, c_name, 0 AS i, 4294967295 AS c FROM customer UNION ALL SELECT c_custkey, c_name, i + 1, xor(run.c >> 8, t.c) FROM run JOIN crc_table t ON t.n = xor(run.c, ascii(substr(c_name, i + 1, 1))) & 255 WHERE i < length(c_name))"""
 
 
-@query("f21_item_seed")
+@query("f21_item_seed", CRC + " SELECT c_custkey, (xor(c, 4294967295) + 1000) & 2147483647 AS seed FROM run WHERE i = length(c_name)")
 def f21_item_seed(spark, d):
-    return _crc_rows(spark, d)
+    return table(spark, d, "customer").select("c_custkey", C.item_seed("c_name", 1000).alias("seed"))
 
 
 @query("f22_f23_seeds_and_rates", "SELECT c_custkey, c_custkey * 100003 + 3 AS variant_seed, c_custkey * 7919 + 17 AS bg_seed, round(0.0003 * sqrt((c_custkey % 32 + 1) / 8.0), 9) AS lr FROM customer")
@@ -525,7 +538,7 @@ def r4_worst_k(spark, d):
 
 @query("r5_finalize", "SELECT CASE WHEN p_size < 5 THEN 'partial' WHEN p_retailprice < 1000 THEN 'blank' WHEN p_size > 45 THEN 'bad-key' ELSE 'usable' END AS state, count(*) AS n FROM part GROUP BY 1")
 def r5_finalize(spark, d):
-    state = F.when(F.col("p_size") < 5, "partial").when(F.col("p_retailprice") < 1000, "blank").when(F.col("p_size") > 45, "bad-key").otherwise("usable")
+    state = joins.state_of({"partial": F.col("p_size") < 5, "blank": F.col("p_retailprice") < 1000, "bad-key": F.col("p_size") > 45}, "usable")
     return table(spark, d, "part").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -672,11 +685,27 @@ def drawings(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"'), box, F.lit(">"), shape, F.lit("</svg>")).alias("svg"))
 
 
-@query("g1_g20_quality_tiers")
+#: Facts of drawings(): kind of fault, and whether the canvas is known and not empty.
+DRAWN = """drawn AS (SELECT p_partkey, p_size AS s, p_partkey % 8 AS k, CASE WHEN p_partkey % 11 = 0 THEN 'no-size' WHEN p_partkey % 13 = 0 THEN 'zero-size' END AS fault,
+  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN ' viewBox="0 0 0 5"' ELSE ' viewBox="0 0 100 100"' END AS box,
+  ['<path d="M0 0 L' || p_size || ' 10 C1 1 2 2 3 3 Z" fill="#' || lpad(printf('%X', p_size), 6, '0') || '"/>', '<rect width="' || p_size || '" height="2" fill="red"/>', '<image href="https://x"/>', '<text>a</text><path d="M0 0 H5" style="fill:none"/>',
+   '<g id="Logo"/>', '<path d="M900 900 l1 1.25"/>', '<circle r="1" display="none"/>', '<rect'][p_partkey % 8 + 1] AS shape FROM part)"""
+_LISTED = "array_to_string(list_filter([{0}], lambda x: x IS NOT NULL), ',')"
+_REJECT = _LISTED.format("CASE WHEN k = 2 THEN 'external-ref' END, fault, CASE WHEN k = 2 THEN 'raster' END, CASE WHEN k = 4 THEN 'no-drawables' END, CASE WHEN k = 6 THEN 'all-invisible' END, CASE WHEN k = 5 AND fault IS NULL THEN 'off-canvas' END")
+_WARN = _LISTED.format("CASE WHEN k = 3 THEN 'live-text' END, CASE WHEN (k = 3 OR k = 0 AND s < 10) AND fault IS NULL THEN 'low-occupancy' END")
+
+
+@query(
+    "g1_g20_quality_tiers",
+    f"""WITH {DRAWN}, f AS (SELECT *, CASE WHEN k = 7 THEN 'parse-error' ELSE {_REJECT} END AS reject, CASE WHEN k = 7 THEN '' ELSE {_WARN} END AS warn FROM drawn)
+    SELECT p_partkey, CASE WHEN reject <> '' THEN 'reject' WHEN warn <> '' THEN 'warn' ELSE 'clean' END AS tier, reject, warn, CAST(length('<svg xmlns="http://www.w3.org/2000/svg"' || box || '>' || shape || '</svg>') AS INT) AS len,
+      CASE WHEN k IN (0, 3, 5) THEN 1 ELSE 0 END AS paths, CASE k WHEN 0 THEN 4 WHEN 3 THEN 2 WHEN 5 THEN 2 ELSE 0 END AS cmds, CASE WHEN k IN (0, 1) THEN 1 ELSE 0 END AS colors, false AS gradient, false AS stroke, CASE WHEN k = 0 THEN 0.5e0 ELSE 0e0 END AS curve_frac FROM f""",
+)
 def g1_g20_quality_tiers(spark, d):
     from quillon.functions import svg
 
-    return svg.classified(drawings(spark, d)).select("p_partkey", "tier", "reject", "warn", "len", "paths", "cmds", "colors", "gradient", "stroke", F.round("curve_frac", 3).alias("curve_frac"))
+    listed = [F.array_join(c, ",").alias(c) for c in ("reject", "warn")]
+    return svg.classified(drawings(spark, d)).select("p_partkey", "tier", *listed, "len", "paths", "cmds", "colors", "gradient", "stroke", F.round("curve_frac", 3).alias("curve_frac"))
 
 
 @query("r1_tier_counts", "SELECT CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 8 IN (2, 4, 5, 6, 7) THEN 'reject' WHEN p_partkey % 8 = 3 OR (p_partkey % 8 = 0 AND p_size < 10) THEN 'warn' ELSE 'clean' END AS tier, count(*) AS n FROM part GROUP BY 1")
@@ -684,11 +713,26 @@ def r1_tier_counts(spark, d):
     return g1_g20_quality_tiers(spark, d).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("a1_a2_trace_features")
+_HAS = "CASE WHEN k IN ({0}) THEN 1e0 ELSE 0e0 END AS {1}"
+_OVER = "round({0}, 6) AS {1}"
+_CHORDS = "CASE k WHEN 0 THEN [0e0, sqrt(s * s + 100e0), sqrt((s - 3) * (s - 3) + 49e0), 6e0] WHEN 3 THEN [0e0, 5e0] WHEN 5 THEN [sqrt(1620000e0), sqrt(2.5625e0)] END"
+_TURN = "CASE k WHEN 0 THEN acos(greatest(-1e0, least(1e0, ((3 - s) * s - 70e0) / (sqrt((s - 3) * (s - 3) + 49e0) * sqrt(s * s + 100e0))))) WHEN 5 THEN acos(2025e0 / (sqrt(2.5625e0) * sqrt(1620000e0))) ELSE 0e0 END"
+
+
+@query(
+    "a1_a2_trace_features",
+    f"""WITH {DRAWN}, c AS (SELECT *, {_CHORDS} AS chords, {_TURN} AS turn FROM drawn), m AS (SELECT *, list_avg(chords) AS mean, list_avg(list_transform(chords, lambda x: x * x)) AS square FROM c)
+    SELECT p_partkey, CASE k WHEN 0 THEN 1e0 WHEN 3 THEN 0.5e0 WHEN 5 THEN 1e0 ELSE 0e0 END AS path_frac, {_HAS.format("1, 6", "prim_frac")}, 0e0 AS has_arc, CASE WHEN k = 0 THEN 0.5e0 ELSE 0e0 END AS curve_frac, {_HAS.format("3", "axis_frac")},
+      CASE k WHEN 0 THEN 4e0 WHEN 3 THEN 2e0 WHEN 5 THEN 2e0 ELSE 0e0 END AS cmds_per_path, {_HAS.format("0, 3, 5", "n_paths")}, CASE WHEN fault IS NOT NULL THEN 0e0 WHEN k = 0 THEN 0.25e0 WHEN k = 3 THEN 0.5e0 ELSE 0e0 END AS frac_tiny_chords,
+      {_OVER.format("coalesce(sqrt(greatest(0, square - mean * mean)) / mean, 0)", "chord_cv")}, {_OVER.format("turn", "mean_turn")}, CASE WHEN k IN (0, 5) AND turn < radians(10) THEN 1e0 ELSE 0e0 END AS frac_small_turn,
+      CASE WHEN k = 5 THEN 0.5e0 ELSE 0e0 END AS mean_decimals, CASE WHEN k IN (0, 3) THEN 1e0 WHEN k = 5 THEN 0.75e0 ELSE 0e0 END AS frac_lowprec, {_HAS.format("0, 1", "distinct_fills")}, 0e0 AS has_stroke, 0e0 AS has_gradient, 0e0 AS has_editor_ns, 0e0 AS has_defs_use,
+      {_HAS.format("3", "has_text")}, {_HAS.format("4", "has_named_id")}, {_HAS.format("7", "parse_error")} FROM m""",
+)
 def a1_a2_trace_features(spark, d):
     from quillon.functions import svg
 
-    return svg.traced_features(drawings(spark, d)).drop("svg", "facts", "canon")
+    found = svg.traced_features(drawings(spark, d)).drop("svg", "facts", "canon")
+    return found.select("p_partkey", *[F.round(c, 6).alias(c) for c in found.columns if c != "p_partkey"])
 
 
 @query(
@@ -702,13 +746,30 @@ def l2_l3_painted_leaves(spark, d):
     return paint.painted(drawings(spark, d)).select("p_partkey", "cause", F.expr("if(leaves is null, null, size(leaves))").alias("n_leaves"), F.expr("array_join(cast(get(leaves, 0).fill as array<string>), ',')").alias("first_fill"))
 
 
-@query("f2_f5_normalized_hash")
+_CANON = """['<path d=M0 0 L' || s || ' 10 C1 1 2 2 3 3 Z fill=#' || CASE WHEN s BETWEEN 10 AND 15 THEN '0' ELSE '' END || printf('%X', s) || '></path>', '<rect fill=red height=2 width=' || s || '></rect>', '<image href=https://x></image>', '<text></text><path d=M0 0 H5></path>',
+  '<g></g>', '<path d=M900 900 l1 1.2></path>', '<circle display=none r=1></circle>'][k + 1]"""
+
+
+@query(
+    "f2_f5_normalized_hash",
+    f"""WITH {DRAWN} SELECT p_partkey, sha256(CASE WHEN k = 7 THEN '<svg xmlns="http://www.w3org/2000/svg"' || box || '><rect</svg>' ELSE '<svg' || replace(box, '"', '') || '>' || {_CANON} || '</svg>' END) AS norm FROM drawn""",
+)
 def f2_f5_normalized_hash(spark, d):
     from quillon.functions import svg
 
     return svg.parsed(drawings(spark, d)).select("p_partkey", F.sha2("canon", 256).alias("norm"))
 
 
+@query(
+    "f10_recolour",
+    f"""WITH {DRAWN} SELECT p_partkey, step, CASE WHEN k = 0 THEN printf('#%02x%02x%02x', step, step, least(255, s + step)) ELSE '' END AS fill FROM drawn, (SELECT unnest([6, 12, 20]) AS step)""",
+)
+def f10_recolour(spark, d):
+    from quillon.functions import svg
+
+    return svg.with_recolouring(drawings(spark, d), [6, 12, 20]).select("p_partkey", "step", F.regexp_extract("svg", "#[0-9a-f]{6}", 0).alias("fill"))
+
+
 # --- events
 
 
@@ -724,10 +785,29 @@ def t1_retention(spark, d):
     return E.retained(rows, "user_id", "event_id", "kind", {"sample": 1, "step": 20}, 5).select("event_id")
 
 
-@query("t2_latest_run", "SELECT event_id FROM events e WHERE user_id = (SELECT max(user_id) FROM events)")
+@query(
+    "t2_latest_run",
+    """SELECT event_id, CAST(user_id AS VARCHAR) || '#' || CAST(n AS VARCHAR) AS run FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS last FROM
+    (SELECT event_id, user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)) WHERE n = last""",
+)
 def t2_latest_run(spark, d):
-    e = table(spark, d, "events")
-    return e.join(F.broadcast(e.agg(F.max("user_id").alias("user_id"))), "user_id", "left_semi").select("event_id")  # one row
+    """A purchase starts a user's next run; what replay holds are the events of the last one."""
+    from quillon.streaming import events as E
+
+    runs = E.stamped(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase")
+    return E.cleared(runs, "user_id").select("event_id", "run")
+
+
+@query(
+    "t4_console_tail",
+    """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'job exited rc=' || turn ELSE role END AS line FROM conversations)
+    SELECT conv_id, turn FROM l WHERE turn > 0 AND turn <= coalesce((SELECT min(turn) FROM l e WHERE e.conv_id = l.conv_id AND contains(line, 'job exited rc=')), turn)""",
+)
+def t4_console_tail(spark, d):
+    from quillon.streaming import events as E
+
+    line = F.when(F.col("turn") % 3 == 2, F.concat(F.lit(E.JOB_END), F.col("turn").cast("string"))).otherwise(F.col("role"))
+    return E.tailed(table(spark, d, "conversations").select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line").select("conv_id", "turn")
 
 
 @query("t3_throttle", "SELECT user_id, w, max(event_id) AS event_id FROM (SELECT user_id, event_id, date_trunc('hour', ts) AS w FROM events) GROUP BY user_id, w")
@@ -739,12 +819,12 @@ def t3_throttle(spark, d):
 
 @query("s4_manifest_last_wins", "SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
 def s4_manifest_last_wins(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
+    return scans.last_wins(table(spark, d, "conversations"), "conv_id", "role", "turn")
 
 
 @query("s5_off_split", f"SELECT doc_id FROM documents WHERE {SPLIT} <> 'train'")
 def s5_off_split(spark, d):
-    return table(spark, d, "documents").where(F.expr(SPLIT) != "train").select("doc_id")
+    return scans.off_split(table(spark, d, "documents").withColumn("split", F.expr(SPLIT)), "split", "train", "doc_id")
 
 
 @query("w_degradation_kernels")
@@ -754,11 +834,26 @@ def w_degradation_kernels(spark, d):
     return raster.degraded(table(spark, d, "embeddings"), 8)
 
 
-@query("k1_k2_forensics")
+_AT = "i // 8 AS y, i % 8 AS x"
+#: Blur by 1.5 over four pixels to either side, the border repeated.
+FORENSICS = f"""WITH {GRAY}, px AS (SELECT id, pos // 8 AS y, pos % 8 AS x, v FROM gray),
+d AS (SELECT a.id, (a.v - b.v - c.v + e.v) / 4 AS d FROM px a JOIN px b ON b.id = a.id AND b.y = a.y AND b.x = a.x + 1 JOIN px c ON c.id = a.id AND c.y = a.y + 1 AND c.x = a.x JOIN px e ON e.id = a.id AND e.y = a.y + 1 AND e.x = a.x + 1),
+noise AS (SELECT id, median(abs(d - m)) / 0.6745e0 AS sigma FROM (SELECT id, d, median(d) OVER (PARTITION BY id) AS m FROM d) GROUP BY id),
+w AS (SELECT o, exp(-(o * o) / 4.5e0) / (SELECT sum(exp(-(q * q) / 4.5e0)) FROM range(-4, 5) t(q)) AS w FROM range(-4, 5) t(o)),
+rows_ AS (SELECT p.id, p.y, p.x, sum(w * q.v) AS v FROM px p, w JOIN px q ON q.id = p.id AND q.x = p.x AND q.y = greatest(0, least(7, p.y + o)) GROUP BY ALL),
+soft AS (SELECT p.id, p.y, p.x, sum(w * q.v) AS v FROM rows_ p, w JOIN rows_ q ON q.id = p.id AND q.y = p.y AND q.x = greatest(0, least(7, p.x + o)) GROUP BY ALL),
+bend AS (SELECT p.id, p.y, p.x, round(abs(sum(q.v) - 4 * any_value(p.v)), 6) AS b FROM px p, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) JOIN px q ON q.id = p.id AND q.y = 7 - abs(7 - abs(p.y + dy)) AND q.x = 7 - abs(7 - abs(p.x + dx)) GROUP BY ALL),
+edge AS (SELECT id, y, x, b > quantile_cont(b, 0.98) OVER (PARTITION BY id) AS edge FROM bend),
+near AS (SELECT a.id, a.y, a.x FROM edge a JOIN edge b ON b.id = a.id AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2 GROUP BY ALL HAVING bool_or(b.edge) AND NOT bool_or(a.edge)),
+ring AS (SELECT near.id, avg(abs(px.v - soft.v)) AS r FROM near JOIN px USING (id, y, x) JOIN soft USING (id, y, x) GROUP BY near.id),
+sd AS (SELECT id, stddev_pop(v) AS sd FROM px GROUP BY id)"""
+
+
+@query("k1_k2_forensics", FORENSICS + " SELECT sd.id AS vec_id, round(sigma, 4) AS noise_sigma, round(coalesce(r, 0) / (sd + 1e-6), 4) AS edge_ringing FROM sd JOIN noise USING (id) LEFT JOIN ring ON ring.id = sd.id")
 def k1_k2_forensics(spark, d):
     from quillon.functions import raster
 
-    return raster.forensics(table(spark, d, "embeddings"), 8)
+    return raster.forensics(table(spark, d, "embeddings"), 8).select("vec_id", *[F.round(c, 4).alias(c) for c in ("noise_sigma", "edge_ringing")])
 
 
 @query("d12_recipes")
@@ -788,3 +883,76 @@ def l8_l11_labels_and_backgrounds(spark, d):
     from quillon.functions import labels
 
     return labels.labelled_images(table(spark, d, "embeddings"))
+
+
+# --- colour operations of a capture path whose results SQL can tell
+
+
+def _captured(spark, d, op: str, **params) -> DataFrame:
+    """(vec_id, i, r, g, b) of the pixel table's images after one operation."""
+    from quillon.functions import capture
+
+    images = pixels(spark, d).groupBy("vec_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "r", "g", "b"))), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("rgb"))
+    done = capture.captured(images, [{"op": op, "params": params}], 7, "vec_id", "rgb")
+    each = done.select("vec_id", "rgb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("i"))
+    return each.select("vec_id", "i", *[F.get("rgb", (F.col("i") * 3 + n).cast("int")).alias(k) for n, k in enumerate("rgb")])
+
+
+_EACH = ", ".join
+
+
+@query("w_nearest_decimate", f"WITH {PIXELS} SELECT a.vec_id, a.i, b.r, b.g, b.b FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.i = ((a.i // 8) * 3 // 8 * 3) * 8 + (a.i % 8) * 3 // 8 * 3")
+def w_nearest_decimate(spark, d):
+    return _captured(spark, d, "nearest_decimate", stride=3)
+
+
+@query("w_capture_posterize", f"WITH {PIXELS} SELECT vec_id, i, " + _EACH(f"(({k} >> 5) << 5) + 16 AS {k}" for k in "rgb") + " FROM px")
+def w_capture_posterize(spark, d):
+    return _captured(spark, d, "posterize", bits=3)
+
+
+@query("w_ink_bleed", f"WITH {PIXELS} SELECT a.vec_id, a.i, " + _EACH(f"min(b.{k}) AS {k}" for k in "rgb") + " FROM px a JOIN px b ON b.vec_id = a.vec_id AND abs(b.i // 8 - a.i // 8) <= 1 AND abs(b.i % 8 - a.i % 8) <= 1 GROUP BY a.vec_id, a.i")
+def w_ink_bleed(spark, d):
+    return _captured(spark, d, "ink_bleed", mode="thicken", ksize=3, flip=0.0)
+
+
+@query("w_illumination", f"WITH {PIXELS}, l AS (SELECT *, 1e0 + 0.35e0 * ((i % 8) / 8e0 / (7 / 8e0 + 1e-6) - 0.5e0) AS f FROM px) SELECT vec_id, i, " + _EACH(f"CAST(floor(least(255, {k} * f)) AS INT) AS {k}" for k in "rgb") + " FROM l")
+def w_illumination(spark, d):
+    return _captured(spark, d, "illumination", angle=0.0, strength=0.35)
+
+
+_SCREEN = "(sin(2 * pi() * 3 / 8 * (i % 8 * cos(radians({0})) + i // 8 * sin(radians({0})))) * sin(2 * pi() * 3 / 8 * (i // 8 * cos(radians({0})) - i % 8 * sin(radians({0})))) + 1) / 2"
+
+
+@query("w_halftone", f"WITH {PIXELS} SELECT vec_id, i, " + _EACH(f"CAST(floor({k} + (CASE WHEN {k} / 255e0 > {_SCREEN.format(a)} THEN 255 ELSE 0 END - {k}) * 0.45e0) AS INT) AS {k}" for k, a in zip("rgb", (25, 85, 10))) + " FROM px")
+def w_halftone(spark, d):
+    return _captured(spark, d, "halftone", lpi=3, angles=[25, 85, 10], descreen=0, mix=0.45)
+
+
+@query("w_warp_quarter_turn", f"WITH {PIXELS} SELECT a.vec_id, a.i, b.r, b.g, b.b FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.i = (7 - a.i % 8) * 8 + a.i // 8")
+def w_warp_quarter_turn(spark, d):
+    return _captured(spark, d, "geometric_warp", matrix=[[0, -1, 7], [1, 0, 0], [0, 0, 1]])
+
+
+@query("r13_scores", f"""WITH {PIXELS}, g AS (SELECT vec_id % 10 AS epoch, vec_id, i, r > 128 AS t, r > 120 AS p FROM px),
+    e AS (SELECT a.epoch, a.vec_id, a.i, max(CASE WHEN a.t <> b.t THEN 1 ELSE 0 END) AS tb, max(CASE WHEN a.p <> b.p THEN 1 ELSE 0 END) AS pb FROM g a JOIN g b ON b.vec_id = a.vec_id AND ((b.i = a.i + 1 AND a.i % 8 < 7) OR b.i = a.i + 8) GROUP BY ALL),
+    f AS (SELECT epoch, sum(tb * pb) AS hit, sum(tb) AS t, sum(pb) AS p FROM e GROUP BY epoch)
+    SELECT f.epoch, round(a.accuracy, 6) AS accuracy, round(2e0 * hit / (t + p), 6) AS f1 FROM f JOIN (SELECT epoch, avg(CASE WHEN t = p THEN 1e0 ELSE 0e0 END) AS accuracy FROM g GROUP BY epoch) a ON a.epoch = f.epoch""")
+def r13_scores(spark, d):
+    """Accuracy and boundary F1 of a threshold's labels, by epoch (ten groups of images)."""
+    cells = pixels(spark, d).select("vec_id", "i", (F.col("r") > 128).alias("t"), (F.col("r") > 120).alias("p"))
+    parts = reports.boundary_parts(cells, 8).withColumn("epoch", F.col("vec_id") % 10)
+    scores = reports.boundary_f1(parts, "epoch").join(reports.pixel_accuracy(cells.withColumn("epoch", F.col("vec_id") % 10), "epoch"), "epoch")
+    return scores.select("epoch", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
+
+
+@query("r13_epoch_means", "SELECT user_id AS epoch, round(sum(value * (event_id % 8 + 1)) / sum(event_id % 8 + 1), 6) AS mean FROM events GROUP BY user_id")
+def r13_epoch_means(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("epoch"), F.col("value").alias("loss"), (F.col("event_id") % 8 + 1).alias("items"))
+    return reports.epoch_means(e).select("epoch", F.round("mean", 6).alias("mean"))
+
+
+@query("f24_jpeg_quality", f"WITH {PIXELS}, m AS (SELECT vec_id, (100 * avg(r % 99 + 1) - 50) / 57.625e0 AS s FROM px GROUP BY vec_id) SELECT vec_id, round(greatest(1, least(100, CASE WHEN s > 100 THEN 5000 / s ELSE (200 - s) / 2 END)), 6) AS quality FROM m")
+def f24_jpeg_quality(spark, d):
+    tables = pixels(spark, d).groupBy("vec_id").agg(F.collect_list((F.col("r") % 99 + 1).cast("double")).alias("t"))
+    return tables.select("vec_id", F.round(C.jpeg_quality("t"), 6).alias("quality"))

@@ -41,6 +41,72 @@ def test_band_pairs_match_all_pairs(spark, radius):
     assert {tuple(r) for r in similarity.band_pairs(df, radius).collect()} == want
 
 
+@pytest.mark.parametrize("plan", [(1, 2), (2, 1), (3, 0), None])
+def test_near_values_by_any_plan(spark, plan):
+    rng = random.Random(7)
+    v = sorted({rng.getrandbits(64) - (1 << 63) for _ in range(40)})
+    w = sorted({x ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(5))) for x in v} | {-1, 0})
+    df = lambda x: spark.createDataFrame([(i,) for i in x], "v long")
+    gap = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    got = similarity.near_values(df(v), df(w), 2, plan).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, gap(a, b)) for a in v for b in w if gap(a, b) <= 2)
+
+
+def test_gate_with_a_radius_layer(spark):
+    """Leaks and repeats by distance alone, the order of the layers, and records without a fingerprint."""
+    rows = [(1, "bench", "e1", "n1", 0b0), (2, "train", "e2", "n2", 0b1111), (3, "val", "e3", "n3", 0xFF00), (4, "corpus", "e4", "n4", 0xFF03), (5, "train", "e5", "n5", 0x7F << 40), (6, "train", "e5", "n6", 0x7F << 40)]
+    rows += [(7, "train", "e7", "n5", 0x3FF << 50), (8, "train", "e8", "n8", 0x1F << 40), (9, "train", "e9", "n9", 0x7F3 << 36), (10, "train", "e10", "n10", None), (11, "corpus", "e11", "n11", None), (12, "test", "e12", "n12", 0xFFFF << 46)]
+    df = spark.createDataFrame(rows, "ord long, split string, exact string, norm string, phash long").repartition(3)
+    fate = {r.ord: r.fate for r in similarity.layered_gate(df, ["exact", "norm"], fingerprint="phash", radius=4).collect()}
+    assert fate == {1: "reference", 2: "bench", 3: "reference", 4: "held-out", 5: "kept", 6: "exact", 7: "norm", 8: "phash", 9: "phash", 10: "kept", 11: "kept", 12: "reference"}
+    assert {r.ord: r.fate for r in similarity.layered_gate(df, ["exact", "norm"]).collect()}[2] == "kept"
+
+
+def test_fingerprints_from_images(spark):
+    rng = np.random.default_rng(2)
+    base = np.minimum(rng.uniform(0, 320, (16, 16)), 255)  # a fifth is white, so not nearly all is ink
+    bits = lambda h: bin(h & (2**64 - 1)).count("1")
+    images = [(1, base), (2, np.clip(base + 3, 0, 255)), (3, np.minimum(rng.uniform(0, 320, (16, 16)), 255)), (4, np.full((16, 16), 255.0)), (5, np.zeros((16, 16))), (6, rng.uniform(0, 9, (3, 3)))]
+    df = spark.createDataFrame([(i, x.ravel().tolist()) for i, x in images] + [(7, None), (8, [1.0, 2.0])], "id int, gray array<double>")
+    got = {r.id: r for r in similarity.fingerprints(df).collect()}
+    assert bits(got[1].phash ^ got[2].phash) <= 6 < bits(got[1].phash ^ got[3].phash)
+    assert [got[i].degenerate for i in range(1, 9)] == [False, False, False, True, True, False, False, False] and [got[i].render_ok for i in range(1, 9)] == [True] * 5 + [False] * 3
+    assert all(got[i].phash is None for i in range(4, 9))
+    m = similarity.dct_matrix(16)
+    assert np.allclose(m @ m.T, np.eye(16))
+    c = (m[:8] @ base @ m[:8].T).ravel()
+    want = int("".join("1" if v > sorted(c[1:])[31] else "0" for v in c), 2)
+    assert got[1].phash & (2**64 - 1) == want
+
+
+def test_running_sums_and_quantiles(spark):
+    from quillon.operators import prefix
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50), rng.randrange(9)) for _ in range(400)] + [("c", 5, 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, g string, k long, v long").repartition(6)
+    got = {r.i: r.v_upto for r in prefix.running(df, [F.desc("k"), "i"], ["v"], ["g"]).collect()}
+    for i, (g, k, _) in enumerate(rows):
+        assert got[i] == sum(w for j, (h, l, w) in enumerate(rows) if h == g and (-l, j) <= (-k, i))
+    assert sorted((r.i, r.rank) for r in prefix.numbered(df, ["k", "i"]).collect()) == sorted((i, n + 1) for n, (_, i) in enumerate(sorted((r[1], i) for i, r in enumerate(rows))))
+    q = {r.g: (r.p0, r.p37, r.p100) for r in prefix.quantiles(df, "k", {"p0": 0.0, "p37": 0.37, "p100": 1.0}, ["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        own = [k for h, k, _ in rows if h == g]
+        assert q[g] == pytest.approx(tuple(np.percentile(own, p) for p in (0, 37, 100)))
+    assert prefix.quantiles(df, "k", {"m": 0.5}).first().m == np.median([r[1] for r in rows]) and prefix.running(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_runs_are_stamped_and_tailed(spark):
+    ev = [("a", 1, "status"), ("a", 2, "start"), ("a", 3, "metric"), ("a", 4, "start"), ("a", 5, "metric"), ("b", 1, "start"), ("b", 2, "metric"), ("c", 9, "metric")]
+    df = spark.createDataFrame(ev, "s string, seq long, type string").repartition(4)
+    runs = events.stamped(df, "s", "seq", F.col("type") == "start")
+    assert {(r.s, r.seq): r.run for r in runs.collect()} == {("a", 1): "a#0", ("a", 2): "a#1", ("a", 3): "a#1", ("a", 4): "a#2", ("a", 5): "a#2", ("b", 1): "b#1", ("b", 2): "b#1", ("c", 9): "c#0"}
+    assert {(r.s, r.seq) for r in events.cleared(runs, "s").collect()} == {("a", 4), ("a", 5), ("b", 1), ("b", 2), ("c", 9)}
+    lines = spark.createDataFrame([("x", 1, "go"), ("x", 2, "job exited rc=0"), ("x", 3, "more"), ("y", 1, "a"), ("y", 2, None)], "log string, n long, line string")
+    assert sorted((r.log, r.n) for r in events.tailed(lines, "log", "n", "line").collect()) == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
+    assert sorted((r.log, r.n) for r in events.tailed(lines, "log", "n", "line", seen=1).collect()) == [("x", 2), ("y", 2)]
+
+
 def test_clusters_chain_and_equal_hashes(spark):
     df = spark.createDataFrame([(1, 0), (2, 0b1111), (3, 0b11111111), (4, 0), (5, -1), (6, None)], "id long, h long")
     assert {tuple(r) for r in similarity.hamming_clusters(df, 4).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
@@ -108,6 +174,8 @@ def test_canonical_form():
     assert svg.canonical(a) == svg.canonical(b) == "<svg><path d=M1 2 fill=#abc></path></svg>"
     assert svg.canonical("<svg <a id=\"x\">  <b>") == "<svg <a><b>" and svg.canonical(None) is None
     assert svg.rounded("0.25 -0.01 1234567.89") == "0.2 -0 1.23457e+06"
+    assert svg.canonical('<a><b fill="#00000A"/><text x="1">words<desc>d</desc></text></a>') == "<a><b fill=#0A></b><text x=1></text></a>"
+    assert svg.recoloured('<a fill="#f0F1ff" stroke="#abc" x="#1234567"/>', 20) == '<a fill="#ffffff" stroke="#abc" x="#1234567"/>' and svg.recoloured(None, 1) is None
 
 
 def test_trace_features(spark):
@@ -135,8 +203,85 @@ def test_recipes_repeat():
 
 
 def test_jpeg_quality(spark):
-    df = spark.createDataFrame([([57.625] * 64,), ([1.0] * 64,)], "t array<double>")
-    assert [r.q for r in df.select(columns.jpeg_quality("t").alias("q")).collect()] == [50, 99]
+    """A table made at a quality gives it back, within the rounding of the table's entries."""
+    made = [(q, [float(v) for v in np.clip(np.floor((raster.LUMA_TABLE.ravel() * (5000 / q if q < 50 else 200 - 2 * q) + 50) / 100), 1, 255)]) for q in (20, 35, 50, 75, 90)]
+    df = spark.createDataFrame([*made, (0, [57.625] * 64), (1, [1.0] * 64), (2, [300.0] * 64), (3, [1.0])], "q int, t array<double>")
+    got = {r.q: r.v for r in df.select("q", columns.jpeg_quality("t").alias("v")).collect()}
+    assert all(got[q] == pytest.approx(q, abs=0.7) for q, _ in made)
+    assert got[0] == pytest.approx((200 - (5762.5 - 50) / 57.625) / 2) and got[1] == pytest.approx((200 - 50 / 57.625) / 2) and got[2] == pytest.approx(5000 / (29950 / 57.625)) and got[3] is None
+
+
+def test_forensics_by_definition():
+    rng = np.random.default_rng(3)
+    noise = 128 + rng.normal(0, 10, (200, 200))
+    assert raster.noise_sigma(noise) == pytest.approx(5.0, rel=0.05)  # half the deviation
+    x = rng.uniform(0, 255, (12, 12))
+    d = [(x[i, j] - x[i, j + 1] - x[i + 1, j] + x[i + 1, j + 1]) / 4 for i in range(11) for j in range(11)]
+    m = sorted(d)[60]
+    assert raster.noise_sigma(x) == pytest.approx(sorted(abs(v - m) for v in d)[60] / 0.6745)
+    step = np.where(np.arange(64)[None] < 32, 0.0, 200.0) * np.ones((64, 1))
+    step[31, 32] += 5  # one pixel bends more than the rest of the edge
+    wave = step + 12 * np.sin(np.arange(64)[None] * 2) * (np.abs(np.arange(64)[None] - 32) < 6)
+    assert raster.edge_ringing(wave) > 0 and raster.edge_ringing(np.zeros((8, 8))) == 0
+
+
+def test_capture_operations_by_definition():
+    from quillon.functions import capture
+
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.uniform(0, 256, (12, 16, 3)))
+    run = lambda op, **p: capture.replay(x, [{"op": op, "params": p}], 1)[0]
+    assert (run("nearest_decimate", stride=3)[:, :, 0] == np.array([[x[i * 4 // 12 * 3, j * 6 // 16 * 3, 0] for j in range(16)] for i in range(12)])).all()
+    assert (run("posterize", bits=3) == x // 32 * 32 + 16).all()
+    assert (run("downscale_upscale", factor=0.5, down_filter="area", up_filter="nearest")[::2, ::2] == np.floor(x.reshape(6, 2, 8, 2, 3).mean((1, 3)))).all()
+    assert len(np.unique(run("dither", n_colours=5).reshape(-1, 3), axis=0)) == 5
+    assert (run("ink_bleed", mode="thicken", ksize=3, flip=0.0)[1, 1] == x[:3, :3].min((0, 1))).all()
+    light = run("illumination", angle=0.0, strength=0.4)
+    assert (light[:, 0] == np.floor(x[:, 0] * 0.8)).all() and np.allclose(light[:, 15], np.floor(np.clip(x[:, 15] * 1.2, 0, 255)), atol=1)
+    shade = run("cast_shadow", poly=[[0, 0], [16, 0], [16, 12], [0, 12]], blur=0.5, opacity=0.25)
+    assert (shade == np.floor(x * 0.75)).all()
+    assert np.abs(run("jpeg_cycle", quality=98, subsampling=0) - x).mean() < 4 < np.abs(run("jpeg_cycle", quality=10, subsampling=2) - x).mean()
+    for op in ("gaussian_noise", "poisson_noise"):
+        grey = run(op, **({"std": 9} if op[0] == "g" else {"gain": 0.2}), gray=True) - x
+        inside = (x > 80).all(2) & (x < 180).all(2)
+        assert np.abs(np.ptp(grey[inside], axis=1)).max() <= 1
+    turn = [[0, -1, 11], [1, 0, 0], [0, 0, 1]]  # a quarter turn of a square
+    sq = x[:, :12]
+    out, m = capture.replay(sq, [{"op": "geometric_warp", "params": {"matrix": turn}}], 1)
+    assert (out == np.rot90(sq, -1)).all() and not capture.is_identity(m) and capture.is_identity(np.eye(3))
+    label = np.arange(144).reshape(12, 12)
+    assert (capture.warp_labels(label, m) == np.rot90(label, -1)).all()
+    moved = capture.warp_labels(label + 1, np.array([[1, 0, 5], [0, 1, 0], [0, 0, 1.0]]))
+    assert (moved[:, :5] == 0).all() and (moved[:, 5:] == label[:, :7] + 1).all()
+    corners = np.array([[0, 0], [9, 0], [9, 9], [0, 9.0]])
+    to = corners + rng.uniform(-1, 1, (4, 2))
+    p = recipes.projection(corners, to) @ np.column_stack([corners, np.ones(4)]).T
+    assert np.allclose(p[:2] / p[2], to.T)
+
+
+def test_recipes_follow_their_families():
+    drawn = [recipes.sample_recipe(s, 32) for s in range(4000)]
+    for r in drawn:
+        assert bool(r["ops"]) == (r["global_severity"] > 0)  # at severity 0 the image stays as it is
+        names = [o["op"] for o in r["ops"]]
+        own = [n for n in names if n != "sinc_ringing"]
+        order = [op for _, op, _ in recipes.STEPS[r["family"]]]
+        at = -1
+        for n in own:
+            at = order.index(n, at + 1)
+        assert not {"posterize", "dither"} <= set(names) and set(names) <= set(recipes.capture.OPS)
+    of = lambda f: [r for r in drawn if r["family"] == f and r["ops"]]
+    share = lambda f, op: np.mean([any(o["op"] == op for o in r["ops"]) for r in of(f)])
+    assert share("scan", "halftone") == pytest.approx(0.7, abs=0.08) and share("scan", "poisson_noise") == share("scan", "geometric_warp") == 1
+    assert share("office_roundtrip", "posterize") == pytest.approx(0.32, abs=0.07) and share("office_roundtrip", "dither") == pytest.approx(0.3, abs=0.07)
+    assert share("web_upscale", "sinc_ringing") == pytest.approx(0.6, abs=0.07) and share("mild", "sinc_ringing") == 0
+    for r in of("jpeg_chain"):
+        p = next(o["params"] for o in r["ops"] if o["op"] == "jpeg_chain")
+        assert p["passes"] in (2, 3, 4) and len(p["qualities"]) == len(p["grid_shifts"]) == p["passes"] and p["grid_shifts"][0] == 0 and all(30 <= q <= 95 for q in p["qualities"])
+    x = np.floor(np.random.default_rng(1).uniform(0, 256, (32, 32, 3)))
+    for r in drawn[:40]:
+        a, b = (recipes.replay(x, r, 9) for _ in range(2))
+        assert (a == b).all() and (r["ops"] or (a == x).all())
 
 
 def test_sources(spark, tmp_path):
@@ -149,6 +294,13 @@ def test_sources(spark, tmp_path):
         scans.discover_shards(spark, str(tmp_path), 14)
     (tmp_path / "m.jsonl").write_text('{"sha": "a", "split": "val"}\n{"sha": "a", "split": "train"}\n')
     assert [tuple(r) for r in scans.read_manifest(spark, str(tmp_path / "m.jsonl")).collect()] == [("a", "train")]
+    (tmp_path / "manifests").mkdir()
+    (tmp_path / "manifests" / "a.json").write_text("".join(f'{{"sha": "s{i % 50}", "split": "old{i}"}}\n' for i in range(3000)))  # larger, so it is planned first or last
+    (tmp_path / "manifests" / "b.json").write_text('{"sha": "s7", "split": "val"}\nnot json\n')
+    got = {r.sha: r.split for r in scans.read_manifest(spark, str(tmp_path / "manifests")).collect()}
+    assert got["s7"] == "val" and got["s8"] == "old2958" and len(got) == 50
+    assert [tuple(r) for r in scans.read_manifest(spark, str(tmp_path / "manifests"), spark.createDataFrame([("s9",)], "sha string")).collect()] == [("s9", "old2959")]
+    assert sorted(r.doc for r in scans.off_split(spark.createDataFrame([(1, "train"), (2, "val"), (3, None)], "doc int, split string"), "split", "train", "doc").collect()) == [2, 3]
     scans.append_ledger(spark.createDataFrame([("x",), ("y",)], "sha string"), str(tmp_path / "ledger"))
     assert scans.read_ledger(spark, str(tmp_path / "ledger")).count() == 2
     for d, files in (("s1", ["clean.png", "wrecked_00.png"]), ("s2", ["clean.png"]), ("_s3", ["clean.png", "wrecked_00.png"]), ("s4", ["clean.png", "wrecked_01.png"])):
@@ -158,6 +310,16 @@ def test_sources(spark, tmp_path):
     assert [r.name for r in scans.sample_dirs(spark, str(tmp_path / "set"), spark.createDataFrame([("s4",)], "name string")).collect()] == ["s1"]
     scans.write_tiers(spark.createDataFrame([("ab1", "clean", "<svg/>")], "sha string, tier string, svg string"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/drawings")).first().prefix == "ab"
+    assert scans.write_drawings(spark.createDataFrame([("ab1", "clean", "<svg/>"), ("cd2", "warn", "é")], "sha string, tier string, svg string"), str(tmp_path / "files")) == 2
+    assert (tmp_path / "files/clean/ab/ab1.svg").read_text() == "<svg/>" and (tmp_path / "files/warn/cd/cd2.svg").read_text() == "é"
+    drawn = [{r.path for r in scans.sample_drawings(spark, str(tmp_path / "files"), n, 5).collect()} for n in (0, 1, 9)]
+    assert [len(x) for x in drawn] == [0, 1, 2] and drawn[1] < drawn[2]
+    (tmp_path / "set/s1/palette.json").write_text('{"palette": [[255, 255, 255], [1, 2, 3]], "background_index": 1}')
+    (tmp_path / "set/s4/palette.json").write_text('{"palette": [[9, 9, 9]]}')
+    assert sorted(tuple(r) for r in scans.read_palettes(spark, str(tmp_path / "set")).collect()) == [("s1", 0, 255, 255, 255, False), ("s1", 1, 1, 2, 3, True), ("s4", 0, 9, 9, 9, True)]
+    (tmp_path / "plan.json").write_text('{"comment": "c", "runs": [{"name": "a", "n": 5, "wreck": "x"}, {"name": "b", "lr": 0.1}]}')
+    runs = scans.read_plan(spark, str(tmp_path / "plan.json")).orderBy("run").collect()
+    assert [(r.run, r.name, r.n, r.lr) for r in runs] == [(1, "a", 5, None), (2, "b", None, 0.1)] and "wreck" in runs[0].settings
     ordered = scans.with_ord(spark.createDataFrame([(x,) for x in "dbca"], "k string"), "k")
     assert sorted((r.ord, r.k) for r in ordered.collect()) == list(enumerate("abcd"))
 
