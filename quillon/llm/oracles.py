@@ -60,3 +60,14 @@ c AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM h, unnest(range(0, size)) u
 t AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM h WHERE item_id IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+#: Bytes as hex digits; strings of 100 bytes compared by their MD5.
+OP9 = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, length(h) // 2 - 99)) AS p, unnest(list_transform(range(0, length(h) // 2 - 99), lambda p: md5_number(substr(h, 2 * p + 1, 200)))) AS s FROM d),
+twice AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM (SELECT r, p, row_number() OVER (PARTITION BY s ORDER BY r, p) AS n FROM w) WHERE n > 1),
+runs AS (SELECT r, min(p) AS a, max(p) + 100 AS e FROM (SELECT *, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM twice) GROUP BY r, k),
+gone AS (SELECT r, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, sum(e - a) AS n FROM runs GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE e[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE e[i] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)"""

@@ -783,6 +783,30 @@ def test_query_returns_every_row(spark, name):
     assert queries.QUERIES[name](spark, d).count() == spark.read.parquet(f"{d}/{table}.parquet").count()
 
 
+def quality_brute(rows, labels):
+    """Which rows the rules keep, cutoffs chosen as the module says."""
+    good = {x.doc_id for x in labels if x.quality == 1}
+    of = {id(r): features(r.text) for r in rows}
+    base = lambda f: f[0] < 50 or 100 * f[4] > 50 * f[0]
+    lines = lambda r: len([x for x in (r.text or "").split("\n") if WORD.search(x)])
+    scores = lambda r, f: {"symbols": 1000 * f[2] // max(f[1], 1), "dup_lines": 1000 * f[3] // max(lines(r), 1), "repeats": 1000 * f[4] // max(f[0], 1)}
+    held = {}
+    for r in rows:
+        f = of[id(r)]
+        if r.doc_id in good and not base(f):
+            for rule, v in scores(r, f).items():
+                held.setdefault((r.lang, rule), []).append(v)
+    cut, a = {}, quality_rules.ALPHA / 3
+    for key, v in held.items():
+        for c in quality_rules.CANDIDATES:
+            n, k = len(v), sum(x > c for x in v)
+            tail = 1.0 if k >= n * a else sum(math.comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))
+            if tail <= quality_rules.DELTA / (len(held) * len(quality_rules.CANDIDATES)):
+                cut[key] = c
+                break
+    return lambda r: not base(of[id(r)]) and not any(v > cut.get((r.lang, rule), 10**9) for rule, v in scores(r, of[id(r)]).items())
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
@@ -794,7 +818,7 @@ def test_pipeline_against_brute_force(spark):
         docs = stage(spark, docs, d).cache()
         held[name] = (before, docs.collect())
     before, after = held["quality_rules"]
-    assert {r.doc_id for r in after} <= {r.doc_id for r in before if features(r.text)[0] >= 50}
+    assert Counter(map(tuple, after)) == Counter(tuple(r) for r in before if quality_brute(before, spark.read.parquet(f"{d}/labels.parquet").collect())(r))
     before, after = held["ngram_jaccard_join"]
     comp = components(sets_of([tuple(r) for r in before]))
     assert sorted(r.doc_id for r in after) == sorted(min(r.doc_id for r, c in zip(before, comp) if c == x) for x in set(comp))
@@ -803,7 +827,19 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(r.doc_id for r in after) == sorted(i for i, _, hit, _ in decontaminate_brute([tuple(r) for r in before], items, 10) if not hit)
     before, after = held["source_mixing"]
     n = Counter(r.doc_id for r in after)
-    assert max(n.values()) <= 2 and {tuple(r) for r in after} <= {tuple(r) for r in before}
+    assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+    size, total, goal = mixing_brute([tuple(r) for r in before])
+    size = dict(zip((r.doc_id for r in before), size))
+    for src in total:
+        own = [r for r in before if r.source == src]
+        epochs = int(goal[src] // total[src]) if total[src] else 0
+        assert all(n[r.doc_id] in (epochs, epochs + 1) for r in own if size[r.doc_id])
+        key = lambda r: -math.log((int(hashlib.md5(f"1:{r.doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48) * (1 + 10 * sum(r.text.count(c) for c in "#*$%&|<>") / size[r.doc_id])  # noqa: E731, B023
+        left, want = int(goal[src] - epochs * total[src]), {}
+        for r in sorted((r for r in own if size[r.doc_id]), key=key):  # least keys first, until the budget ends
+            want[r.doc_id] = epochs + (left > 0 and 2 * left >= size[r.doc_id])
+            left -= size[r.doc_id]
+        assert {i: n[i] for i in want} == want
     before, after = held["ring_sharding"]
     assert Counter(r.doc_id for r in after) == n
     shards = Counter(r.shard for r in after)
