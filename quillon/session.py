@@ -44,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_TABLES: list[Stored] = []
+
+
 class Stored:
     """A table in the shared folder: ``df`` reads it, ``drop()`` deletes it."""
 
@@ -58,6 +61,8 @@ class Stored:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if self in _TABLES:
+            _TABLES.remove(self)
 
 
 def store(df: DataFrame) -> Stored:
@@ -65,4 +70,26 @@ def store(df: DataFrame) -> Stored:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Stored(spark, path)
+    out = Stored(spark, path)
+    _TABLES.append(out)
+    return out
+
+
+class Scratch:
+    """Drops the tables stored within a ``with`` block at its end, but for those kept.
+
+    For blocks whose results are written before they end; a DataFrame that is returned from one
+    and read later must not depend on a table that is dropped.
+    """
+
+    def __enter__(self) -> Scratch:
+        self.before, self.kept = list(_TABLES), []
+        return self
+
+    def keep(self, table: Stored) -> Stored:
+        self.kept.append(table)
+        return table
+
+    def __exit__(self, *error) -> None:
+        for t in [t for t in _TABLES if t not in self.before and t not in self.kept]:
+            t.drop()

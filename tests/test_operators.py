@@ -120,6 +120,18 @@ def test_gate_priority_and_first_wins(spark):
     assert [r.ord for r in dedup.keep_first(df, ["exact"], "ord").orderBy("ord").collect()] == [1, 3, 4, 5, 7, 8]
 
 
+def test_scratch_drops_what_was_stored_within(spark):
+    from quillon.session import Scratch, store
+
+    outside = store(spark.range(3))
+    with Scratch() as scratch:
+        inner = store(spark.range(5))
+        kept = scratch.keep(store(inner.df.where("id > 1")))
+    assert outside.df.count() == 3 and kept.df.count() == 3
+    with pytest.raises(Exception):
+        inner.df.count()
+
+
 def test_sampling_is_stable_and_checks_the_pool(spark):
     df = spark.range(100).toDF("id")
     a = [r.id for r in sampling.sample(df, "id", 10, 3).collect()]
