@@ -86,6 +86,8 @@ def hamming(a: Column, b: Column) -> Column:
 _BANDS = range(1, 65)
 #: A value's key in a join costs about as much as so many candidates that are only compared; keys that a value may have at most.
 KEY_COST, MOST_KEYS = 4, 4096
+#: Heads of references that are broadcast at most (12 bytes each).
+SMALL_TABLE = 1_000_000
 
 
 def _cuts(bands: int) -> list[tuple[int, int]]:
@@ -186,6 +188,32 @@ def leaked(records: DataFrame, references: DataFrame, keys: list[str], ord: str
     return reduce(DataFrame.union, parts).distinct()
 
 
+def containing(records: DataFrame, references: DataFrame, ord: str = "ord", text: str = "norm_text", words: int = 8) -> DataFrame:
+    """(ord, ref): records whose text contains a reference's whole text, word by word.
+
+    Texts are normal forms, words joined by single spaces; both tables have ord and text, the
+    references' ord being ref. A reference's first words (so many, or all of a shorter one) are
+    looked for among the records' windows of the same length; what is found is then compared
+    in full. Null and empty texts contain nothing and are contained nowhere.
+    """
+    split = lambda c: F.split(c, " ")
+    known = references.where(F.length(text) > 0).select(F.col(ord).alias("ref"), F.col(text).alias("_t"), split(F.col(text)).alias("_w"))
+    known = store(known.select("ref", "_t", F.least(F.size("_w"), F.lit(words)).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")).alias("_h"))).df
+    lengths = sorted(r["_n"] for r in known.select("_n").distinct().collect())  # at most `words` numbers
+    if not lengths:
+        return records.select(F.col(ord), F.lit(None).cast(references.schema[ord].dataType).alias("ref")).limit(0)
+    heads = known.select("_n", "_h").distinct()
+    if heads.count() <= SMALL_TABLE:
+        heads = F.broadcast(heads)
+    rows = records.where(F.length(text) > 0).select(F.col(ord).alias("_o"), F.col(text).alias("_r"), split(F.col(text)).alias("_w"))
+    window = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", i, n), " ")).alias("_h")))
+    windows = F.concat(*[F.when(F.size("_w") >= n, window(n)).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>")) for n in lengths])
+    met = rows.select("_o", F.explode(F.array_distinct(windows)).alias("x")).select("_o", "x._n", "x._h").join(heads, ["_n", "_h"], "left_semi")
+    pairs = met.join(known, ["_n", "_h"]).select("_o", "ref", "_t").join(rows.select("_o", "_r"), "_o")
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return pairs.where(spaced("_r").contains(spaced("_t"))).select(F.col("_o").alias(ord), "ref").distinct()
+
+
 POOL, BENCH, HELD_OUT = ("train", "corpus"), ("bench",), ("val", "test")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions import columns as C
 from quillon.operators import dedup, joins, labelmaps, reports, sampling, scoring, similarity
@@ -47,11 +47,16 @@ def prints(spark, d) -> DataFrame:
     return both.withColumn("bits", F.lpad(F.bin("h"), 64, "0"))
 
 
+def normal_form() -> Column:
+    """Of the column text: words of ASCII letters, digits and other characters, A-Z in lower case."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+
+
 def records(spark, d) -> DataFrame:
     """ord, split, exact, norm (hash of the whole text's normal form) and phash: documents and
     benchmark items, which have no fingerprint, and the fingerprints, one in 17 of them lost."""
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    norm = F.sha2(F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), 256).alias("norm")
+    norm = F.sha2(normal_form(), 256).alias("norm")
     none = F.lit(None).cast("long").alias("phash")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.expr(SPLIT).alias("split"), F.sha2("text", 256).alias("exact"), norm, none)
     bench = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("ord"), F.lit("bench").alias("split"), F.sha2("text", 256).alias("exact"), norm, none)
@@ -198,6 +203,19 @@ def u4_hamming_clusters(spark, d):
     return similarity.hamming_clusters(prints(spark, d), 6)
 
 
+@query("u7_contained_items", f"WITH d AS (SELECT doc_id, {NORM} AS t FROM documents), i AS (SELECT item_id, {NORM} AS t FROM benchmark) SELECT doc_id AS ord, item_id AS ref FROM d JOIN i ON i.t <> '' AND contains(' ' || d.t || ' ', ' ' || i.t || ' ')")
+def u7_contained_items(spark, d):
+    """Documents that contain a benchmark item whole."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), normal_form().alias("norm_text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), normal_form().alias("norm_text"))
+    return similarity.containing(docs, items)
+
+
+@query("u1_rank_in_group", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents")
+def u1_rank_in_group(spark, d):
+    return dedup.rank_in_group(table(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id").select("doc_id", F.col("rn").cast("long").alias("rn"))
+
+
 @query("u12_throughput", "SELECT count(*) AS pool, round(count(*) / (129.0 + 192.0), 2) AS per_second, round(5000000 / (count(*) / (129.0 + 192.0)) / 3600, 2) AS hours_for_5m FROM documents")
 def u12_throughput(spark, d):
     return reports.throughput(table(spark, d, "documents"), 129.0, 192.0)

@@ -62,6 +62,17 @@ def test_gate_with_a_radius_layer(spark):
     assert {r.ord: r.fate for r in similarity.layered_gate(df, ["exact", "norm"]).collect()}[2] == "kept"
 
 
+def test_containing_whole_texts(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(i, say(rng.randrange(1, 60))) for i in range(60)] + [(98, ""), (99, None)]
+    refs = [(i, say(rng.randrange(1, 12))) for i in range(30)] + [(30, docs[5][1]), (31, ""), (32, None), (33, docs[7][1] + " a")]
+    df = lambda rows: spark.createDataFrame(rows, "ord long, norm_text string").repartition(3)
+    want = {(i, j) for i, t in docs for j, u in refs if t and u and f" {u} " in f" {t} "}
+    assert {tuple(r) for r in similarity.containing(df(docs), df(refs), words=4).collect()} == want
+    assert similarity.containing(df(docs), df(refs).limit(0)).count() == 0
+
+
 def test_fingerprints_from_images(spark):
     rng = np.random.default_rng(2)
     base = np.minimum(rng.uniform(0, 320, (16, 16)), 255)  # a fifth is white, so not nearly all is ink
