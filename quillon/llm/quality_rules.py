@@ -29,8 +29,8 @@ RULES = {
 ALPHA, DELTA = 0.03, 0.05
 #: Terms of the tail that are summed one by one; those beyond are bounded from above.
 TAIL_TERMS = 20_000
-#: A cutoff table of at most so many rows is broadcast.
-SMALL_TABLE = 10_000
+#: A cutoff table of at most so many rows is broadcast, and so are the keys of at most so many rejected rows.
+SMALL_TABLE, SMALL_KEYS = 10_000, 1_000_000
 
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -143,12 +143,19 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are.
 
-    Rows are stored once beside their features, from which cutoffs are fitted and verdicts
-    taken, so no text is shuffled or searched twice. Null, empty and wordless texts go, as do
-    texts of fewer than 50 words; repeated rows go or stay together; an empty table stays empty.
+    Features are computed once and stored, narrow, beside the row's key, stratum and a hash of
+    its text, on which a verdict depends; the keys of rejected rows then take the rows out. They
+    are broadcast if they are few, so texts aren't shuffled. Null, empty and wordless texts go,
+    as do texts of fewer than 50 words; repeated rows go or stay together; an empty table stays
+    empty.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = packed.select("_doc", F.col(f"_doc.`{key}`").alias("_key"), F.col(f"_doc.`{stratum}`").cast("string").alias("_stratum"), F.col(f"_doc.`{text}`").alias("_text"))
-    held = store(with_features(rows, "_text").drop("_text")).df
-    cutoffs = store(choose_cutoffs(held.drop("_doc"), labels, "_key", "_stratum", **risk)).df
-    return with_verdict(held, cutoffs, "_stratum").where("kept").select("_doc.*")
+    of = lambda row: [F.col(f"{row}`{key}`").alias("_key"), F.col(f"{row}`{stratum}`").cast("string").alias("_stratum"), F.xxhash64(F.col(f"{row}`{text}`")).alias("_th")]
+    rows = docs.select(*of(""), F.col(f"`{text}`").alias("_text"))
+    narrow = store(with_features(rows, "_text").select("_key", "_stratum", "_th", *FEATURES)).df
+    cutoffs = store(choose_cutoffs(narrow, labels, "_key", "_stratum", **risk)).df
+    bad = store(with_verdict(narrow, cutoffs, "_stratum").where("not kept").select(F.col("_key").alias("_k"), F.col("_stratum").alias("_s"), F.col("_th").alias("_h")).distinct()).df
+    if bad.count() <= SMALL_KEYS:
+        bad = F.broadcast(bad)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).select("_doc", *of("_doc."))
+    same = (F.col("_th") == F.col("_h")) & F.col("_key").eqNullSafe(F.col("_k")) & F.col("_stratum").eqNullSafe(F.col("_s"))
+    return packed.join(bad, same, "left_anti").select("_doc.*")
