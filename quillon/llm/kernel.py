@@ -6,6 +6,7 @@ vector passes and no Python object per word. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,24 @@ def trim_powers() -> None:
         del _POW[k]
 
 
+def settle() -> None:
+    """Gives memory that a task has freed back to the system; workers stay for later tasks."""
+    trim_powers()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _trimmer()
+
+
 def ints(a: np.ndarray) -> pa.Array:
     """uint64 or int64 values as Arrow int64 with the same bits."""
     return pa.array(np.ascontiguousarray(a).view(np.int64))
