@@ -849,6 +849,15 @@ def test_pipeline_against_brute_force(spark):
 # --- clashing names, long texts
 
 
+def test_kept_rows_by_verdict_of_text_and_stratum(spark, odd, labels, monkeypatch):
+    """One key with unlike texts and strata: each row has its own verdict, broadcast or not."""
+    want = rows_of(quality_rules.keep_good(odd, labels), "doc_id", "text", "lang")
+    flag = Counter((r.doc_id, r.n_words) for r in quality_rules.judge(odd, labels).where("kept").collect())
+    assert Counter((i, len(WORD.findall(t))) for i, t, _ in want) == flag
+    monkeypatch.setattr(quality_rules, "SMALL_KEYS", 0)
+    assert rows_of(quality_rules.keep_good(odd, labels), "doc_id", "text", "lang") == want
+
+
 def test_repeats_between_colliding_windows(spark, monkeypatch):
     """Windows that agree on the sorted bits but not on the hash don't hide a repeat between them."""
     a, b, c = "p q r", "s t u", "v w x"
@@ -940,3 +949,40 @@ def test_recurring_blocks_decide(spark, form):
             assert ("many pages quote" in r.text) == (r.page_id % 7 in (0, 3)) and len(r.text.split("\n")) == 3 + (r.page_id % 7 in (0, 3))
         else:
             assert r.text.startswith("the story that was copied\nits second part\nand its last words")
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """A text of 150,000 words, a near copy, and a short one; a contact and a benchmark passage stand at the very end."""
+    rng = random.Random(30)
+    w = [f"w{rng.randrange(40_000)}" for _ in range(150_000)]
+    tail = " mail ann@long.example.org " + " ".join(f"item{i}" for i in range(12))
+    v = ["changed" if rng.random() < 0.02 else x for x in w]
+    rows = [(1, " ".join(w) + tail, "en", "a", 0), (2, "\n".join(v) + tail, "en", "a", 0), (3, "short text", "en", "b", 0)]
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(2)
+
+
+def test_long_texts_are_read_whole(spark, long_texts):
+    rows, df = long_texts
+    words = {r[0]: len(WORD.findall(r[1])) for r in rows}
+    assert {r.doc_id: r.size for r in source_mixing.mix(df, narrow=True).collect()} == words
+    assert sorted(r.doc_id for r in ring_sharding.assign(df, 2).collect()) == [1, 2, 3]
+    got = {r.doc_id: r for r in signature_trees.jaccard_groups(df).collect()}
+    sets = sets_of(rows)
+    linked = 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1])
+    assert linked and [got[i].component_id for i in (1, 2, 3)] == [1, 1, 3] and got[1].n_shingles == len(sets[0])
+    item = spark.createDataFrame([(7, " ".join(f"item{i}" for i in range(12)))], "item_id long, text string")
+    hits = {r.doc_id: (r.n_hit, r["items"]) for r in positional_index.decontaminate(df, item).collect()}
+    assert hits == {1: (12, ["7"]), 2: (12, ["7"]), 3: (0, [])}
+    found = {r.doc_id: r for r in pii.digest(pii.detect(df)).collect()}
+    assert [found[i].n_email for i in (1, 2, 3)] == [1, 1, 0]
+    model = ppm_language.train(df.withColumn("doc_id", F.lit(1)))  # not held out
+    assert {r.lang_pred for r in ppm_language.identify(df, model).collect()} == {"en"}
+
+
+def test_long_repeats_are_removed(spark):
+    rng = random.Random(31)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    rows = [(1, base, "en", "a", 0), (2, base[:300_000] + "X" + base[300_000:], "en", "a", 0), (3, "".join(chr(0x4E00 + i) for i in range(99)) + base[5000:5200], "en", "a", 0)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (600_000, 0, 0), 2: (600_001, 600_000, 2), 3: (497, 200, 1)}
