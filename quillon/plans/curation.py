@@ -896,11 +896,23 @@ def d11_tier_recipes(spark, d):
     return recipes.tier_recipes(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("l8_l11_labels_and_backgrounds")
-def l8_l11_labels_and_backgrounds(spark, d):
+@query(
+    "l8_pixel_labels",
+    f"""WITH {GRAY}, p AS (SELECT DISTINCT id, CAST(floor(v) AS INT) // 32 * 32 + 16 AS c FROM gray WHERE floor(v) < 224), n AS (SELECT id, count(*) AS n FROM p GROUP BY id),
+    d AS (SELECT g.id, g.pos, any_value(g.v) AS v, min(abs(g.v - p.c)) AS d FROM gray g LEFT JOIN p ON p.id = g.id GROUP BY g.id, g.pos)
+    SELECT d.id AS vec_id, CAST(1 + coalesce(any_value(n.n), 0) AS INT) AS n_palette, round(avg(CASE WHEN d < 255 - v THEN 1e0 ELSE 0e0 END), 6) AS label_nonzero_frac FROM d LEFT JOIN n ON n.id = d.id GROUP BY d.id""",
+)
+def l8_pixel_labels(spark, d):
+    from quillon.functions import labels
+
+    return labels.labelled_images(table(spark, d, "embeddings")).select("vec_id", "n_palette", F.round("label_nonzero_frac", 6).alias("label_nonzero_frac"))
+
+
+@query("l11_backgrounds")
+def l11_backgrounds(spark, d):
     from quillon.functions import labels
 
-    return labels.labelled_images(table(spark, d, "embeddings"))
+    return labels.labelled_images(table(spark, d, "embeddings")).select("vec_id", "background")
 
 
 # --- colour operations of a capture path whose results SQL can tell
