@@ -133,7 +133,10 @@ def near_values(left: DataFrame, right: DataFrame, radius: int, plan: tuple[int,
     """
     if not 0 <= radius <= 64:
         raise ValueError("radius is a number of bits, 0 to 64")
-    bands, flips = plan or band_plan(left.count(), right.count(), radius)
+    if plan is None:
+        n = left.count()
+        plan = band_plan(n, n if right is left else right.count(), radius)
+    bands, flips = plan
     cuts = _cuts(bands)
     bits = lambda v, a, b: F.shiftrightunsigned(F.shiftleft(v, 64 - b), 64 - (b - a))
     v = F.col("v")
@@ -155,7 +158,7 @@ def band_pairs(hashes: DataFrame, radius: int, id: str = "id", value: str = "h")
     Distinct values meet first, so a value that very many rows have takes part once; its
     rows are then paired, as many pairs as there are. Null values match nothing.
     """
-    rows = hashes.where(F.col(value).isNotNull()).select(F.col(id).alias("i"), F.col(value).alias("v"))
+    rows = store(hashes.where(F.col(value).isNotNull()).select(F.col(id).alias("i"), F.col(value).alias("v"))).df
     values = rows.select("v").distinct()
     near = near_values(values, values, radius)
     left, right = rows.toDF("a", "va"), rows.toDF("b", "vb")
@@ -164,7 +167,7 @@ def band_pairs(hashes: DataFrame, radius: int, id: str = "id", value: str = "h")
 
 def hamming_clusters(hashes: DataFrame, radius: int, id: str = "id", value: str = "h") -> DataFrame:
     """(id, cluster): single-linkage clusters, named by their least id; null hashes are left out."""
-    rows = hashes.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("v"))
+    rows = store(hashes.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("v"))).df
     lead = store(rows.groupBy("v").agg(F.min("id").alias("lead"))).df
     values = lead.select("v")
     edges = near_values(values, values, radius).where("va < vb")
