@@ -123,7 +123,8 @@ def _find(length: int, gram: int, buckets: int, doc_buckets: int):
                 parts, held = [], 0
         if held:
             yield pack(parts)
-        K.trim_powers()
+        parts.clear()
+        K.settle()
 
     return run
 
@@ -163,6 +164,7 @@ def _repeated(hot: int):
 
 
 def _shared_anchors(table: pa.Table, hot: int) -> pa.Table:
+    K.settle()
     rec = np.concatenate([_rows(x, REC) for x in table.column("data").to_pylist()])
     rec = rec[np.argsort(rec["v"], kind="stable")]
     v = rec["v"]
@@ -267,6 +269,7 @@ def _sample(rows: list[bytes], size: int) -> bytes:
 
 def _runs(length: int, gram: int, doc_buckets: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        K.settle()  # what the group before has freed
         marks, best, at_row, many = [], {}, {}, set()
         if len(found) and len(texts):
             rec = np.unique(np.concatenate([_rows(x, REC) for x in found.column("data").to_pylist()])[["d", "q", "lo", "hi", "hot"]])
@@ -362,7 +365,7 @@ def _borders(runs: DataFrame, kind: int, size: int) -> list[bytes]:
         return []
     ranges = min(BORDERS, max(n // SUFFIXES, min(RANGES, n // 1000)) + 1)
     share = min(1.0, BORDERS / PROPOSED / rows)  # so many runs are asked as propose BORDERS borders
-    asked = of.where(F.pmod(F.xxhash64("data"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("sample").toLocalIterator()
+    asked = of.where(F.pmod(F.xxhash64("n", "sample"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("sample").toLocalIterator()
     found = sorted(r["sample"][i : i + size] for r in asked for i in range(0, len(r["sample"]), size))
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
@@ -432,6 +435,7 @@ def _by_order(items: list[tuple], lcp: list[int], length: int) -> np.ndarray:
 
 def _merged(length: int, gram: int, doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        K.settle()
         marks, whole, batch, lcps, group, near = [], [], [], [], [], []
         last, single = None, table.column("kind")[0].as_py() == 2  # single strings are equal only as a whole
 
@@ -468,6 +472,7 @@ def _merged(length: int, gram: int, doc_buckets: int):
 
 def _cut(length: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        K.settle()
         by: dict[int, np.ndarray] = {}
         if len(found):
             m = np.concatenate([_rows(x, MARK) for x in found.column("data").to_pylist()])
