@@ -890,6 +890,7 @@ def test_names_and_headlines_inside_articles():
     assert t('<article><p>a</p><div class="post-comments">no</div><div class="ad slot3">no</div><div id="left-sidebar">no</div><div class="cookie-bar">no</div></article>') == "a"
     assert t('<body><div class="site-header">no</div><p>a</p><form>no</form></body>') == "a"
     assert t('<article><p>x <a href="foo>b</a> c</p></article>') == "x b c"
+    assert t('<article><p title="a hidden class of id" data-id="nav">kept</p><p HIDDEN>no</p><p style = "color:red; display : none">no</p><div class=ad>no</div></article>') == "kept"
 
 
 def test_long_pages_take_linear_time():
