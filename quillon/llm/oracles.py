@@ -71,3 +71,40 @@ gone AS (SELECT r, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, sum(e - a)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
   sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE e[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE e[i] END)))), '') END)) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)"""
+
+_BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _found(kind: int, pattern: str) -> str:
+    """(r, kind, i, m, gap): matches in order, each with the text between it and the one before."""
+    return f"SELECT r, {kind} AS kind, i, m, gap FROM (SELECT r, unnest(m) AS m, unnest(g[1 : len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM texts) WHERE len(m) > 0)"
+
+
+_START = "CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT)"
+_KINDS = "['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || a || ':' || e"
+_DIGIT = "CAST(substr(d, length(d) - i, 1) AS INT)"
+OP7 = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, text AS t FROM (SELECT DISTINCT text FROM documents)),
+size AS (SELECT count(*) AS total FROM texts),
+raw AS ({" UNION ALL ".join(_found(k, p) for k, p in enumerate(_BASE))}),
+placed AS (SELECT r, kind, m, {_START} AS a, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM raw WINDOW w AS (PARTITION BY r, kind ORDER BY i)),
+base AS (SELECT r, kind, a, a + length(m) AS e, kind || ':' || CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE d END AS entity FROM placed
+  WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: regexp_full_match(x, '0*([0-9]{{1,2}}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])'))) = 4
+    WHEN 2 THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN {_DIGIT} ELSE ({_DIGIT} * 2) % 10 + ({_DIGIT} * 2) // 10 END)) % 10 = 0
+    ELSE length(d) BETWEEN 10 AND 15 END),
+words AS (SELECT r, i, {LOW.format("m")} AS term, {_START} AS a, {_START} + length(m) AS e FROM ({_found(4, _WORD)}) WINDOW w AS (PARTITION BY r ORDER BY i)),
+touched AS (SELECT DISTINCT w.r, w.i FROM words w JOIN base b ON b.r = w.r AND b.e > w.a AND b.a < w.e),
+sides AS (SELECT b.r, b.entity, max(w.i) FILTER (w.e <= b.a) AS left_, min(w.i) FILTER (w.a >= b.e) AS right_ FROM base b JOIN words w ON w.r = b.r GROUP BY b.r, b.entity, b.a, b.e, b.kind),
+near AS (SELECT DISTINCT s.r, w.term, s.entity FROM sides s JOIN words w ON w.r = s.r AND (w.i > left_ - 8 AND w.i <= left_ OR w.i >= right_ AND w.i < right_ + 8) ANTI JOIN touched t ON t.r = w.r AND t.i = w.i WHERE length(w.term) >= 3 AND regexp_matches(w.term, '\p{{L}}')),
+pairs AS (SELECT term, entity, count(*) AS n FROM near GROUP BY ALL HAVING count(*) >= 2),
+df AS (SELECT term, count(DISTINCT r) AS df FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+seen AS (SELECT entity, count(DISTINCT r) AS n_entity FROM base GROUP BY entity),
+judged AS (SELECT term, CAST(n AS DOUBLE) / df AS share, CAST(n_entity AS DOUBLE) / total AS p, n, df FROM pairs JOIN df USING (term) JOIN seen USING (entity), size),
+telling AS (SELECT DISTINCT term FROM judged WHERE share >= 0.5 AND CASE WHEN share > p AND p < 1 THEN n * log2(share / p) + CASE WHEN n < df THEN (df - n) * log2((1 - share) / (1 - p)) ELSE 0 END ELSE 0 END >= 8),
+terms AS (SELECT w.r, 4 AS kind, w.a, w.e FROM words w ANTI JOIN touched t ON t.r = w.r AND t.i = w.i WHERE term IN (SELECT term FROM telling)),
+every AS (SELECT r, kind, a, e FROM base UNION ALL SELECT * FROM terms),
+lines AS (SELECT r, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind = 4) AS n_term,
+  string_agg({_KINDS}, ',' ORDER BY a, kind, e) AS spans, string_agg({_KINDS}, ',' ORDER BY a, kind) FILTER (kind < 4) AS b FROM every GROUP BY r)
+SELECT d.doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_email", "n_ip", "n_card", "n_phone"))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM documents d JOIN texts ON texts.t IS NOT DISTINCT FROM d.text LEFT JOIN lines ON lines.r = texts.r"""

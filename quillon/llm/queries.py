@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from quillon.llm import html_extract, oracles, pii, positional_index, ppm_language, quality_rules, ring_sharding, signature_trees, source_mixing, suffix_dedup, token_counts
 
 QUERIES: dict = {}
-ORACLES = {"op1_quality_rules": oracles.OP1, "op2_source_mixing": oracles.OP2, "op5_ngram_jaccard_join": oracles.OP5, "op8_positional_decontamination": oracles.OP8, "op9_suffix_array_dedup": oracles.OP9}
+ORACLES = {
+    "op1_quality_rules": oracles.OP1,
+    "op2_source_mixing": oracles.OP2,
+    "op5_ngram_jaccard_join": oracles.OP5,
+    "op7_pii_disclosure": oracles.OP7,
+    "op8_positional_decontamination": oracles.OP8,
+    "op9_suffix_array_dedup": oracles.OP9,
+}
 
 
 def _query(f):

@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import html_extract, kernel, pii, positional_index, ppm_language, quality_rules, queries, ring_sharding, signature_trees, source_mixing, suffix_dedup, token_counts
+from quillon.llm import html_extract, kernel, oracles, pii, positional_index, ppm_language, quality_rules, queries, ring_sharding, signature_trees, source_mixing, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -583,9 +584,16 @@ def test_terms_against_brute_force(spark):
                 t += f" {w} {say(10)}"
         rows.append((i, t, "en", "a", 0))
     rows += [(1000 + i, rows[3][1], "en", "a", 0) for i in range(30)] + [(None, None, None, None, None), (5, "", "en", "a", 0)]
-    got = pii.detect(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    found = pii.detect(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    got = found.collect()
     assert sorted(((r.doc_id, [(s.start, s.end) for s in r.terms]) for r in got), key=repr) == terms_brute(rows)
     assert sum(bool(r.terms) for r in got) > 150
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    digest = pii.digest(found)
+    cols = sorted(digest.columns)
+    assert rows_of(digest, *cols) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({oracles.OP7})").fetchall(), key=repr)
 
 
 def test_contexts_of_a_long_text():
