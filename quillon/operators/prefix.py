@@ -17,6 +17,7 @@ SMALL_TABLE = 100_000
 def running(rows: DataFrame, order: list, sums: list[str], groups: list[str] | None = None) -> DataFrame:
     """rows with `<c>_upto` for each of sums: the sum of c over the group's rows up to this one.
 
+    rows are computed twice, to sample the ranges and to deal them: store them if that is dear.
     order: columns, perhaps descending; it should be total, for rows that tie are summed in any
     order. groups: names of columns, null being a group; without them all rows are one group.
     """
@@ -47,9 +48,9 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], groups: lis
     Equal values are counted first, so a task holds counts and not the values of a group.
     """
     groups = groups or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = store(rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))).df
     at = running(counts, ["_v"], ["_n"], groups)
-    totals = store(at.groupBy(*groups).agg(F.sum("_n").alias("_total"))).df
+    totals = store(counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))).df
     if groups:
         named = totals.select(*[F.col(g).alias(f"_t_{g}") for g in groups], "_total")
         same = F.lit(True)

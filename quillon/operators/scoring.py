@@ -34,9 +34,9 @@ def fit_logistic(rows: DataFrame, cols: list[str], label: str = "y", l2: float =
 
 def cumulative(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """(p, a, b, tp, fp, pos, neg): of each distinct score the rows with it and those at or above it, by label."""
-    by = rows.groupBy(F.col(score).alias("p")).agg(F.sum(label).alias("a"), F.sum(1 - F.col(label)).alias("b"))
+    by = store(rows.groupBy(F.col(score).alias("p")).agg(F.sum(label).alias("a"), F.sum(1 - F.col(label)).alias("b"))).df
     upto = running(by, [F.desc("p")], ["a", "b"])
-    every = store(rows.agg(F.coalesce(F.sum(label), F.lit(0)).alias("pos"), F.coalesce(F.sum(1 - F.col(label)), F.lit(0)).alias("neg"))).df  # one row
+    every = store(by.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("pos"), F.coalesce(F.sum("b"), F.lit(0)).alias("neg"))).df  # one row
     return upto.withColumnsRenamed({"a_upto": "tp", "b_upto": "fp"}).crossJoin(F.broadcast(every))
 
 
