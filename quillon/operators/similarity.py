@@ -165,19 +165,19 @@ def band_pairs(hashes: DataFrame, radius: int, id: str = "id", value: str = "h")
     return left.join(near, "va").join(right, "vb").where("a < b").select("a", "b", "d")
 
 
-def hamming_clusters(hashes: DataFrame, radius: int, id: str = "id", value: str = "h") -> DataFrame:
+def hamming_clusters(hashes: DataFrame, radius: int, id: str = "id", value: str = "h", plan: tuple[int, int] | None = None) -> DataFrame:
     """(id, cluster): single-linkage clusters, named by their least id; null hashes are left out."""
     rows = store(hashes.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("v"))).df
     lead = store(rows.groupBy("v").agg(F.min("id").alias("lead"))).df
     values = lead.select("v")
-    edges = near_values(values, values, radius).where("va < vb")
+    edges = near_values(values, values, radius, plan).where("va < vb")
     ends = edges.join(lead.toDF("va", "a"), "va").join(lead.toDF("vb", "b"), "vb")
     comps = connected_components(ends.select("a", "b")).toDF("lead", "c")
     named = lead.join(comps, "lead", "left").select("v", F.coalesce("c", "lead").alias("c"))
     return rows.join(named, "v").select("id", F.col("c").alias("cluster"))
 
 
-def leaked(records: DataFrame, references: DataFrame, keys: list[str], ord: str = "ord", fingerprint: str | None = None, radius: int = 0) -> DataFrame:
+def leaked(records: DataFrame, references: DataFrame, keys: list[str], ord: str = "ord", fingerprint: str | None = None, radius: int = 0, plan: tuple[int, int] | None = None) -> DataFrame:
     """ord of the records that share any one of the keys with a reference, or have a fingerprint
     within the radius of one; null keys and fingerprints match nothing.
 
@@ -186,7 +186,7 @@ def leaked(records: DataFrame, references: DataFrame, keys: list[str], ord: str
     parts = [records.where(F.col(k).isNotNull()).join(references.select(k).distinct(), k, "left_semi").select(ord) for k in keys]
     if fingerprint is not None:
         values = lambda t: t.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("v")).distinct()
-        found = near_values(values(references), values(records), radius).select(F.col("vb").alias(fingerprint)).distinct()
+        found = near_values(values(references), values(records), radius, plan).select(F.col("vb").alias(fingerprint)).distinct()
         parts.append(records.join(found, fingerprint, "left_semi").select(ord))
     return reduce(DataFrame.union, parts).distinct()
 
@@ -230,10 +230,11 @@ def layered_gate(records: DataFrame, layers: list[str], ord: str = "ord", split:
     and matches within the radius of a reference are leaks as well.
     """
     records = store(records).df
+    plan = None if fingerprint is None else band_plan(*[records.where(F.col(fingerprint).isNotNull()).count()] * 2, radius)
     pool = records.where(F.col(split).isin(*POOL))
     of = lambda names: records.where(F.col(split).isin(*names))
-    bench = leaked(pool, of(BENCH), layers, ord, fingerprint, radius).withColumn("_bench", F.lit(True))
-    held = leaked(pool, of(HELD_OUT), layers, ord, fingerprint, radius).withColumn("_held", F.lit(True))
+    bench = leaked(pool, of(BENCH), layers, ord, fingerprint, radius, plan).withColumn("_bench", F.lit(True))
+    held = leaked(pool, of(HELD_OUT), layers, ord, fingerprint, radius, plan).withColumn("_held", F.lit(True))
     marked = records.join(bench, ord, "left").join(held, ord, "left")
     fate = F.when(~F.col(split).isin(*POOL), "reference").when(F.col("_bench"), "bench").when(F.col("_held"), "held-out")
     marked = store(marked.withColumn("fate", fate).drop("_bench", "_held")).df
@@ -243,7 +244,7 @@ def layered_gate(records: DataFrame, layers: list[str], ord: str = "ord", split:
         marked = marked.withColumn("fate", F.when(F.col("fate").isNull() & (F.col(ord) > F.col("_least")), F.lit(layer)).otherwise(F.col("fate"))).drop("_least")
     if fingerprint is not None:
         marked = store(marked).df
-        clusters = hamming_clusters(marked.where("fate is null"), radius, ord, fingerprint).toDF(ord, "_cluster")
+        clusters = hamming_clusters(marked.where("fate is null"), radius, ord, fingerprint, plan).toDF(ord, "_cluster")
         marked = marked.join(clusters, ord, "left")
         marked = marked.withColumn("fate", F.when(F.col(ord) > F.col("_cluster"), F.lit(fingerprint)).otherwise(F.col("fate"))).drop("_cluster")
     return marked.fillna("kept", ["fate"])
