@@ -9,13 +9,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillon.operators.graph import connected_components
 from quillon.operators.prefix import numbered, quantiles
 from quillon.operators.sampling import draw_key
 from quillon.session import store
 
+#: References whose hashes (8 bytes each) go to the tasks in one pass, and bytes of text that are hashed at once.
+HEADS, WINDOW_BYTES = 4_000_000, 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
 
 def coefficient_bits(block: Column) -> Column:
     """64 bits as an array: each coefficient above the median of the 63 behind the first."""
@@ -191,29 +198,74 @@ def leaked(records: DataFrame, references: DataFrame, keys: list[str], ord: str
     return reduce(DataFrame.union, parts).distinct()
 
 
+def _windows(col: pa.Array, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, row, place of the window in the row, hash) of all windows of n words, for texts of words joined by single spaces."""
+    col = pc.binary_join_element_wise(col.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    first = 0
+    while first < len(col):  # as many texts as fit, or one
+        last = max(first + 1, int(np.searchsorted(offs, offs[first] + WINDOW_BYTES, "right")) - 1)
+        b = np.frombuffer(col.buffers()[2], np.uint8)[offs[first] : offs[last]]
+        power, back, total = np.full(len(b), _BASE), np.full(len(b), _BACK), np.zeros(len(b) + 1, np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64, out=total[1:])
+        end = np.flatnonzero(b == 32) + 1
+        start = np.concatenate(([0], end[:-1]))
+        row = np.searchsorted(offs[first + 1 : last + 1] - offs[first], start, "right")
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        for n in lengths:
+            if len(end) >= n:
+                whole = row[: len(row) - n + 1] == row[n - 1 :]
+                s, e = start[: len(row) - n + 1][whole], end[n - 1 :][whole]
+                h = (total[e] - total[s]) * back[s] + np.uint64(n)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                yield n, row[: len(whole)][whole] + first, place[: len(whole)][whole], (h ^ (h >> np.uint64(29))).view(np.int64)
+        first = last
+
+
 def containing(records: DataFrame, references: DataFrame, ord: str = "ord", text: str = "norm_text", words: int = 8) -> DataFrame:
     """(ord, ref): records whose text contains a reference's whole text, word by word.
 
     Texts are normal forms, words joined by single spaces; both tables have ord and text, the
-    references' ord being ref. A reference's first words (so many, or all of a shorter one) are
-    looked for among the records' windows of the same length; what is found is then compared
-    in full. Null and empty texts contain nothing and are contained nowhere.
+    references' ord being ref. The hash of a reference's first words (so many, or all of a
+    shorter one) is looked for among the records' windows of the same length, in one pass for
+    so many references (``HEADS``); records that have one are then compared in full. Null and
+    empty texts contain nothing and are contained nowhere.
     """
-    split = lambda c: F.split(c, " ")
-    known = references.where(F.length(text) > 0).select(F.col(ord).alias("ref"), F.col(text).alias("_t"), split(F.col(text)).alias("_w"))
-    known = store(known.select("ref", "_t", F.least(F.size("_w"), F.lit(words)).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")).alias("_h"))).df
+    known = references.where(F.length(text) > 0).select(F.col(ord).alias("ref"), F.col(text).alias("_t"), F.least(F.size(F.split(text, " ")), F.lit(words)).alias("_n"))
+    rows = records.where(F.length(text) > 0).select(F.col(ord).alias("_o"), F.col(text).alias("_r"))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, out = b.column("_n").to_numpy(), np.zeros(b.num_rows, np.int64)
+            for k, row, place, h in _windows(b.column("_t"), sorted(set(n.tolist()))):
+                own = (place == 0) & (n[row] == k)
+                out[row[own]] = h[own]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "_h"])
+
+    known = store(known.mapInArrow(heads, StructType([*known.schema.fields, StructField("_h", LongType())]))).df
     lengths = sorted(r["_n"] for r in known.select("_n").distinct().collect())  # at most `words` numbers
-    if not lengths:
-        return records.select(F.col(ord), F.lit(None).cast(references.schema[ord].dataType).alias("ref")).limit(0)
-    heads = known.select("_n", "_h").distinct()
-    if heads.count() <= SMALL_TABLE:
-        heads = F.broadcast(heads)
-    rows = records.where(F.length(text) > 0).select(F.col(ord).alias("_o"), F.col(text).alias("_r"), split(F.col(text)).alias("_w"))
-    window = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", i, n), " ")).alias("_h")))
-    windows = F.concat(*[F.when(F.size("_w") >= n, window(n)).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>")) for n in lengths])
-    met = rows.select("_o", F.explode(F.array_distinct(windows)).alias("x")).select("_o", "x._n", "x._h").join(heads, ["_n", "_h"], "left_semi")
-    pairs = met.join(known, ["_n", "_h"]).select("_o", "ref", "_t").join(rows.select("_o", "_r"), "_o")
+    parts = max(1, -(-known.count() // HEADS))
+
+    def found(part: int) -> DataFrame:
+        mine = known.where(F.pmod("_h", F.lit(parts)) == part)
+        wanted = np.unique(mine.select("_h").distinct().toPandas()["_h"].to_numpy(np.int64))
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits: dict[int, set[int]] = {}
+                for _, row, _, h in _windows(b.column("_r"), lengths) if len(wanted) else ():
+                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    for r, x in zip(row[hit].tolist(), h[hit].tolist()):
+                        hits.setdefault(r, set()).add(x)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(list(hits), pa.int64())) for c in b.columns], pa.array([list(x) for x in hits.values()], pa.list_(pa.int64()))], [*b.schema.names, "_hits"])
+
+        have = rows.mapInArrow(met, StructType([*rows.schema.fields, StructField("_hits", ArrayType(LongType()))]))
+        return have.withColumn("_h", F.explode("_hits")).join(mine.select("ref", "_t", "_h"), "_h")
+
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    pairs = reduce(DataFrame.union, [found(i) for i in range(parts)])
     return pairs.where(spaced("_r").contains(spaced("_t"))).select(F.col("_o").alias(ord), "ref").distinct()
 
 
