@@ -433,9 +433,10 @@ PIXELS = "px AS (SELECT vec_id, i - 1 AS i, CAST(floor(least(greatest(embedding[
 
 def pixels(spark, d) -> DataFrame:
     """A pixel table: 8x8 blocks of embeddings as colours."""
-    # in single precision as in the SQL; beside an integer Spark would take doubles
+    # in single precision as in the SQL; beside an integer Spark would take doubles.
+    # An element that a short embedding lacks is level 0, as there
     scale = F.lit(128).cast("float")
-    level = lambda i: F.floor(F.least(F.greatest(F.element_at("embedding", i) * scale + scale, F.lit(0)), F.lit(255))).cast("int")
+    level = lambda i: F.floor(F.least(F.greatest(F.try_element_at("embedding", i) * scale + scale, F.lit(0)), F.lit(255))).cast("int")
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("n"))
     return e.select("vec_id", (F.col("n") - 1).cast("long").alias("i"), level(F.col("n")).alias("r"), level(65 - F.col("n")).alias("g"), ((F.col("vec_id") * 7 + F.col("n")) % 256).cast("int").alias("b"))
 

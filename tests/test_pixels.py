@@ -35,3 +35,20 @@ def test_levels_beside_whole_numbers(spark, levels, name):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{levels}/embeddings.parquet'")
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def uneven(tmp_path_factory):
+    """Embeddings of all lengths around 64, none and null among them, and elements that are null, NaN or infinite."""
+    rng = np.random.default_rng(5)
+    rows = [rng.normal(0, 0.3, n).astype(np.float32).tolist() for n in (64, 63, 33, 32, 31, 1, 0, 70, 64, 64)]
+    rows[8][3:40:9] = [None, float("nan"), float("inf"), float("-inf"), None]
+    rows[9] = None
+    d = tmp_path_factory.mktemp("uneven")
+    pq.write_table(pa.table({"vec_id": list(range(10)), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * 10, pa.int32())}), f"{d}/embeddings.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_uneven_embeddings(spark, uneven, name):
+    test_levels_beside_whole_numbers(spark, uneven, name)
